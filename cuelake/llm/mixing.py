@@ -54,8 +54,10 @@ def source_targets(sizes: DataFrame, *, share: float, most: float, weights: Sequ
     return final.select("source", "source_size", target.alias("target"), "begin", "finish")
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, most: float = 2.0, weights: Sequence[int] = WEIGHTS, schedules: Sequence[tuple[float, float]] = SCHEDULES, keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken, copies, part, position) and the columns ``keep`` of every row.
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, most: float = 2.0, weights: Sequence[int] = WEIGHTS, schedules: Sequence[tuple[float, float]] = SCHEDULES, whole_rows: bool = False) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, copies, part, position, words_before, begin, finish) of every row.
+
+    With ``whole_rows`` the row itself follows as the struct ``row``, so no column of it can clash.
 
     size counts the words of a text (null: none). A source takes its documents in the order of an
     MD5 of the id, again from the first when all are taken, until its target is met: ``copies``
@@ -64,8 +66,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     of their own, the last; rows with equal ids follow each other by size. Empty texts and empty
     sources take nothing; an empty table gives an empty result.
     """
-    base = [F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), *[F.col(c) for c in keep if c not in ("doc_id", "source", "size")]]
-    rows = docs.select(*base).withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), *row).withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("_range", F.substring("_hash", 1, BUCKET_DIGITS))
     ranges = rows.groupBy("source", "_range").agg(F.sum("size").alias("held"))
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,7 +85,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     taken = F.col("copies") * F.col("size") + F.col("part")
     demand = F.col("_at") / F.nullif(F.col("target"), F.lit(0.0))
     position = F.when(taken > 0, demand * (F.col("begin") + F.col("finish")) / (F.col("begin") + F.sqrt(F.col("begin") * F.col("begin") + (F.col("finish") * F.col("finish") - F.col("begin") * F.col("begin")) * demand)))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("copies").cast("long"), F.col("part").cast("long"), position.alias("position"), F.col("_at").alias("words_before"), "begin", "finish", *[c for c in keep if c not in ("doc_id", "source", "size")])
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("copies").cast("long"), F.col("part").cast("long"), position.alias("position"), F.col("_at").alias("words_before"), "begin", "finish", *(["row"] if whole_rows else []))
 
 
 def copy_position(copy: Column) -> Column:

@@ -69,4 +69,42 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_embedding_neardup, op3_secret_scan, op4_language_id, op5_ngram_jaccard, op6_source_mix, op7_url_filter, op8_byte_bpe, op9_exact_topk, op10_warc)}
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_embedding_neardup": """
+        with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+        n as (select vec_id, e, sqrt(list_inner_product(e, e)) as size from v where e is not null and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+        links as (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.95),
+        reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+        parts as (select a, least(a, min(b)) as component_id from reach group by a), counts as (select a, count(*) as n_links from links group by a)
+        select vec_id, coalesce(n_links, 0) as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept
+        from v left join counts c on c.a = vec_id left join parts p on p.a = vec_id""",
+    "op5_ngram_jaccard": """
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words from documents),
+        s as (select doc_id, list_distinct(case when len(words) >= 4 then list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) when len(words) > 0 then [array_to_string(words, ' ')] else [] end) as shingles from w),
+        r as (select doc_id, len(shingles) as n, unnest(shingles) as shingle from s),
+        links as (select a.doc_id as a, b.doc_id as b from r a join r b on a.shingle = b.shingle and a.doc_id <> b.doc_id and a.n * 100 >= b.n * 85 and b.n * 100 >= a.n * 85 group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach as (select a, b from links union select x.a, l.b from reach x join links l on x.b = l.a), parts as (select a, least(a, min(b)) as component_id from reach group by a)
+        select doc_id, len(shingles)::bigint as n_shingles, coalesce(component_id, doc_id) as component_id from s left join parts on a = doc_id""",
+    "op6_source_mix": """
+        with d as (select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as h, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
+        s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place from d group by source),
+        w as (select *, [5.0::double, 2, 1][place % 3 + 1] as weight, [2.0::double, 1, 1][place % 3 + 1] as begin_, [1.0::double, 1, 3][place % 3 + 1] as finish from s),
+        c as (select *, sum(source_size) over () as total, coalesce(sum(source_size) over (order by source_size / weight, place rows between unbounded preceding and 1 preceding), 0) as full_,
+            sum(weight) over () - coalesce(sum(weight) over (order by source_size / weight, place rows between unbounded preceding and 1 preceding), 0) as open_ from w),
+        l as (select *, (total::double * 1.5::double - full_::double * 2.0::double) / open_ as level from c), m as (select *, source_size * 2.0::double <= level * weight as stops from l),
+        t as (select *, case when stops then source_size * 2.0::double else (select level from m where not stops order by source_size / weight, place limit 1) * weight end as target from m),
+        p as (select d.doc_id, d.size, d.source, t.source_size, t.target, t.begin_, t.finish, coalesce(sum(d.size) over (partition by d.source order by h, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as before_
+            from d join t on d.source is not distinct from t.source),
+        k as (select *, case when source_size > 0 then floor(target)::bigint // source_size else 0 end as copies from p),
+        x as (select *, copies * size + greatest(0, least(size, floor(target)::bigint - copies * source_size - before_)) as taken from k)
+        select doc_id, size, source_size, target, taken::bigint as taken, source, case when taken > 0 then before_ / target * (begin_ + finish) / (begin_ + sqrt(begin_ * begin_ + (finish * finish - begin_ * begin_) * (before_ / target))) end as position from x""",
+    "op9_exact_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0)
+        select q.vec_id as query_id, row_number() over (partition by q.vec_id order by list_inner_product(q.e, c.e) desc, c.vec_id)::int as rank, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+        from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e) qualify rank <= 5""",
+    "op10_warc": """
+        with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+        f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first from p)
+        select page_id, payload_bytes, payload_digest, case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+        case when first is not null and page_id is distinct from first then first end as refers_to from f""",
+}
