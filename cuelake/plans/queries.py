@@ -662,7 +662,7 @@ def span_overlap(t: Tables) -> DataFrame:
     select line, ord, type, said, style, all_bold, k, case when type = 'ruby' then 0 else a end as a, case when type = 'ruby' then length(said) else b end as b, hit and (type = 'ruby' or k = 1) as inside from (
     select p.*, s.sel_start < sp_end and s.sel_end > sp_start as hit, o.all_bold, k, case k when 0 then 0 when 1 then least(greatest(s.sel_start - sp_start, 0), length(said)) else least(greatest(s.sel_end - sp_start, 0), length(said)) end as a,
     case k when 0 then least(greatest(s.sel_start - sp_start, 0), length(said)) when 1 then least(greatest(s.sel_end - sp_start, 0), length(said)) else length(said) end as b
-    from v_placed p join ''' + _SELECTION + ''' s using (line) join (select line, bool_and(style = 'bold') as all_bold from v_placed join ''' + _SELECTION + ''' using (line) where sel_start < sp_end and sel_end > sp_start group by 1) o using (line), (select unnest([0, 1, 2]) as k)
+    from v_placed p join ''' + _SELECTION + ''' s using (line) left join (select line, bool_and(style = 'bold') as all_bold from v_placed join ''' + _SELECTION + ''' using (line) where sel_start < sp_end and sel_end > sp_start group by 1) o using (line), (select unnest([0, 1, 2]) as k)
     ) where (type = 'text' and b > a) or (type = 'ruby' and k = 1)))''')} group by line, run""")
 def restyle_ranges(t: Tables) -> DataFrame:
     spans = t.spans()
