@@ -303,5 +303,6 @@ def extract_cues(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     cues = image_digest(number_cues(cue_timing(sets)))
     broken = sets.where("error is not null and not drawn").select("path", "error")
     good, failed = quarantine_failed_tracks(segments.select("path").distinct(), cues)
-    failed = failed.unionByName(broken).groupBy("path").agg(F.min("error").alias("error"))
+    broken = broken.groupBy("path").agg(F.min("error").alias("error"))
+    failed = broken.unionByName(failed.join(broken.select("path"), "path", "left_anti"))
     return good.join(failed.select("path"), "path", "left_anti"), failed
