@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 from cuelake.llm import textvec as V
 
 #: Hashed features: words take most of the table, shapes of the text its first places.
-BITS, SHAPES, STEPS = 18, 8, 32
+BITS, SHAPES, STEPS = 19, 8, 32
+#: Bytes of a word's stem, which is a feature of its own.
+PREFIX = 5
 RESULT = T.StructType([T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType())])
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -27,7 +29,8 @@ _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = T
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Places of the distinct features of each text, and offsets; a text without a word has none.
 
-    Words are runs of letters, digits and non-ASCII bytes, capitals made small. Shapes are shares
+    Words are runs of letters, digits and non-ASCII bytes, capitals made small; their stems and the
+    runs of other signs are features too. Shapes are shares
     of capitals, digits, other signs, spaces, repeated words and repeated word pairs, mean word
     length and text length, each cut into steps.
     """
@@ -37,8 +40,16 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start, end, row = V.word_bounds(small, offsets)
     words = V.span_hashes(small, start, end)
     count = np.bincount(row, minlength=rows)
-    place = (words >> np.uint64(64 - BITS)).astype(np.int64)
+    long = np.flatnonzero(end - start > PREFIX)
+    stems = V.mix(V.span_hashes(small, start[long], start[long] + PREFIX) ^ np.uint64(1))
+    signs = np.where(_LETTER[data] | (data < 33), 32, data).astype(np.uint8)
+    sign_start, sign_end, sign_row = V.word_bounds(signs, offsets)
+    marks = V.mix(V.span_hashes(signs, sign_start, sign_end) ^ np.uint64(2))
+    every, every_row = np.concatenate((words, stems, marks)), np.concatenate((row, row[long], sign_row))
+    place = (every >> np.uint64(64 - BITS)).astype(np.int64)
     place = np.where(place < SHAPES * STEPS, place + SHAPES * STEPS, place)
+    worded = count[every_row] > 0
+    place, every_row = place[worded], every_row[worded]
 
     def share(of: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0], np.cumsum(of)))
@@ -55,7 +66,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ]
     shape_place = np.stack([np.minimum(STEPS - 1, (s * STEPS).astype(np.int64)) + i * STEPS for i, s in enumerate(shapes)], axis=1)
     has = np.flatnonzero(count)
-    all_rows = np.concatenate((row, np.repeat(has, SHAPES)))
+    all_rows = np.concatenate((every_row, np.repeat(has, SHAPES)))
     all_places = np.concatenate((place, shape_place[has].reshape(-1)))
     out, o = V.distinct_by_row(all_places.astype(np.uint64), all_rows, rows)
     return out.astype(np.int64), o
@@ -76,18 +87,25 @@ class Model:
         return np.where(np.diff(offsets)[:, None] > 0, p, 0.0)
 
 
-def fit(places: list[np.ndarray], grades: np.ndarray, *, grades_count: int, epochs: int = 12, rate: float = 0.15, decay: float = 1e-5, seed: int = 7) -> Model:
-    """Maximum likelihood by AdaGrad on batches in a fixed order; ``decay`` pulls weights to 0."""
+def fit(places: list[np.ndarray], grades: np.ndarray, *, grades_count: int, steps: int = 800, batch_rows: int = 128, rate: float = 0.1, decay: float = 1e-3, least_share: float = 1 / 600, seed: int = 7) -> Model:
+    """Maximum likelihood by AdaGrad on batches in a fixed order; ``decay`` pulls weights to 0.
+
+    Features of fewer than two texts, or of a share of texts below ``least_share``, say nothing
+    about other texts and get no weight. All texts are seen as often as ``steps`` batches take.
+    """
+    seen = np.bincount(np.concatenate(places), minlength=1 << BITS) if places else np.zeros(1 << BITS, np.int64)
+    places = [p[seen[p] >= max(2, least_share * len(places))] for p in places]
     w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
     k = grades_count - 1
     share = np.cumsum(np.bincount(grades, minlength=grades_count)) / max(1, len(grades))
     start = np.log((share[:-1] + 1e-3) / (1 - share[:-1] + 1e-3))
     first, gaps = start[0], np.log(np.maximum(np.diff(start), 0.1))
     t2, n, rng = np.full(k, 1e-8), len(grades), np.random.default_rng(seed)
-    sizes = np.array([len(p) for p in places])
+    sizes = np.array([len(p) for p in places], np.int64)
     flat, offsets = np.concatenate(places) if n else np.zeros(0, np.int64), np.concatenate(([0], np.cumsum(sizes)))
-    for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(n), max(1, n // 128)):
+    batches = max(1, n // batch_rows)
+    for _ in range(-(-steps // batches) if n else 0):
+        for batch in np.array_split(rng.permutation(n), batches):
             at = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in batch]) if len(batch) else np.zeros(0, np.int64)
             x, row = flat[at], np.repeat(np.arange(len(batch)), sizes[batch])
             score = np.bincount(row, w[x], len(batch))
@@ -111,7 +129,7 @@ def fit(places: list[np.ndarray], grades: np.ndarray, *, grades_count: int, epoc
     return Model(w.astype(np.float32), first + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
 
 
-def train(docs: DataFrame, ratings: DataFrame, *, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", grades_count: int = 3, most_rows: int = 16_000) -> Model:
+def train(docs: DataFrame, ratings: DataFrame, *, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", grades_count: int = 3, most_rows: int = 20_000) -> Model:
     """Fit on about ``most_rows`` rated documents at most: those whose hashed id is below a share of the range.
 
     Ratings that are null or out of range, and documents without an id or a word, teach nothing.
@@ -149,7 +167,7 @@ def grade_texts(spark: SparkSession, model: Model, text: str | Column, *, least_
     return run((F.col(text) if isinstance(text, str) else text).cast("string"))
 
 
-def grade_documents(docs: DataFrame, ratings: DataFrame, *, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", grades_count: int = 3, least_grade: int = 2, least_probability: float = 0.5) -> DataFrame:
+def grade_documents(docs: DataFrame, ratings: DataFrame, *, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", grades_count: int = 3, least_grade: int = 2, least_probability: float = 0.6) -> DataFrame:
     """``docs`` with expected_grade, tail_probability and kept (columns of these names are replaced).
 
     Every row gets one result, repeated rows equal ones. Null and empty texts, and texts without a

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades: toxic 0, poor 1, good 2; kept are those that are good with probability one half or more."""
+    """Grades: toxic 0, poor 1, good 2; kept are those that are good with probability 0.6 or more."""
     ratings = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, 0).otherwise(F.col("quality") + 1).alias("grade"))
     found = quality.grade_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ratings)
     return found.select("doc_id", "expected_grade", "tail_probability", "kept")

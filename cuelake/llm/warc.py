@@ -39,6 +39,8 @@ def unchunked(body: bytes) -> bytes:
         n = int(body[at:end].split(b";")[0], 16)
         at = end + 2
         if n == 0:
+            if body[at:] != BREAK and not body.endswith(BREAK + BREAK):  # trailers may follow
+                raise ValueError("the body ends early")
             return b"".join(out)
         if body[at + n : at + n + 2] != BREAK:
             raise ValueError("broken chunk")
