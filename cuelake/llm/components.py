@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cuelake.llm.workdir import Scratch
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first())
+def _written(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and two sums of hashes, observed as they are written."""
+    h, seen = F.xxhash64("u", "v"), Observation()
+    table = scratch.save(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s")), name)
+    return table, (seen.get["n"], seen.get["x"], seen.get["s"])
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", *, max_rounds: int = 60) -> DataFrame:
@@ -22,19 +24,21 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     edge; repeated edges and loops do no harm; without edges the result is empty.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    now, before = scratch.save(pairs, "edges"), None
-    seen = _fingerprint(now)
+    (now, seen), before = _written(pairs, scratch, "edges"), None
+    if not seen[0]:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after = scratch.save(small, "stars")
+        last = seen
+        after, seen = _written(small, scratch, "stars")
         if before is not None:
             scratch.drop(before)
         before, now = now, after
-        if seen == (seen := _fingerprint(now)):
+        if seen == last:
             scratch.drop(before)
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     raise RuntimeError("components did not settle")
