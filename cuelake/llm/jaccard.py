@@ -157,6 +157,19 @@ def _may_link(num: int, den: int):
     return (F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (rest >= need)
 
 
+def possible_members(rows: DataFrame, members: DataFrame, key: str, *, buckets: int = 4096) -> DataFrame:
+    """Rows whose key may be among ``members``: a bitmap of hashed keys, ``buckets`` x 4 KB at any size of the table.
+
+    It keeps rows without a partner from a shuffle; it never drops a member, and lets others pass
+    as it fills.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(buckets * 32768))
+    bits = members.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("_bits"))
+    placed = rows.withColumn("_p", place).join(F.broadcast(bits), F.floor(F.col("_p") / 32768) == F.col("_bucket"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_p") % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_p % 8 as int))")) != 0).drop("_p", "_bucket", "_bits")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
@@ -190,18 +203,18 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     need = F.expr(f"(({den - num} * (({num} * n + {den - 1}) div {den})) div {den}) div 2 + 1")
     heavy = held.where("not light").groupBy("s", "n").agg(F.countDistinct("key").alias("shared")).where(F.col("shared") >= need).select("s")
     light = held.where("light").select("s").distinct()
-    suspects = classes.join(heavy.unionByName(light).distinct(), "s")
-    suspects = scratch.save(suspects.select("cls", "s"), "suspects")
-    chosen = docs.select(F.col(doc_id).cast("long").alias("cls"), F.col(text).cast("string").alias("text")).join(suspects.select("cls").distinct(), "cls").dropDuplicates()
+    suspects = scratch.save(classes.join(heavy.unionByName(light).distinct(), "s").select("cls", "s", "n"), "suspects")
+    chosen = docs.select(F.col(doc_id).cast("long").alias("cls"), F.col(text).cast("string").alias("text"))
+    chosen = possible_members(chosen, suspects, "cls").join(suspects.select("cls").distinct(), "cls").dropDuplicates()
     sets = scratch.save(full_sets(chosen, words).where("n > 0"), "sets")
 
-    # inverted lists over the rarest shingles among the suspects
-    by_token, by_set = Window.partitionBy("key"), Window.partitionBy("cls", "s")
-    tokens = sets.where(F.col("n") >= common(x, num, den)).select("cls", "s", "n", F.explode("elements").alias("key")).withColumn("df", F.count("*").over(by_token)).where("df > 1")
+    # inverted lists over the rarest shingles among the suspects; a set stands for its documents until the lists are made
+    by_token, by_set = Window.partitionBy("key"), Window.partitionBy("s")
+    tokens = sets.where(F.col("n") >= common(x, num, den)).select("s", "n", F.explode("elements").alias("key")).withColumn("df", F.count("*").over(by_token)).where("df > 1")
     placed = tokens.withColumns({"several": F.count("*").over(by_set), "rank": F.row_number().over(by_set.orderBy("df", "key"))}).withColumn("pos", F.col("n") - F.col("several") + F.col("rank") - 1)
-    lists = placed.where(F.expr(f"pos <= ({den - num} * n) div {den}")).select("key", "cls", "n", F.col("pos").cast("long"), F.lit(False).alias("light"))
-    subsets = held.where("light").join(suspects, "s").select("key", "cls", "n", F.lit(0).cast("long").alias("pos"), "light").distinct()
-    lists = scratch.save(lists.unionByName(subsets), "lists")
+    first = placed.where(F.expr(f"pos <= ({den - num} * n) div {den}")).select("s", "key", F.col("pos").cast("long"), F.lit(False).alias("light"))
+    subsets = held.where("light").select("s", "key", F.lit(0).cast("long").alias("pos"), "light").distinct()
+    lists = scratch.save(first.unionByName(subsets).join(sets.select("cls", "s", "n"), "s").select("key", "cls", "n", "pos", "light"), "lists")
     scratch.drop(held)
 
     # each member meets the list's centre
