@@ -1,13 +1,13 @@
 """Language identification by compression.
 
-Each language has a zstandard dictionary of raw content: whole training texts. A text goes to the
+Each language has a zstandard dictionary of raw content: short runs of words of training texts. A text goes to the
 language whose dictionary encodes it in the fewest bytes, block by block, so that a long text is
 judged on all of its blocks and not on its first. Texts and dictionaries are in small letters. A narrow margin rejects the answer.
 """
 
 from __future__ import annotations
 
-from functools import cache
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -23,28 +23,33 @@ RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField
 BLOCK = 4096
 
 
-def dictionaries(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = 120, dictionary_bytes: int = 96_000, longest: int = 8_000) -> dict[str, bytes]:
+def dictionaries(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = 2_500, pieces: int = 6, dictionary_bytes: int = 96_000) -> dict[str, bytes]:
     """Raw dictionary content of every non-null language in ``docs``.
 
     A bounded sample of labelled rows: of each language the ``texts`` first rows in the order of a
-    hash of the id, each with at most ``longest`` characters, up to ``dictionary_bytes`` in all.
-    Rows with a null id, null text, no letter or null language teach nothing. What reaches the
-    driver is bounded by texts * longest for each language.
+    hash of the id. A text gives at most ``pieces`` runs of three words, those with the smallest
+    hashes, so that copies give the same ones and neither a long text, a wrong label nor a passage
+    that many texts share fills a dictionary. Distinct pieces are joined in the order of their
+    hashes, up to ``dictionary_bytes``. Rows with a null id, null text, no letter or null language
+    teach nothing; what reaches the driver is texts * pieces short strings a language at most.
     """
     usable = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("id is not null and lang is not null and text is not null")
-    first = Window.partitionBy("lang").orderBy("long", F.xxhash64("id"), "id")
-    ids = usable.where(F.col("text").rlike("\\p{L}")).select("lang", "id", (F.length("text") > longest).alias("long")).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= texts)
-    ids = ids.select(F.col("lang").alias("lang2"), F.col("id").alias("id2"), "rank").distinct()
-    rows = usable.join(F.broadcast(ids), (F.col("id") == F.col("id2")) & (F.col("lang") == F.col("lang2"))).select("lang", "rank", F.substring("text", 1, longest).alias("text"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    ids = usable.where(F.col("text").rlike("\\p{L}")).select("lang", "id").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= texts)
+    ids = ids.select(F.col("lang").alias("lang2"), F.col("id").alias("id2")).distinct()
+    rows = usable.join(F.broadcast(ids), (F.col("id") == F.col("id2")) & (F.col("lang") == F.col("lang2")))
+    words = rows.select("lang", F.filter(F.split(F.lower("text"), "\\s+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
+    runs = words.select("lang", F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 3).cast("int")), lambda i: F.array_join(F.slice(F.col("w"), i * 3 + 1, F.lit(3)), " ")).alias("runs"))
+    chosen = runs.select("lang", F.explode(F.slice(F.array_sort(F.transform("runs", lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("piece")))), 1, pieces)).alias("p")).select("lang", "p.h", "p.piece").distinct()
     out: dict[str, bytes] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.rank, r.text)):
-        content = r.text.lower().encode() + b"\n"
-        if len(out.setdefault(r.lang, b"")) + len(content) <= dictionary_bytes or not out[r.lang]:
+    for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.h, r.piece)):
+        content = r.piece.encode() + b" "
+        if len(out.setdefault(r.lang, b"")) + len(content) <= dictionary_bytes:
             out[r.lang] += content
     return out
 
 
-@cache
+@lru_cache(maxsize=4)
 def _compressors(items: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstandard.ZstdCompressor]]:
     parameters = zstandard.ZstdCompressionParameters(compression_level=3, strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=17, hash_log=16, chain_log=16, search_log=3, write_content_size=0, write_checksum=0, write_dict_id=0)
     out = []
@@ -68,7 +73,7 @@ def judge(text: str, items: tuple[tuple[str, bytes], ...], margin: float) -> tup
     return sizes[0][1], score, score < margin
 
 
-def predict(spark: SparkSession, learned: dict[str, bytes], text: str | Column, *, margin: float = 0.01) -> Column:
+def predict(spark: SparkSession, learned: dict[str, bytes], text: str | Column, *, margin: float = 0.005) -> Column:
     """struct(lang_pred, score, rejected) of whole texts.
 
     score is the share of bytes that the best dictionary saves against the second best, 0 to 1 (1
@@ -91,7 +96,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", margin: float = 0.01) -> DataFrame:
+def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", margin: float = 0.005) -> DataFrame:
     """``docs`` with held_out, lang_pred, score and rejected (columns of these names are replaced).
 
     Learns from the rows that are not held out. Every row gets one result, repeated rows equal
