@@ -140,12 +140,14 @@ def postings(docs: DataFrame, text: str, words: int, num: int, den: int, x: int)
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(cls, s, n, elements) of rows (cls, text)."""
+    """(cls, s, n, elements) of those rows (cls, s, text) whose set has the digest s."""
 
     def run(batches):
         for batch in batches:
             for part, h, o in shingle_sets(batch, "text", words):
-                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(short_digest(digests(h, o))), pa.array(np.diff(o)), pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(h.view(np.int64)))], ["cls", "s", "n", "elements"])
+                found = short_digest(digests(h, o)) == part.column("s").to_numpy()
+                whole = pa.RecordBatch.from_arrays([part.column("cls"), part.column("s"), pa.array(np.diff(o)), pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(h.view(np.int64)))], ["cls", "s", "n", "elements"])
+                yield whole.filter(pa.array(found))
 
     return docs.mapInArrow(run, "cls long, s long, n long, elements array<long>")
 
@@ -205,8 +207,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     light = held.where("light").select("s").distinct()
     suspects = scratch.save(classes.join(heavy.unionByName(light).distinct(), "s").select("cls", "s", "n"), "suspects")
     chosen = docs.select(F.col(doc_id).cast("long").alias("cls"), F.col(text).cast("string").alias("text"))
-    chosen = possible_members(chosen, suspects, "cls").join(suspects.select("cls").distinct(), "cls").dropDuplicates()
-    sets = scratch.save(full_sets(chosen, words).where("n > 0"), "sets")
+    chosen = possible_members(chosen, suspects, "cls").join(suspects.select("cls", "s"), "cls").dropDuplicates()
+    sets = scratch.save(full_sets(chosen, words), "sets")
 
     # inverted lists over the rarest shingles among the suspects; a set stands for its documents until the lists are made
     by_token, by_set = Window.partitionBy("key"), Window.partitionBy("s")

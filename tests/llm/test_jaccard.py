@@ -65,6 +65,14 @@ def test_edges(spark):
     assert J.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_versions_of_one_id(spark):
+    """A row with the id of another set's first document doesn't count as that document's set."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (7, a), (7, b), (9, b + " x"), (11, a + " y"), (12, "y " + a)]
+    out = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(3, 3), (7, 3), (7, 7), (9, 7), (11, 3), (12, 3)]
+
+
 def test_group_of_near_copies_makes_no_pairs(spark):
     """Of many near copies each meets few others; the component is whole."""
     rng = random.Random(3)
