@@ -30,7 +30,7 @@ def nine_grid(x, y, w, h, cw, ch) -> Column:
 
 def canvas_origin(start, image, extent, offset) -> Column:
     """A bitmap coordinate on the canvas: the padding is half of what the image is larger than its box."""
-    pad = F.expr("0") + F.floor(F.greatest(F.lit(0), big(image) - big(extent)) / 2)
+    pad = F.floor(F.greatest(F.lit(0), big(image) - big(extent)) / 2)
     return (F.greatest(F.lit(0), big(start) - pad) + big(offset)).cast("bigint")
 
 
@@ -76,7 +76,7 @@ def count_units(bands) -> Column:
 
 
 def expected_glyphs(span, em, gap) -> Column:
-    return F.greatest(F.lit(1), F.expr("0") + div(big(span) + big(gap) + div(big(em), 2), F.greatest(F.lit(1), big(em)))).cast("bigint")
+    return F.greatest(F.lit(1), div(big(span) + big(gap) + div(big(em), 2), F.greatest(F.lit(1), big(em)))).cast("bigint")
 
 
 def clamp_tuning(value: Column, low: float, high: float, default: float) -> Column:

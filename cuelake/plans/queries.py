@@ -141,7 +141,7 @@ def project_statistics(t: Tables) -> DataFrame:
     log = t.log()
     attempts = log.where("event_type = 'view'").withColumns({"kind": F.lit("attempt"), "status": F.lit("succeeded")})
     # a recognition writes an attempt and a revision
-    states = evidence.cue_state(log.unionByName(attempts.withColumn("append_seq", F.col("append_seq") - 0)).withColumn("append_seq", F.col("append_seq") * 2 - (F.col("kind") == "attempt").cast("int")))
+    states = evidence.cue_state(log.unionByName(attempts).withColumn("append_seq", F.col("append_seq") * 2 - (F.col("kind") == "attempt").cast("int")))
     return evidence.project_statistics(states.withColumn("project_id", F.floor(F.col("cue_id") / 100).cast("bigint")))
 
 
