@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from cuelake.llm import textvec as V
 from cuelake.llm.components import connected_components
-from cuelake.llm.workdir import Scratch
+from cuelake.llm.workdir import Scratch, bounded_batches
 
 #: Sizes for which subset enumeration is considered at all.
 LARGEST_LIGHT = 40
@@ -193,6 +193,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
+    bounded_batches(spark)
     rows = scratch.save(sized(docs, doc_id, text, words), "rows")
     classes = scratch.save(rows.where("n > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("cls"), F.min("n").alias("n"), F.min("s").alias("s")), "classes")
     sizes = {r.n: r["count"] for r in classes.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}  # LARGEST_LIGHT rows at most

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from cuelake.llm.workdir import bounded_batches
+
 UNDETERMINED = "und"
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 #: Bytes of text that are encoded at once with a fresh dictionary.
@@ -80,6 +82,7 @@ def predict(spark: SparkSession, learned: dict[str, bytes], text: str | Column,
     if only one language is known); below ``margin`` the answer is marked as rejected. Null and
     empty texts and texts without a letter are ``und`` with score 0, rejected.
     """
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(tuple(sorted(learned.items())))
 
     @F.arrow_udf(RESULT)

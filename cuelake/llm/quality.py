@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuelake.llm import textvec as V
+from cuelake.llm.workdir import bounded_batches
 
 #: Hashed features: words take most of the table, shapes of the text its first places.
 BITS, SHAPES, STEPS = 19, 8, 32
@@ -135,6 +136,7 @@ def train(docs: DataFrame, ratings: DataFrame, *, doc_id: str = "doc_id", text:
     Ratings that are null or out of range, and documents without an id or a word, teach nothing.
     The bound holds at every size of the table; what the driver gets are feature places only.
     """
+    bounded_batches(docs.sparkSession)
     rated = ratings.select(F.col(doc_id).alias("id"), F.col(grade).cast("int").alias("grade")).where(F.col("id").isNotNull() & F.col("grade").between(0, grades_count - 1)).distinct()
     n = rated.count()
     share = min(1.0, most_rows / max(1, n))

@@ -11,6 +11,9 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MULTIPLIER = U64(0xD6E8FEB86659FD93)
+#: Bytes for which each process keeps the powers.
+KEPT = 1_000_000
+_KEPT: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,7 +36,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[first : offsets[-1]], offsets - first
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 700_000) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with about ``limit`` bytes of text each (one long text may exceed it)."""
     _, offsets = utf8(batch.column(column))
     start = 0
@@ -64,12 +67,29 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     if not len(start):
         return np.zeros(0, U64)
     n = len(data)
-    powers = np.ones(n + 1, U64)
-    np.multiply.accumulate(np.full(n, _BASE, U64), out=powers[1:])
+    rising, falling = _powers(n)
     sums = np.zeros(n + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * powers[:-1], out=sums[1:])
-    np.multiply.accumulate(np.full(n, _INVERSE, U64), out=powers[1:])
-    return mix((sums[end] - sums[start]) * powers[start] + (end - start).astype(U64) * _MULTIPLIER)
+    np.cumsum((data.astype(U64) + U64(1)) * rising[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * falling[start] + (end - start).astype(U64) * _MULTIPLIER)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the base and of its inverse; those of usual lengths are kept."""
+    if n <= KEPT:
+        if not _KEPT:
+            _KEPT.extend(_power_table(KEPT))
+        return _KEPT[0], _KEPT[1]
+    return _power_table(n)
+
+
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, _INVERSE):
+        table = np.full(n + 1, base, U64)
+        table[0] = 1
+        np.multiply.accumulate(table, out=table)
+        out.append(table)
+    return out[0], out[1]
 
 
 def shingle_hashes(words: np.ndarray, row: np.ndarray, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:

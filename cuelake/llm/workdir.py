@@ -18,6 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of whole texts hold ``rows`` rows at most in this session, so that workers stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+
+
 class Scratch:
     """A folder of one run; its tables cut lineage and survive the loss of executors."""
 
