@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 
 import ahocorasick
 import pyarrow as pa
@@ -20,8 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuelake.llm.workdir import bounded_batches
+
 #: Pieces, and pairs of tokens, that a worker remembers before it starts afresh; longer pieces are never kept.
-MEMO, LONGEST_MEMO = 300_000, 64
+MEMO, LONGEST_MEMO = 600_000, 64
+PAIR_BITS, NEVER = 24, 1 << 60
 
 
 def merged(piece: bytes, rank: dict[bytes, int], below: int) -> list[bytes]:
@@ -60,74 +64,75 @@ class Encoder:
         self.v = vocabulary
         self.regex = regex.compile(vocabulary.pattern)
         self.automaton = ahocorasick.Automaton()
-        for r in vocabulary.split:
+        top = max(vocabulary.token, default=-1) + 1
+        self.length, self.shorter, self.left, self.right = [0] * top, [-1] * top, [0] * top, [0] * top
+        #: rank of what two neighbouring tokens are merged to; a pair is a number
+        self.joined: dict[int, int] = {}
+        for r, t in vocabulary.token.items():
+            self.length[r] = len(t)
+            for k in range(1, len(t)):
+                a, b = vocabulary.rank.get(t[:k]), vocabulary.rank.get(t[k:])
+                if a is not None and b is not None:
+                    self.joined[a << PAIR_BITS | b] = r
+        for r, (a, b) in vocabulary.split.items():
+            self.left[r], self.right[r] = a, b
+            if (prefix := vocabulary.shorter[r]) is not None:
+                self.shorter[r] = prefix
             self.automaton.add_word(vocabulary.token[r].decode("latin-1"), r)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.memo = _Memo(self)
 
-    def together(self, left: int, right: int) -> bool:
-        """Whether the merges can leave two tokens side by side."""
-        if (known := self.pairs.get((left, right))) is not None:
-            return known
-        if len(self.pairs) > MEMO:
-            self.pairs.clear()
-        v, a, b, limit, fits = self.v, left, right, 1 << 60, True
+    def together(self, a: int, b: int) -> bool:
+        """Whether the merges can leave two tokens side by side; undoes the later of the two's merges, again and again."""
+        joined, left, right, limit = self.joined.get, self.left, self.right, NEVER
         while True:
-            joined = v.rank.get(v.token[a] + v.token[b])
-            if joined is not None and joined < limit:
-                fits = False  # the two would have been merged before one of them was complete
-                break
-            # undo the later of the two merges
-            if a > b:
-                limit, inner = a, v.split[a][1]
-                if inner == a:
-                    limit, inner = b + 1, v.split[b][0]
-                    if inner == b:
-                        break
-                    b = inner
-                else:
-                    a = inner
+            if joined(a << PAIR_BITS | b, limit) < limit:
+                return False  # the two would have been merged before one of them was complete
+            inner_a, inner_b = right[a], left[b]
+            if (a > b or inner_b == b) and inner_a != a:
+                a, limit = inner_a, a
+            elif inner_b != b:
+                b, limit = inner_b, b + 1
             else:
-                limit, inner = b + 1, v.split[b][0]
-                if inner == b:
-                    limit, inner = a, v.split[a][1]
-                    if inner == a:
-                        break
-                    a = inner
-                else:
-                    b = inner
-        self.pairs[left, right] = fits
-        return fits
+                return True
 
     def piece(self, piece: bytes) -> list[int]:
         whole = self.v.rank.get(piece)
         if whole is not None:
             return [whole]
-        longest: list[int | None] = [None] * (len(piece) + 1)
-        reach = [0] * (len(piece) + 1)
+        n, length, shorter, pairs = len(piece), self.length, self.shorter, self.pairs
+        if len(pairs) > MEMO:
+            pairs.clear()
+        longest = [-1] * (n + 1)
         for end, r in self.automaton.iter(piece.decode("latin-1")):
-            n = len(self.v.token[r])
-            start = end + 1 - n
-            if n > reach[start]:
-                reach[start], longest[start] = n, r
+            longest[end + 1 - length[r]] = r  # ends rise, so the last match of a start is the longest
         out: list[int] = []
-        open_at = bytearray(b"\1") * (len(piece) + 1)
+        given_up = bytearray(n + 1)
         at, now = 0, longest[0]
-        while at < len(piece):
-            end = at + len(self.v.token[now]) if now is not None else at
-            if now is None:  # no token starts here that fits: give up this position
+        while at < n:
+            if now < 0:  # no token fits here: give up this position
                 if not out:
                     raise ValueError("the vocabulary lacks a byte")
-                open_at[at] = 0
+                given_up[at] = 1
                 now = out.pop()
-                at -= len(self.v.token[now])
-                now = self.v.shorter[now]
-            elif open_at[end] and (not out or self.together(out[-1], now)):
-                out.append(now)
-                at, now = end, longest[end]
-            else:
-                now = self.v.shorter[now]
+                at -= length[now]
+                now = shorter[now]
+                continue
+            end = at + length[now]
+            if not given_up[end]:
+                if out:
+                    pair = out[-1] << PAIR_BITS | now
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        fits = pairs[pair] = self.together(out[-1], now)
+                else:
+                    fits = True
+                if fits:
+                    out.append(now)
+                    at, now = end, longest[end]
+                    continue
+            now = shorter[now]
         return out
 
     def encode(self, text: str) -> bytes:
@@ -144,7 +149,8 @@ class _Memo(dict):
         self.encoder = encoder
 
     def __missing__(self, piece: str) -> bytes:
-        out = b"".join(i.to_bytes(4, "little") for i in self.encoder.piece(piece.encode()))
+        ids = self.encoder.piece(piece.encode())
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= LONGEST_MEMO:
             if len(self) >= MEMO:
                 self.clear()
@@ -167,6 +173,7 @@ class Tokenizer:
     """Encoding and decoding of columns with the vocabulary file at ``path`` (read on the driver)."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
+        bounded_batches(spark)
         with open(path, "rb") as f:
             content = f.read()
         vocabulary = Vocabulary(content, pattern)
