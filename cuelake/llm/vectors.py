@@ -3,9 +3,13 @@
 A rotation is three rounds of random signs and a fast Walsh-Hadamard transform; the hash of a
 rotated vector is its largest coordinate with its sign. ``hashes`` of them make a bucket of one
 table. A vector is stored under its best bucket of each table and also looks into the next best
-ones (multiprobe). Candidates that meet in a bucket are verified by their cosine in double
-precision. Equal vectors are one class, and a crowded bucket is split into blocks that are
-compared two by two in separate tasks, so no bucket is bounded by one task's memory.
+ones (multiprobe). What goes through the buckets is an id and 256 sign bits, not the vector: of
+those that meet in a bucket, pairs whose bits differ in no more places than a linked pair's may
+are candidates, kept as a spanning forest. The candidates' components then get their vectors
+once, and all pairs inside one are verified by their cosine in double precision.
+
+Equal vectors are one class. A crowded bucket or component is split into blocks that are compared
+two by two in separate tasks, so none is bounded by one task's memory, and no pair is written.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterator
-from math import ceil, log
+from math import acos, ceil, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,10 @@ from cuelake.llm.components import connected_components
 from cuelake.llm.workdir import Scratch
 
 
+#: Sign bits that stand for a vector in the buckets.
+SKETCH_BITS = 256
+
+
 def parse(column: pa.Array) -> list[np.ndarray | None]:
     """Vectors in double precision; null for those that are null, empty, zero or hold null or non-finite components."""
     if isinstance(column, pa.ChunkedArray):
@@ -92,10 +100,79 @@ def plan(rows: int, width: int) -> tuple[int, int, int]:
     return ceil(log(0.001) / log(1 - 0.66 ** (hashes - 1))), hashes, 4
 
 
-def _run_keys(frame: dict[str, np.ndarray]) -> Iterator[slice]:
-    change = np.flatnonzero((frame["bucket"][1:] != frame["bucket"][:-1]) | (frame["part"][1:] != frame["part"][:-1])) + 1
-    for i, j in itertools.pairwise([0, *change, len(frame["bucket"])]):
-        yield slice(i, j)
+def sketch(x: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS sign bits of rotations other than the tables', packed."""
+    n, d = x.shape
+    width = max(2, 1 << (d - 1).bit_length())
+    padded = np.zeros((n, width))
+    padded[:, :d] = x
+    bits = []
+    for k in range(-(-SKETCH_BITS // width)):
+        y = padded
+        for s in np.random.default_rng([width, 1 << 20, k]).choice([-1.0, 1.0], (3, width)):
+            y = hadamard(y * s)
+        bits.append(y > 0)
+    return np.packbits(np.concatenate(bits, axis=1)[:, :SKETCH_BITS], axis=1)
+
+
+def most_differences(least_cosine: float) -> int:
+    """Sign bits in which a linked pair may differ: the mean and six standard deviations."""
+    p = acos(min(1.0, max(-1.0, least_cosine))) / pi
+    return int(SKETCH_BITS * p + 6 * sqrt(SKETCH_BITS * p * (1 - p)))
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest place that each of n places reaches over the pairs, by hooking and jumping."""
+    label = np.arange(n)
+    while len(i):
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], least)
+        np.minimum.at(new, label[j], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def in_blocks(rows: DataFrame, key: str, member: str, sizes: DataFrame, block_rows: int) -> DataFrame:
+    """``rows`` dealt to (key, part): every two blocks of a key, and each with itself, meet in one part.
+
+    ``sizes`` has (k, held) of the keys that matter. A key of one block is one part.
+    """
+    blocks = sizes.select(F.col("k").alias("_k"), F.ceil(F.col("held") / block_rows).cast("int").alias("_blocks"))
+    block = F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+    dealt = rows.join(blocks, F.col(key) == F.col("_k")).withColumn("block", block).withColumn("_p", F.explode(pairs))
+    dealt = dealt.withColumn("part", (F.col("_p.i").cast("long") * (1 << 31) + F.col("_p.j"))).drop("_k", "_blocks", "_p")
+    return dealt.repartition(key, "part").sortWithinPartitions(key, "part")
+
+
+def each_part(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each (key, part) of ``in_blocks``, put together over batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, p = batch.column(key).to_numpy(), batch.column("part").to_numpy()
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1])) + 1).tolist(), len(k)]
+        for i, j in itertools.pairwise(cuts):
+            if held and (held[-1].column(key)[-1].as_py() != k[i] or held[-1].column("part")[-1].as_py() != p[i]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def across(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs belong to this part: those of two blocks have one member in each."""
+    part = table.column("part")[0].as_py()
+    if part >> 31 == part & ((1 << 31) - 1):
+        return np.ones(len(i), bool)
+    block = table.column("block").to_numpy()
+    return block[i] != block[j]
 
 
 def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", least_cosine: float = 0.95, tables: int | None = None, hashes: int | None = None, probes: int | None = None, block_rows: int = 1024) -> DataFrame:
@@ -136,94 +213,50 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "e
                 for i in range(0, len(at), 2048):
                     rows_at = at[i : i + 2048]
                     b = buckets(x[i : i + 2048], tables, hashes, probes)
-                    code = np.empty_like(b)
-                    for t in range(tables):  # the table and the vector's length are part of a bucket's number
-                        code[:, t] = (b[:, t] * tables + t) * 4099 + size // 8 % 4099
-                    every = [c.tobytes() for c in code]
-                    take = pa.array(np.repeat(rows_at, tables * probes))
-                    yield pa.RecordBatch.from_arrays([batch.column("rep").take(take), batch.column("members").take(take), pa.array(code.reshape(-1)), pa.array(np.tile(np.arange(probes) == 0, len(rows_at) * tables)), pa.array(np.tile(np.repeat(np.arange(tables), probes), len(rows_at))), pa.array(every, pa.binary()).take(pa.array(np.repeat(np.arange(len(rows_at)), tables * probes))), batch.column("unit").take(take)], ["rep", "members", "bucket", "own", "tbl", "codes", "unit"])
-
-    entries = classes.select("rep", "members", "unit").mapInArrow(spread, "rep long, members long, bucket long, own boolean, tbl long, codes binary, unit binary")
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("held"), F.sum(F.col("own").cast("long")).alias("owners")).where("held > 1 and owners > 0")
-    sizes = scratch.save(sizes.select(F.col("bucket").alias("b"), F.ceil(F.col("held") / block_rows).cast("int").alias("blocks")), "sizes")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    dealt = entries.join(sizes, F.col("bucket") == F.col("b")).withColumn("block", block).withColumn("p", F.explode(pairs))
-    dealt = dealt.select("rep", "members", "bucket", "own", "tbl", "codes", "unit", "block", (F.col("p.i") * 1_000_000 + F.col("p.j")).cast("long").alias("part"))
-    dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-
-    def compare(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None and batch.num_rows:
-                b, p = batch.column("bucket").to_numpy(), batch.column("part").to_numpy()
-                change = np.flatnonzero((b[1:] != b[:-1]) | (p[1:] != p[:-1])) + 1
-                if held:
-                    last = held[-1]
-                    if last.column("bucket")[-1].as_py() != b[0] or last.column("part")[-1].as_py() != p[0]:
-                        yield from solve(held)
-                        held = []
-                cut = change[-1] if len(change) else 0
-                if cut:
-                    yield from solve([*held, batch.slice(0, cut)])
-                    held = []
-                held.append(batch.slice(cut))
-            elif batch is None and held:
-                yield from solve(held)
-
-    def solve(parts: list[pa.RecordBatch]):
-        """Link counts and a spanning forest of the links that belong to each bucket here."""
-        table = pa.Table.from_batches(parts)
-        f = {c: table.column(c).to_numpy() for c in ("rep", "members", "bucket", "own", "tbl", "block", "part")}
-        codes, units = table.column("codes").to_pylist(), table.column("unit").to_pylist()
-        nodes, links, roots = [], [], []
-        for s in _run_keys(f):
-            n = s.stop - s.start
-            if n < 2:
-                continue
-            x = np.frombuffer(b"".join(units[s]), np.float64).reshape(n, -1)
-            c = np.frombuffer(b"".join(codes[s]), np.int64).reshape(n, tables, probes)
-            rep, own, members, blk = f["rep"][s], f["own"][s], f["members"][s], f["block"][s]
-            i, j = np.nonzero(np.triu(x @ x.T >= least_cosine, 1))
-            low, high = f["part"][s][0] // 1_000_000, f["part"][s][0] % 1_000_000
-            ok = (own[i] | own[j]) & (rep[i] != rep[j])
-            if low != high:
-                ok &= blk[i] != blk[j]
-            i, j = i[ok], j[ok]
-            if not len(i):
-                continue
-            # a pair belongs to the first table in which it meets, there to the bucket of the smaller id if it meets in two
-            meet_i = (c[i, :, :1] == c[j]).any(axis=2)  # the best bucket of i is probed by j
-            meet_j = (c[j, :, :1] == c[i]).any(axis=2)
-            first = (meet_i | meet_j).argmax(axis=1)
-            t, bucket = f["tbl"][s][0], f["bucket"][s][0]
-            at = np.arange(len(i))
-            i_small = rep[i] < rep[j]
-            best_small, meets_small = np.where(i_small, c[i, first, 0], c[j, first, 0]), np.where(i_small, meet_i[at, first], meet_j[at, first])
-            best_large = np.where(i_small, c[j, first, 0], c[i, first, 0])
-            mine = (first == t) & (bucket == np.where(meets_small, best_small, best_large))
-            i, j = i[mine], j[mine]
-            if not len(i):
-                continue
-            count = np.bincount(i, members[j], n) + np.bincount(j, members[i], n)
-            label = np.arange(n)
-            while True:  # smallest reachable place, by hooking and jumping
-                least = np.minimum(label[i], label[j])
-                new = label.copy()
-                np.minimum.at(new, label[i], least)
-                np.minimum.at(new, label[j], least)
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
-            hit = count > 0
-            nodes.append(rep[hit])
-            links.append(count[hit].astype(np.int64))
-            roots.append(rep[label[hit]])
-        if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, links, roots)], ["rep", "links", "root"])
-
-    found = scratch.save(dealt.mapInArrow(compare, "rep long, links long, root long"), "found")
+                    # the table and the vector's length are part of a bucket's number
+                    code = (b * tables + np.arange(tables)[None, :, None]) * 4099 + size // 8 % 4099
+                    bits = [s.tobytes() for s in sketch(x[i : i + 2048])]
+                    each = tables * probes
+                    yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(np.repeat(rows_at, each))), pa.array(code.reshape(-1)), pa.array(np.tile(np.arange(probes) == 0, len(rows_at) * tables)), pa.array(bits, pa.binary()).take(pa.array(np.repeat(np.arange(len(rows_at)), each)))], ["rep", "bucket", "own", "bits"])
+
+    def meet(batches):
+        most = most_differences(least_cosine)
+        for table in each_part(batches, "bucket"):
+            n = table.num_rows
+            signs = np.unpackbits(np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(n, -1), axis=1).astype(np.float32) * 2 - 1
+            rep, own = table.column("rep").to_numpy(), table.column("own").to_numpy(zero_copy_only=False)
+            i, j = np.nonzero(np.triu(signs @ signs.T >= SKETCH_BITS - 2 * most, 1))
+            ok = (own[i] | own[j]) & (rep[i] != rep[j]) & across(table, i, j)
+            label = forest(i[ok], j[ok], n)
+            hit = label != np.arange(n)
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(rep[label[hit]])], ["a", "b"])
+
+    entries = classes.select("rep", "unit").mapInArrow(spread, "rep long, bucket long, own boolean, bits binary")
+    sizes = entries.groupBy(F.col("bucket").alias("k")).agg(F.count("*").alias("held"), F.count_if("own").alias("owners")).where("held > 1 and owners > 0")
+    near = scratch.save(in_blocks(entries, "bucket", "rep", scratch.save(sizes, "sizes"), block_rows).mapInArrow(meet, "a long, b long"), "near")
+
+    def verify(batches):
+        for table in each_part(batches, "component"):
+            n = table.num_rows
+            rep, members, units = table.column("rep").to_numpy(), table.column("members").to_numpy(), table.column("unit").to_pylist()
+            length = np.array([len(u) for u in units])
+            for size in np.unique(length):
+                at = np.flatnonzero(length == size)
+                x = np.frombuffer(b"".join(units[k] for k in at), np.float64).reshape(len(at), -1)
+                i, j = np.nonzero(np.triu(x @ x.T >= least_cosine, 1))
+                i, j = at[i], at[j]
+                ok = across(table, i, j)
+                i, j = i[ok], j[ok]
+                count = np.bincount(i, members[j], n) + np.bincount(j, members[i], n)
+                hit = count > 0
+                if hit.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(count[hit].astype(np.int64)), pa.array(rep[forest(i, j, n)[hit]])], ["rep", "links", "root"])
+
+    clusters = scratch.save(connected_components(near, scratch), "clusters")
+    joined = classes.select("rep", "members", "unit").join(clusters, F.col("rep") == F.col("node")).drop("node")
+    held = clusters.groupBy(F.col("component").alias("k")).agg(F.count("*").alias("held"))
+    found = scratch.save(in_blocks(joined, "component", "rep", held, block_rows).mapInArrow(verify, "rep long, links long, root long"), "found")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found, scratch, "rep", "root")
     classes = classes.drop("unit").join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
