@@ -25,17 +25,26 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component at five-word shingles and a similarity of 0.8: that with the smallest id.
+    """One row of each component at five-word shingles and a similarity of 0.8: that with the smallest id.
 
-    Of rows with one id one stays, the first by text. A row without an id can't be named in a
-    component; it stays unless another such row has the same text.
+    Every row is compared under a 64-bit hash of its id and text: rows of one id with unlike texts
+    are documents each, and rows without an id are compared like others (they come after those
+    with one). Of equal ids in a component the text with the smallest digest stays, and of equal
+    rows one. Rows without a word are copies only if id and text are equal.
     """
-    found = jaccard.jaccard_components(docs, words=5, num=4, den=5)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    rows = named.unionByName(docs.where("doc_id is null"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit(""))))).orderBy(F.col("text").asc_nulls_last()))
-    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    key, columns = F.xxhash64("doc_id", "text"), [F.col(f"`{c}`") for c in docs.columns]
+    found = jaccard.jaccard_components(docs.select(key.alias("_row"), "text"), doc_id="_row", words=5, num=4, den=5)
+    found = found.groupBy(F.col("doc_id").alias("_row")).agg(F.max("n_shingles").alias("_size"), F.min("component_id").alias("_component"))
+    named = docs.select(key.alias("_row"), F.col("doc_id").alias("_id"), F.md5("text").alias("_digest")).distinct().join(found, "_row")
+    bare = F.col("_size") == 0
+    groups = [F.when(~bare, F.col("_component")).alias("_c"), F.when(bare, F.col("_id")).alias("_i"), F.when(bare, F.col("_digest")).alias("_t")]
+    first = F.min(F.struct(F.col("_id").isNull().alias("_last"), "_id", "_digest")).alias("_first")
+    # null ids and texts get a value of their own, so that the join and the window share one exchange
+    named_by = lambda i, t: [F.coalesce(F.col(i).cast("string"), F.lit("-")).alias("_a"), F.coalesce(t, F.lit("-")).alias("_b")]
+    kept = named.groupBy(*groups).agg(first).select("_first.*").select(*named_by("_id", F.col("_digest")))
+    rows = docs.select(*columns, *named_by("doc_id", F.md5("text"))).join(kept, ["_a", "_b"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_a", "_b").orderBy(F.lit(1)))
+    return rows.withColumn("_nth", nth).where("_nth = 1").select(*columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,18 @@ def test_odd_rows_pass_every_stage(spark, small, docs):
                 assert out.columns == rows.columns
 
 
+def test_near_duplicates_keep_versions_of_an_id(spark, small):
+    """Rows of one id are documents of their own; only rows of one component are dropped, with or without an id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (9, b + " x"), (None, c + " y"), (None, c), (None, a + " z"), (5, c), (8, ""), (8, ""), (8, None), (6, ""), (None, "")]
+    rows += [(20, " ".join(f"v{k}_{i}" for i in range(30))) for k in range(12)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.drop_near_duplicates(spark, df, small)
+    assert out.columns == df.columns
+    want = [(3, a), (7, b), (5, c), (8, ""), (8, None), (6, ""), (None, ""), *rows[-12:]]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_run(spark, small):
     out = P.run(spark, small)
     assert set(out.columns) >= {"doc_id", "n_tokens", "ids"} and out.where("not exact").count() == 0
