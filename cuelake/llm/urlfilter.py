@@ -7,7 +7,7 @@ that no rule of its own allows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,11 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def after_scheme(url: Column) -> Column:
     """What follows the first ``://``; null if there is none."""
     at = F.instr(url, "://")
@@ -35,11 +40,21 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; an empty one is ``/``."""
+    up = lambda kept, s: F.when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(s == ".", kept).otherwise(F.concat(kept, F.array(s)))
+
+    def joined(parts: Column) -> Column:
+        kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), up)
+        end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
+
+    return _let(path, lambda p: F.when(p.rlike(r"/\.\.?(/|$)"), _let(F.split(p, "/"), joined)).when(p == "", "/").otherwise(p))
+
+
 def page_key(url: Column) -> Column:
-    """Host, path and query: what a server is asked for. Urls that differ in scheme or fragment are one page; null without ``://``."""
-    rest = F.regexp_extract(after_scheme(url), "^[^#]*", 0)
-    host = F.regexp_extract(rest, "^[^/?#]*", 0)
-    return F.concat(F.translate(host, CAPITALS, SMALL), F.substring(rest, F.length(host) + 1, F.length(rest)))
+    """Host, path and query: what a server is asked for. Urls that differ in scheme or fragment, by dot segments, or by an empty path for ``/`` are one page; null without ``://``."""
+    return F.concat(host_of(url), without_dots(path_of(url)), F.regexp_extract(after_scheme(url), r"(?s)^[^?#]*(\?[^#]*)?", 1))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -55,8 +70,29 @@ def _tags(html: Column, name: str) -> Column:
     return F.regexp_extract_all(html, F.lit(f"(?is)<{name}\\s[^>]*>"), F.lit(0))
 
 
+def unescaped(value: Column) -> Column:
+    """Text of an html attribute: numbered references and the five of XML become their characters; others stay."""
+    named = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+    def char(name: Column) -> Column:
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 9), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 9)).try_cast("long")
+        out = _let(number, lambda n: F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+        for k, c in named.items():
+            out = F.when(name == k, c).otherwise(out)
+        return out
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);", 1)
+        return _let(name, lambda m: F.coalesce(F.concat(char(m), F.substring(p, F.length(m) + 2, F.length(p))), F.concat(F.lit("&"), p)))
+
+    def joined(parts: Column) -> Column:
+        return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
+
+    return _let(value, lambda v: F.when(v.contains("&"), _let(F.split(v, "&"), joined)).otherwise(v))
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(tag, f"(?is)\\s{name}\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>]+)", 1), "^[\"']|[\"']$", ""))
+    return F.trim(unescaped(F.regexp_replace(F.regexp_extract(tag, f"(?is)\\s{name}\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>]+)", 1), "^[\"']|[\"']$", "")))
 
 
 def alias_targets(html: Column) -> Column:
@@ -67,17 +103,37 @@ def alias_targets(html: Column) -> Column:
     return F.when(html.rlike("(?i)canonical|refresh"), found)
 
 
+def base_of(html: Column, url: Column) -> Column:
+    """What relative targets of a page start from: its first ``base`` with an address, else its url."""
+    named = F.filter(F.transform(_tags(html, "base"), lambda t: _attribute(t, "href")), lambda u: u != "")
+    return F.when(html.rlike("(?i)<base"), F.coalesce(resolved(F.get(named, 0), url), url)).otherwise(url)
+
+
 def resolved(target: Column, url: Column) -> Column:
-    """A target as an absolute url; those relative to a folder are left out (null)."""
-    scheme = F.regexp_extract(url, "^(.*?)://", 1)
-    return F.when(target.contains("://"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), target))
+    """A target as an absolute url without dot segments, relative ones from ``url``; null for schemes without ``://``, and for relative ones if ``url`` has none."""
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*:"
+    start = F.when(url.contains("://"), F.regexp_extract(url, "^(.*?)://", 1))
+
+    def far(t: Column) -> Column:
+        return F.concat(F.regexp_extract(t, "^(.*?)://", 1), F.lit("://"), host_of(t), without_dots(path_of(t)), F.regexp_extract(after_scheme(t), "(?s)^[^?#]*(.*)$", 1))
+
+    def near(t: Column) -> Column:
+        own, path, tail = path_of(url), F.regexp_extract(t, "^[^?#]*", 0), F.regexp_extract(t, "(?s)[?#].*$", 0)
+        query = F.regexp_extract(after_scheme(url), r"(?s)^[^?#]*(\?[^#]*)?", 1)
+        folder = F.when(own == "", "/").otherwise(F.regexp_extract(own, "(?s)^.*/", 0))
+        whole = F.when(path.startswith("/"), path).when(path != "", F.concat(folder, path)).otherwise(own)
+        kept = F.when((path == "") & ~t.startswith("?"), query).otherwise("")
+        return F.concat(start, F.lit("://"), host_of(url), without_dots(whole), kept, tail)
+
+    return _let(target, lambda t: F.when(t.rlike(f"{scheme}//"), far(t)).when(t.startswith("//"), _let(F.concat(start, F.lit(":"), t), far)).when(~t.rlike(scheme), near(t)))
 
 
 def judge_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, aliased) of every row of ``pages``.
 
     ``rules`` is a list of (verdict, host, path) known on the driver. Edges come from canonical
-    links and refreshes in the html, and from ``redirects`` (source_url, target_url) if given. The
+    links and refreshes in the html, relative ones resolved, and from ``redirects`` (source_url,
+    target_url) if given. The
     verdict is that of the longest fitting rule; without one, block if the component of the url
     holds a blocked address, else allow; aliased tells the former. Null urls, and those without
     ``://``, have empty host and path, no rule and no alias. Null html has no edges; repeated rows
@@ -85,7 +141,7 @@ def judge_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     """
     scratch = Scratch(pages.sparkSession, "urls")
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    linked = own.select("url", F.explode(F.array_distinct(alias_targets(F.col("html")))).alias("target")).select("url", resolved(F.col("target"), F.col("url")).alias("target"))
+    linked = own.select("url", base_of(F.col("html"), F.col("url")).alias("base"), F.explode(F.array_distinct(alias_targets(F.col("html")))).alias("target")).select("url", resolved(F.col("target"), F.col("base")).alias("target"))
     if redirects is not None:
         linked = linked.unionByName(redirects.select(F.col("source_url").alias("url"), F.col("target_url").alias("target")))
     ends = scratch.save(linked.where("target is not null").select(page_key(F.col("url")).alias("a"), page_key(F.col("target")).alias("b"), "url", "target").distinct(), "links")

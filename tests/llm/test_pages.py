@@ -39,6 +39,29 @@ def test_blocks_reach_aliases(spark):
     assert "Python" not in urlfilter.judge_urls(df)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_relative_and_escaped_targets(spark):
+    want = {
+        ("other.html", "http://a.com/x/y?q"): "http://a.com/x/other.html", ("../z", "http://a.com/x/y/w"): "http://a.com/x/z", ("../../../z/./", "http://a.com/x/y"): "http://a.com/z/", ("?id=1", "http://a.com/x/y?q#f"): "http://a.com/x/y?id=1",
+        ("#f", "http://a.com/x?q"): "http://a.com/x?q#f", ("b", "http://A.com"): "http://a.com/b", ("/l?u=http://c.com/", "https://a.com/x"): "https://a.com/l?u=http://c.com/", ("//b.com", "https://a.com/x"): "https://b.com/", ("http://b.com/p/../q", None): "http://b.com/q",
+        ("mailto:a@b.com", "http://a.com/x"): None, ("b", None): None, ("b", "a.com/x"): None, ("..", "http://a.com/x/y/z"): "http://a.com/x/",
+    }
+    rows = spark.createDataFrame([(t, u, w) for (t, u), w in want.items()], "t string, u string, w string")
+    assert [(r.t, r.u, r.got) for r in rows.select("*", urlfilter.resolved(F.col("t"), F.col("u")).alias("got")).collect() if r.got != r.w] == []
+    texts = {"?a=1&amp;b=2": "?a=1&b=2", "&#38;&#x26;&amp;amp;": "&&&amp;", "&#233;&#x1F600;&#xD800;&copy;&": "é\U0001F600&#xD800;&copy;&", "a": "a"}
+    rows = spark.createDataFrame(list(texts.items()), "t string, w string")
+    assert [r for r in rows.select("*", urlfilter.unescaped(F.col("t")).alias("got")).collect() if r.got != r.w] == []
+
+
+def test_blocks_reach_relative_aliases(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [
+        (1, "http://a.com/f/1", link("2?a=1&amp;b=2")), (2, "http://a.com/f/2?a=1&b=2", link("http://bad.net/x")), (3, "http://b.com", link("http://bad.net/y")), (4, "http://c.com/p", link("http://b.com/")),
+        (5, "http://d.com/p/q", link("../e")), (6, "http://d.com/e", link("//bad.net/z")), (7, "http://e.com/p?x", '<meta http-equiv=refresh content="0; url=?id=1">'), (8, "http://e.com/p?id=1", link("https://bad.net/")),
+        (9, "http://f.com/p", '<base href="http://g.com/h/">' + link("i")), (10, "http://g.com/h/i", link("http://bad.net/w")), (11, "http://f.com/i", None), (12, "http://h.com/x", link("/r?u=http://bad.net/w")),
+    ]
+    assert {i: r.verdict for i, r in verdicts(spark, rows).items()} == {i: "allow" if i in (11, 12) else "block" for i in range(1, 13)}
+
+
 def read_back(spark, rows, **more):
     folder = Scratch(spark, "t").path("warc")
     warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, digest string"), folder, **more)
