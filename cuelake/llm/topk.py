@@ -73,7 +73,8 @@ def routes(data: list, near: list, queries: list, pivots: dict[int, np.ndarray],
     """(width, pivot, query group, least distance, data blocks, query blocks) of each data group that a query group needs.
 
     ``data`` and ``queries`` are rows (width, pivot, members, radius), ``near`` rows (width, pivot,
-    dist) of the k + 1 nearest members of each data group: one more than k, as a query may be one.
+    dist) of the k + 1 nearest members of each data group, no id twice: one more than k, as a query's
+    id may be one.
     """
     out = []
     for q in queries:
@@ -134,7 +135,8 @@ def top_k(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", vector: str =
     queries = scratch.save(nearest(asked, query_pivots).withColumn("key", F.xxhash64("v")), "queries")
     # summaries: a row a group, k + 1 distances a data group
     groups = lambda df: df.groupBy("width", "pivot").agg(F.count("*").alias("members"), F.max("dist").alias("radius")).collect()
-    near = data.select("width", "pivot", "dist", F.row_number().over(Window.partitionBy("width", "pivot").orderBy("dist")).alias("rank")).where(F.col("rank") <= k + 1).collect()
+    once = data.groupBy("width", "id").agg(F.min(F.struct("dist", "pivot")).alias("m")).select("width", "m.pivot", "m.dist")  # a bound an id: of the k + 1 the query's own rows hold one at most
+    near = once.select("width", "pivot", "dist", F.row_number().over(Window.partitionBy("width", "pivot").orderBy("dist")).alias("rank")).where(F.col("rank") <= k + 1).collect()
     table = routes(groups(data), near, groups(queries), pivots, query_pivots, k, block)
     plan = spark.createDataFrame(table, "w long, p long, target long, least double, blocks long, query_blocks long")
     spread = lambda column, n: F.pmod(F.xxhash64(column), n)

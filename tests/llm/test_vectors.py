@@ -89,3 +89,18 @@ def test_topk_edges(spark):
     out = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(table(spark, rows), F.col("id") % 50 == 0).collect())
     assert out == [(0, 1, 1, 327680), (0, 2, 1, 327680), (0, 3, 3, 0)]
     assert topk.top_k(table(spark, rows).limit(0), F.col("id") % 50 == 0).count() == 0
+
+
+def test_topk_with_a_repeated_query_id(spark):
+    """Rows of a query's id are no candidates of it, however many they are and wherever they lie."""
+    x = np.random.default_rng(8).normal(size=(46, 8))
+    ids = [*range(20, 40), *range(60, 80), 50, 50, 50, 50, 50, 50]
+    x[-3:] = x[-6]
+    x[-6:] *= 9
+    out = topk.top_k(table(spark, [(i, v.tolist(), "l") for i, v in zip(ids, x, strict=True)]), F.col("id") % 50 == 0).collect()
+    whole = np.floor(x * 256).astype(np.int64)
+    for q in (-6, -5, -4):
+        s = whole @ whole[q]
+        want = sorted((-int(s[i]), ids[i]) for i in range(40))[:5]
+        assert sum([(r.vec_id, r.score) for r in out].count((i, -v)) for v, i in want) >= 5
+    assert len(out) == 15
