@@ -11,8 +11,9 @@ given up at most once, so the work is linear in the piece's length (van Antwerpe
 from __future__ import annotations
 
 import base64
-import hashlib
 import struct
+from array import array
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 
 from cuelake.llm.workdir import bounded_batches
 
-#: Pieces, and pairs of tokens, that a worker remembers before it starts afresh; longer pieces are never kept.
-MEMO, LONGEST_MEMO = 600_000, 64
+#: Pieces, and pairs of tokens, that a task remembers before it starts afresh (about 30 and 13 MB); longer pieces are never kept.
+MEMO, LONGEST_MEMO = 100_000, 64
 PAIR_BITS, NEVER = 24, 1 << 60
 
 
@@ -39,46 +40,50 @@ def merged(piece: bytes, rank: dict[bytes, int], below: int) -> list[bytes]:
     return parts
 
 
+def decoded(ids: bytes, token: list[bytes | None]) -> bytes:
+    return b"".join(map(token.__getitem__, memoryview(ids).cast("I")))
+
+
 class Vocabulary:
     """What encoding needs to know of a vocabulary; made on the driver, broadcast, bounded by the vocabulary's size."""
 
     def __init__(self, content: bytes, pattern: str):
         self.pattern = pattern
         self.rank = {base64.b64decode(t): int(r) for t, r in map(bytes.split, content.splitlines())}
-        self.token = {r: t for t, r in self.rank.items()}
-        #: of each token that merges can reach: the tokens merged last, a single byte's are itself
-        self.split: dict[int, tuple[int, int]] = {}
+        self.token: list[bytes | None] = [None] * (max(self.rank.values(), default=-1) + 1)
+        for t, r in self.rank.items():
+            self.token[r] = t
+        nothing = array("i", [-1]) * len(self.token)
+        #: of each token that merges can reach: the two tokens merged last (a single byte's are itself), and the longest proper prefix that is such a token
+        self.left, self.right, self.shorter = nothing[:], nothing[:], nothing[:]
         for t, r in self.rank.items():
             if len(t) == 1:
-                self.split[r] = (r, r)
+                self.left[r] = self.right[r] = r
             elif len(parts := merged(t, self.rank, r)) == 2:
-                self.split[r] = (self.rank[parts[0]], self.rank[parts[1]])
-        #: the longest token that is a proper prefix
-        self.shorter = {r: next((self.rank[t[:k]] for k in range(len(t) - 1, 0, -1) if self.rank.get(t[:k]) in self.split), None) for r in self.split for t in [self.token[r]]}
+                self.left[r], self.right[r] = self.rank[parts[0]], self.rank[parts[1]]
+        for t, r in self.rank.items():
+            if self.left[r] >= 0:
+                self.shorter[r] = next((p for k in range(len(t) - 1, 0, -1) if (p := self.rank.get(t[:k], -1)) >= 0 and self.left[p] >= 0), -1)
 
 
 class Encoder:
-    """The automaton and the memos of one worker process."""
+    """The automaton and the memos of one task."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.regex = regex.compile(vocabulary.pattern)
         self.automaton = ahocorasick.Automaton()
-        top = max(vocabulary.token, default=-1) + 1
-        self.length, self.shorter, self.left, self.right = [0] * top, [-1] * top, [0] * top, [0] * top
+        self.left, self.right, self.shorter = vocabulary.left, vocabulary.right, vocabulary.shorter
+        self.length = [len(t or b"") for t in vocabulary.token]
         #: rank of what two neighbouring tokens are merged to; a pair is a number
         self.joined: dict[int, int] = {}
-        for r, t in vocabulary.token.items():
-            self.length[r] = len(t)
+        for t, r in vocabulary.rank.items():
             for k in range(1, len(t)):
                 a, b = vocabulary.rank.get(t[:k]), vocabulary.rank.get(t[k:])
                 if a is not None and b is not None:
                     self.joined[a << PAIR_BITS | b] = r
-        for r, (a, b) in vocabulary.split.items():
-            self.left[r], self.right[r] = a, b
-            if (prefix := vocabulary.shorter[r]) is not None:
-                self.shorter[r] = prefix
-            self.automaton.add_word(vocabulary.token[r].decode("latin-1"), r)
+            if self.left[r] >= 0:
+                self.automaton.add_word(t.decode("latin-1"), r)
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.memo = _Memo(self)
@@ -140,7 +145,7 @@ class Encoder:
         return b"".join(map(self.memo.__getitem__, self.regex.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.v.token.__getitem__, memoryview(ids).cast("I")))
+        return decoded(ids, self.v.token)
 
 
 class _Memo(dict):
@@ -158,15 +163,7 @@ class _Memo(dict):
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _worker(name: str, shared) -> Encoder:
-    """One encoder for each process; that of another vocabulary is given up."""
-    if name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(shared.value)
-    return _ENCODERS[name]
+CODED = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
 
 class Tokenizer:
@@ -176,29 +173,32 @@ class Tokenizer:
         bounded_batches(spark)
         with open(path, "rb") as f:
             content = f.read()
-        vocabulary = Vocabulary(content, pattern)
-        self.name = hashlib.md5(content + pattern.encode()).hexdigest()
-        self.shared = spark.sparkContext.broadcast(vocabulary)
+        self.shared = spark.sparkContext.broadcast(Vocabulary(content, pattern))
 
-    def encode(self, text: str | Column) -> Column:
-        """Binary: the ids of a whole text, four little-endian bytes each. Null and empty texts have none."""
-        shared, name = self.shared, self.name
+    def code(self, text: str | Column) -> Column:
+        """struct(ids, decoded): the ids of a whole text, four little-endian bytes each, and the bytes that they stand for. Null and empty texts have none.
 
-        @F.arrow_udf(T.BinaryType())
-        def encode(column: pa.Array) -> pa.Array:
-            encoder = _worker(name, shared)
-            return pa.array([encoder.encode(t.as_py() or "") for t in column], pa.binary())
+        A task makes an encoder and gives it up at its end, so that a worker that goes on to other
+        work keeps the vocabulary only.
+        """
+        shared = self.shared
+
+        @F.arrow_udf(CODED)
+        def code(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            encoder = Encoder(shared.value)
+            for column in columns:
+                ids = [encoder.encode(t.as_py() or "") for t in column]
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(encoder.decode, ids), pa.binary())], ["ids", "decoded"])
 
-        return encode(F.col(text) if isinstance(text, str) else text)
+        return code((F.col(text) if isinstance(text, str) else text).cast("string"))
 
     def decode(self, ids: str | Column) -> Column:
         """Binary: the bytes that ids stand for; an unknown id is an error. Null has no ids."""
-        shared, name = self.shared, self.name
+        shared = self.shared
 
         @F.arrow_udf(T.BinaryType())
         def decode(column: pa.Array) -> pa.Array:
-            encoder = _worker(name, shared)
-            return pa.array([encoder.decode(i.as_py() or b"") for i in column], pa.binary())
+            return pa.array([decoded(i.as_py() or b"", shared.value.token) for i in column], pa.binary())
 
         return decode(F.col(ids) if isinstance(ids, str) else ids)
 
@@ -210,4 +210,6 @@ def encode_documents(docs: DataFrame, tokenizer: Tokenizer, *, text: str = "text
     spells one is ordinary text. Null and empty texts get no ids; repeated rows get equal results;
     all other columns stay.
     """
-    return docs.withColumn(ids, tokenizer.encode(F.col(text).cast("string"))).withColumn(decoded, tokenizer.decode(ids))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (ids, decoded)]
+    coded = docs.select(F.struct(*others).alias("row"), tokenizer.code(F.col(f"`{text}`")).alias("coded"))
+    return coded.select("row.*", F.col("coded.ids").alias(ids), F.col("coded.decoded").alias(decoded))

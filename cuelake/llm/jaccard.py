@@ -14,7 +14,12 @@ meet as pairs. Of the classes,
 
 The boundary between the two is the size at which the estimated number of keys is least.
 No list is expanded into all its pairs: each member meets the list's centre first; verified
-links give components, and only members of different components meet after that.
+links give components, and only members of different components meet after that, block by block
+inside tasks, where sizes, positions and parity bitmaps (a lower bound of how many elements two
+sets do not share) leave few pairs to verify.
+
+Elements are 64-bit hashes of shingles; two of 10**4 elements that collide by chance are a matter
+of 10**-12 for a pair. A set is known by a 128-bit digest of its elements.
 """
 
 from __future__ import annotations
@@ -25,16 +30,19 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuelake.llm import textvec as V
+from cuelake.llm.blocks import across, in_blocks, pairs_at, whole_parts
 from cuelake.llm.components import connected_components
 from cuelake.llm.workdir import Scratch, bounded_batches
 
 #: Sizes for which subset enumeration is considered at all.
 LARGEST_LIGHT = 40
+#: Bits of a set's parity bitmap, and members of a list that meet in one task at most (twice as many if of two blocks).
+PARITY_BITS, BLOCK_ROWS = 512, 4096
 
 
 def missing(n: int, num: int, den: int) -> int:
@@ -88,7 +96,7 @@ def digests(h: np.ndarray, o: np.ndarray) -> list[bytes]:
     return [hashlib.md5(h[i:j].tobytes()).digest() for i, j in itertools.pairwise(o)]
 
 
-def short_digest(keys: list[bytes]) -> np.ndarray:
+def first_half(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(k[:8] for k in keys), np.int64)
 
 
@@ -106,50 +114,63 @@ def subset_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def sized(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(id, n, set_key, s): the size of each row's set, a digest of it and the digest's first eight bytes."""
+    """(id, n, digest, s): the size and the digest of each row's set, and the digest's first half."""
 
     def run(batches):
         for batch in batches:
             for part, h, o in shingle_sets(batch, "text", words):
                 keys = digests(h, o)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(o), pa.int64()), pa.array(keys, pa.binary()), pa.array(short_digest(keys))], ["id", "n", "set_key", "s"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(o), pa.int64()), pa.array(keys, pa.binary()), pa.array(first_half(keys))], ["id", "n", "digest", "s"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, n long, set_key binary, s long")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, n long, digest binary, s long")
 
 
 def postings(docs: DataFrame, text: str, words: int, num: int, den: int, x: int) -> DataFrame:
-    """(key, s, n, light): subset keys of light sets, the first d + k shingles of heavy ones. s stands for the set."""
+    """(key, s, n, light): subset keys of light sets, the first d + k shingles of heavy ones.
+
+    s is the first half of the digest. It only narrows the search: two sets of one s would be missed
+    here if no third set held one of their keys, 2**-64 for a linked pair.
+    """
 
     def run(batches):
         for batch in batches:
             for part, h, o in shingle_sets(batch, "text", words):
                 n = np.diff(o)
-                digest = short_digest(digests(h, o))
+                s = first_half(digests(h, o))
                 d = (den - num) * n // den
                 take = np.where(n >= common(x, num, den), np.minimum(n, d + d // 2 + 1), 0)
                 rows = np.repeat(np.arange(part.num_rows), take)
                 at = np.repeat(o[:-1] - (np.cumsum(take) - take), take) + np.arange(take.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(digest[rows]), pa.array(n[rows]), pa.array(np.zeros(len(rows), bool))], ["key", "s", "n", "light"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(s[rows]), pa.array(n[rows]), pa.array(np.zeros(len(rows), bool))], ["key", "s", "n", "light"])
                 small = np.flatnonzero((n > 0) & (n < x))
                 keys = [subset_keys(h[o[i] : o[i + 1]], num, den) for i in small]
                 if keys:
                     rows = np.repeat(small, [len(k) for k in keys])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(digest[rows]), pa.array(n[rows]), pa.array(np.ones(len(rows), bool))], ["key", "s", "n", "light"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(s[rows]), pa.array(n[rows]), pa.array(np.ones(len(rows), bool))], ["key", "s", "n", "light"])
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, s long, n long, light boolean")
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(cls, s, n, elements) of those rows (cls, s, text) whose set has the digest s."""
+def parity(h: np.ndarray, at: np.ndarray, rows: int) -> np.ndarray:
+    """PARITY_BITS bits of each row's elements: a bit is set if an odd number of them falls on it.
+
+    Two rows differ in no more bits than there are elements in one and not the other.
+    """
+    place = at * PARITY_BITS + (h >> np.uint64(20)).astype(np.int64) % PARITY_BITS
+    return np.packbits((np.bincount(place, minlength=rows * PARITY_BITS) & 1).astype(bool).reshape(rows, PARITY_BITS), axis=1)
+
+
+def full_sets(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """(id, digest, elements, bits) of every row."""
 
     def run(batches):
         for batch in batches:
             for part, h, o in shingle_sets(batch, "text", words):
-                found = short_digest(digests(h, o)) == part.column("s").to_numpy()
-                whole = pa.RecordBatch.from_arrays([part.column("cls"), part.column("s"), pa.array(np.diff(o)), pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(h.view(np.int64)))], ["cls", "s", "n", "elements"])
-                yield whole.filter(pa.array(found))
+                bits = parity(h, np.repeat(np.arange(part.num_rows), np.diff(o)), part.num_rows)
+                elements = pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digests(h, o), pa.binary()), elements, pa.array([b.tobytes() for b in bits], pa.binary())], ["id", "digest", "elements", "bits"])
 
-    return docs.mapInArrow(run, "cls long, s long, n long, elements array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, digest binary, elements array<long>, bits binary")
 
 
 def _may_link(num: int, den: int):
@@ -159,13 +180,13 @@ def _may_link(num: int, den: int):
     return (F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (rest >= need)
 
 
-def possible_members(rows: DataFrame, members: DataFrame, key: str, *, buckets: int = 4096) -> DataFrame:
-    """Rows whose key may be among ``members``: a bitmap of hashed keys, ``buckets`` x 4 KB at any size of the table.
+def possible_members(rows: DataFrame, members: DataFrame, key: Column, buckets: int) -> DataFrame:
+    """Rows whose key, an expression of both frames, may be among ``members``: a bitmap of hashed keys, ``buckets`` x 4 KB at any size of the table.
 
     It keeps rows without a partner from a shuffle; it never drops a member, and lets others pass
     as it fills.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(buckets * 32768))
+    place = F.pmod(key, F.lit(buckets * 32768))
     bits = members.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("_bits"))
     placed = rows.withColumn("_p", place).join(F.broadcast(bits), F.floor(F.col("_p") / 32768) == F.col("_bucket"))
     byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_p") % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -174,10 +195,36 @@ def possible_members(rows: DataFrame, members: DataFrame, key: str, *, buckets:
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
-    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
+    left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
+    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
     shared = F.size(F.array_intersect("ea", "eb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (shared * (num + den) >= (F.col("na") + F.col("nb")) * num).alias("link")).where("link").select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").where(shared * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+
+
+def block_pairs(num: int, den: int):
+    """A function for mapInArrow over ``in_blocks`` of open lists: pairs of different components that may link."""
+
+    def run(batches):
+        for table, end in whole_parts(batches, "list"):
+            sid, n, pos, component = (table.column(c).to_numpy() for c in ("sid", "n", "pos", "component"))
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(sid), -1)
+            a, b, held = [], [], 0
+            for i, j in pairs_at(end):
+                need = -(-(n[i] + n[j]) * num // (num + den))
+                ok = (component[i] != component[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+                i, j, need = i[ok], j[ok], need[ok]
+                ok = across(table, i, j) & (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j] - 2 * need)
+                if ok.any():
+                    a.append(np.minimum(sid[i[ok]], sid[j[ok]]))
+                    b.append(np.maximum(sid[i[ok]], sid[j[ok]]))
+                    held += len(a[-1])
+                if held > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                    a, b, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -187,55 +234,60 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     carriage return. A set has the distinct ``words``-word shingles of a text, or its whole word
     sequence if shorter. Rows link at a Jaccard similarity of num/den or more; component_id is
     the smallest id reachable. Null and empty texts have an empty set and link with nothing.
-    Rows with the same id are versions of one document. A row with a null id links as a copy
-    only: it takes the component of an equal set that has an id, else null. Other columns are
-    ignored; an empty table gives an empty result.
+    Rows with the same id are versions of one document, and no link by themselves. A row with a
+    null id links as a copy only: it takes the component of an equal set that has an id, else null.
+    Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
     bounded_batches(spark)
-    rows = scratch.save(sized(docs, doc_id, text, words), "rows")
-    classes = scratch.save(rows.where("n > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("cls"), F.min("n").alias("n"), F.min("s").alias("s")), "classes")
-    sizes = {r.n: r["count"] for r in classes.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}  # LARGEST_LIGHT rows at most
-    x = boundary(sizes, num, den)
-
-    # keys that two different sets hold
-    by_key = Window.partitionBy("key", "light")
-    held = postings(docs, text, words, num, den, x).withColumns({"low": F.min("s").over(by_key), "high": F.max("s").over(by_key)}).where("low <> high")
-    held = scratch.save(held.select("key", "s", "n", "light"), "held")
-    need = F.expr(f"(({den - num} * (({num} * n + {den - 1}) div {den})) div {den}) div 2 + 1")
-    heavy = held.where("not light").groupBy("s", "n").agg(F.countDistinct("key").alias("shared")).where(F.col("shared") >= need).select("s")
-    light = held.where("light").select("s").distinct()
-    suspects = scratch.save(classes.join(heavy.unionByName(light).distinct(), "s").select("cls", "s", "n"), "suspects")
-    chosen = docs.select(F.col(doc_id).cast("long").alias("cls"), F.col(text).cast("string").alias("text"))
-    chosen = possible_members(chosen, suspects, "cls").join(suspects.select("cls", "s"), "cls").dropDuplicates()
-    sets = scratch.save(full_sets(chosen, words), "sets")
-
-    # inverted lists over the rarest shingles among the suspects; a set stands for its documents until the lists are made
-    by_token, by_set = Window.partitionBy("key"), Window.partitionBy("s")
-    tokens = sets.where(F.col("n") >= common(x, num, den)).select("s", "n", F.explode("elements").alias("key")).withColumn("df", F.count("*").over(by_token)).where("df > 1")
-    placed = tokens.withColumns({"several": F.count("*").over(by_set), "rank": F.row_number().over(by_set.orderBy("df", "key"))}).withColumn("pos", F.col("n") - F.col("several") + F.col("rank") - 1)
-    first = placed.where(F.expr(f"pos <= ({den - num} * n) div {den}")).select("s", "key", F.col("pos").cast("long"), F.lit(False).alias("light"))
-    subsets = held.where("light").select("s", "key", F.lit(0).cast("long").alias("pos"), "light").distinct()
-    lists = scratch.save(first.unionByName(subsets).join(sets.select("cls", "s", "n"), "s").select("key", "cls", "n", "pos", "light"), "lists")
-    scratch.drop(held)
-
-    # each member meets the list's centre
-    centre = lists.groupBy("key", "light").agg(F.min(F.struct("pos", "cls", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("key", "light", F.col("c.cls").alias("b"), F.col("c.n").alias("n2"), F.col("c.pos").alias("pos2"))
-    first = lists.join(centre, ["key", "light"]).where(F.col("cls") != F.col("b")).where(_may_link(num, den))
-    first = first.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
-    links = scratch.save(verified(first, sets, num, den), "links")
-    stars = scratch.save(connected_components(links, scratch), "components")
-
-    # members of different components meet where a list has several
-    tagged = lists.join(stars, F.col("cls") == F.col("node"), "left").select("key", "light", "cls", "n", "pos", F.coalesce("component", "cls").alias("component"))
-    mixed = tagged.groupBy("key", "light").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "light")
-    open_lists = scratch.save(tagged.join(mixed, ["key", "light"]), "open")
-    other = open_lists.select("key", "light", F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
-    rest = open_lists.join(other, ["key", "light"]).where((F.col("component") < F.col("component2")) & _may_link(num, den)).select(F.col("cls").alias("a"), "b").distinct()
-    more = verified(rest, sets, num, den)
-    edges = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = connected_components(edges, scratch)
-
-    named = classes.join(final, F.col("cls") == F.col("node"), "left").select("set_key", F.coalesce("component", "cls").alias("component_id"))
-    return rows.join(named, "set_key", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    with Scratch(spark, "jaccard") as scratch:
+        rows = scratch.save(sized(docs, doc_id, text, words), "rows")
+        classes = scratch.save(rows.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("s").alias("s")), "classes")
+        sizes = {r.n: r["count"] for r in classes.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}  # LARGEST_LIGHT rows at most
+        x = boundary(sizes, num, den)
+
+        # keys that two different sets hold, and the sets that share enough of them with anyone
+        shared = postings(docs, text, words, num, den, x).groupBy("key", "light").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high").select("key", "light")
+        shared = scratch.save(shared, "shared")
+        held = scratch.save(postings(docs, text, words, num, den, x).join(shared, ["key", "light"], "left_semi").distinct(), "held")
+        scratch.drop(shared)
+        need = F.expr(f"(({den - num} * (({num} * n + {den - 1}) div {den})) div {den}) div 2 + 1")
+        enough = held.groupBy("s", "n").agg(F.count_if(~F.col("light")).alias("keys"), F.bool_or("light").alias("light")).where(F.col("light") | (F.col("keys") >= need)).select("s")
+        suspects = scratch.save(classes.join(enough, "s", "left_semi").withColumn("sid", F.monotonically_increasing_id()), "suspects")
+        buckets = min(16_384, max(64, suspects.count() // 4096))  # eight bits a suspect, 64 MB at most
+        whole = possible_members(full_sets(docs, doc_id, text, words), suspects, F.xxhash64("id", "digest"), buckets).groupBy("digest").agg(F.first("elements").alias("elements"), F.first("bits").alias("bits"))
+        sets = scratch.save(whole.join(suspects, "digest").select("sid", "n", "elements", "bits"), "sets")
+
+        # inverted lists over the rarest shingles of each suspect
+        tokens = sets.where(F.col("n") >= common(x, num, den)).select("sid", "n", F.explode("elements").alias("key"))
+        counts = scratch.save(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")  # a table, so that Spark can split a hot key of the join
+        tokens = tokens.join(counts, "key")
+        by_set = Window.partitionBy("sid")
+        placed = tokens.withColumns({"several": F.count("*").over(by_set), "rank": F.row_number().over(by_set.orderBy("df", "key"))}).withColumn("pos", F.col("n") - F.col("several") + F.col("rank") - 1)
+        first = placed.where(F.expr(f"pos <= ({den - num} * n) div {den}")).select("key", F.lit(False).alias("light"), "sid", "n", F.col("pos").cast("long"))
+        subsets = held.where("light").join(suspects.select("s", "sid"), "s").select("key", "light", "sid", "n", F.lit(0).cast("long").alias("pos"))
+        lists = scratch.save(first.unionByName(subsets), "lists")
+        scratch.drop(held)
+
+        # each member meets the list's centre
+        centre = lists.groupBy("key", "light").agg(F.min(F.struct("pos", "sid", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("key", "light", F.col("c.sid").alias("b"), F.col("c.n").alias("n2"), F.col("c.pos").alias("pos2"))
+        centre = scratch.save(centre, "centre")
+        met = lists.join(centre, ["key", "light"]).where(F.col("sid") != F.col("b")).where(_may_link(num, den))
+        met = met.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
+        stars = connected_components(verified(met, sets, num, den), scratch)
+
+        # members of different components meet where a list has several
+        tagged = lists.join(stars, F.col("sid") == F.col("node"), "left").select(F.xxhash64("key", "light").alias("list"), "sid", "n", "pos", F.coalesce("component", "sid").alias("component"))
+        tagged = scratch.save(tagged, "tagged")
+        several = tagged.groupBy(F.col("list").alias("k")).agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("k", "held")
+        several = scratch.save(several, "several")
+        open_lists = tagged.join(several, F.col("list") == F.col("k"), "left_semi").join(sets.select("sid", "bits"), "sid")
+        rest = in_blocks(open_lists, "list", "sid", several, BLOCK_ROWS).mapInArrow(block_pairs(num, den), "a long, b long").distinct()
+        edges = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(rest, sets, num, den))
+        final = connected_components(edges, scratch)
+
+        # the smallest id of each component, and through the digest of every row
+        named = classes.join(suspects.select("digest", "sid"), "digest", "left").join(final, F.col("sid") == F.col("node"), "left")
+        smallest = scratch.save(named.where("component is not null").groupBy("component").agg(F.min("id").alias("least")), "smallest")
+        named = named.join(smallest, "component", "left").select("digest", F.coalesce("least", "id").alias("component_id"))
+        return scratch.keep(rows.join(named, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")))

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _MULTIPLIER = U64(0xD6E8FEB86659FD93)
-#: Bytes for which each process keeps the powers.
-KEPT = 1_000_000
-_KEPT: list[np.ndarray] = []
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,33 +61,24 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, by prefix sums of a polynomial modulo 2**64."""
+    """A 64-bit hash of each byte span: its length and its blocks of eight bytes, mixed one after another."""
     if not len(start):
         return np.zeros(0, U64)
-    n = len(data)
-    rising, falling = _powers(n)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * rising[:n], out=sums[1:])
-    return mix((sums[end] - sums[start]) * falling[start] + (end - start).astype(U64) * _MULTIPLIER)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the base and of its inverse; those of usual lengths are kept."""
-    if n <= KEPT:
-        if not _KEPT:
-            _KEPT.extend(_power_table(KEPT))
-        return _KEPT[0], _KEPT[1]
-    return _power_table(n)
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INVERSE):
-        table = np.full(n + 1, base, U64)
-        table[0] = 1
-        np.multiply.accumulate(table, out=table)
-        out.append(table)
-    return out[0], out[1]
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from every position
+    size = end - start
+    h = mix(size.astype(U64) + _MULTIPLIER)
+    short = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(short):
+        left = size[short] - at
+        block = eight[start[short] + at] & (~U64(0) >> (U64(8) * U64(8 - np.minimum(left, 8)).astype(U64)))
+        h[short] = mix((h[short] ^ block) * _MULTIPLIER)
+        at += 8
+        short = short[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def shingle_hashes(words: np.ndarray, row: np.ndarray, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +88,7 @@ def shingle_hashes(words: np.ndarray, row: np.ndarray, rows: int, size: int) ->
     if n > 0:
         h = words[:n].copy()
         for k in range(1, size):
-            h = h * _MULTIPLIER + words[k : k + n]
+            h = mix(h + U64(k)) ^ words[k : k + n]
         ok = row[:n] == row[size - 1 :]
         h, at = mix(h[ok]), row[:n][ok]
     else:
@@ -110,7 +99,7 @@ def shingle_hashes(words: np.ndarray, row: np.ndarray, rows: int, size: int) ->
         extra = counts[short].astype(U64)
         for k in range(size - 1):
             has = counts[short] > k
-            extra[has] = extra[has] * _MULTIPLIER + words[first[has] + k]
+            extra[has] = mix(extra[has] * _MULTIPLIER + words[first[has] + k])
         h, at = np.concatenate((h, mix(extra ^ U64(0x5851F42D4C957F2D)))), np.concatenate((at, short))
     return h, at
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
 from math import acos, ceil, log, pi, sqrt
 
 import numpy as np
@@ -24,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.llm.blocks import across, each_part, in_blocks
 from cuelake.llm.components import connected_components
 from cuelake.llm.workdir import Scratch
 
@@ -136,45 +136,6 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def in_blocks(rows: DataFrame, key: str, member: str, sizes: DataFrame, block_rows: int) -> DataFrame:
-    """``rows`` dealt to (key, part): every two blocks of a key, and each with itself, meet in one part.
-
-    ``sizes`` has (k, held) of the keys that matter. A key of one block is one part.
-    """
-    blocks = sizes.select(F.col("k").alias("_k"), F.ceil(F.col("held") / block_rows).cast("int").alias("_blocks"))
-    block = F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    dealt = rows.join(blocks, F.col(key) == F.col("_k")).withColumn("block", block).withColumn("_p", F.explode(pairs))
-    dealt = dealt.withColumn("part", (F.col("_p.i").cast("long") * (1 << 31) + F.col("_p.j"))).drop("_k", "_blocks", "_p")
-    return dealt.repartition(key, "part").sortWithinPartitions(key, "part")
-
-
-def each_part(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The rows of each (key, part) of ``in_blocks``, put together over batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k, p = batch.column(key).to_numpy(), batch.column("part").to_numpy()
-        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1])) + 1).tolist(), len(k)]
-        for i, j in itertools.pairwise(cuts):
-            if held and (held[-1].column(key)[-1].as_py() != k[i] or held[-1].column("part")[-1].as_py() != p[i]):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(i, j - i))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def across(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs belong to this part: those of two blocks have one member in each."""
-    part = table.column("part")[0].as_py()
-    if part >> 31 == part & ((1 << 31) - 1):
-        return np.ones(len(i), bool)
-    block = table.column("block").to_numpy()
-    return block[i] != block[j]
-
-
 def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", least_cosine: float = 0.95, tables: int | None = None, hashes: int | None = None, probes: int | None = None, block_rows: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 

@@ -82,6 +82,45 @@ def test_group_of_near_copies_makes_no_pairs(spark):
     assert {r.component_id for r in out} == {0} and rng
 
 
+def thue_morse(length):
+    out = "a"
+    while len(out) < length:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_words_of_one_sum_are_not_one_word(spark):
+    """Words whose polynomials vanish modulo powers of two, long and short, have hashes of their own."""
+    rows = []
+    for k, n in enumerate((16, 256, 512, 1024, 4096)):
+        rows += [(2 * k + 1, thue_morse(n)), (2 * k + 2, thue_morse(n).translate(str.maketrans("ab", "ba")))]
+    rows.append((50, " ".join(t for _, t in rows)))
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()}
+    assert out == {i: (1, i) for i, _ in rows[:-1]} | {50: (10, 50)}
+
+
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(3)
+    for size, gone in ((40, 3), (300, 60), (5000, 900)):
+        a = rng.integers(0, 2**64, size, dtype=np.uint64)
+        b = np.concatenate((a[gone:], rng.integers(0, 2**64, gone, dtype=np.uint64)))
+        x = np.frombuffer(J.parity(np.concatenate((a, b)), np.repeat([0, 1], size), 2).tobytes(), np.uint64).reshape(2, -1)
+        assert 0 < np.bitwise_count(x[0] ^ x[1]).sum() <= 2 * gone
+
+
+def test_passage_of_many_unlike_documents(spark):
+    """Documents that are mostly one passage, a little too unlike to link, meet in blocks; the links among them are found."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(i, " ".join(passage + [f"u{i}_{k}" for k in range(10)])) for i in range(300)]
+    rows += [(1000 + i, rows[7 * i][1] + f" t{i}") for i in range(40)]
+    rng.shuffle(rows)
+    J.BLOCK_ROWS, before = 64, J.BLOCK_ROWS
+    out = {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    J.BLOCK_ROWS = before
+    assert out == {i: (i if i < 1000 else 7 * (i - 1000)) for i, _ in rows}
+
+
 def test_light_sets_share_a_subset_key():
     for num, den in ((85, 100), (4, 5)):
         for b in range(1, 20):
