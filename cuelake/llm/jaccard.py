@@ -30,10 +30,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cuelake.llm import bitmap
 from cuelake.llm import textvec as V
 from cuelake.llm.blocks import across, in_blocks, pairs_at, whole_parts
 from cuelake.llm.components import connected_components
@@ -180,19 +181,6 @@ def _may_link(num: int, den: int):
     return (F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (rest >= need)
 
 
-def possible_members(rows: DataFrame, members: DataFrame, key: Column, buckets: int) -> DataFrame:
-    """Rows whose key, an expression of both frames, may be among ``members``: a bitmap of hashed keys, ``buckets`` x 4 KB at any size of the table.
-
-    It keeps rows without a partner from a shuffle; it never drops a member, and lets others pass
-    as it fills.
-    """
-    place = F.pmod(key, F.lit(buckets * 32768))
-    bits = members.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("_bits"))
-    placed = rows.withColumn("_p", place).join(F.broadcast(bits), F.floor(F.col("_p") / 32768) == F.col("_bucket"))
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_p") % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return placed.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_p % 8 as int))")) != 0).drop("_p", "_bucket", "_bits")
-
-
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
@@ -254,8 +242,9 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         need = F.expr(f"(({den - num} * (({num} * n + {den - 1}) div {den})) div {den}) div 2 + 1")
         enough = held.groupBy("s", "n").agg(F.count_if(~F.col("light")).alias("keys"), F.bool_or("light").alias("light")).where(F.col("light") | (F.col("keys") >= need)).select("s")
         suspects = scratch.save(classes.join(enough, "s", "left_semi").withColumn("sid", F.monotonically_increasing_id()), "suspects")
-        buckets = min(16_384, max(64, suspects.count() // 4096))  # eight bits a suspect, 64 MB at most
-        whole = possible_members(full_sets(docs, doc_id, text, words), suspects, F.xxhash64("id", "digest"), buckets).groupBy("digest").agg(F.first("elements").alias("elements"), F.first("bits").alias("bits"))
+        # elements of those rows only that may be a suspect's first one
+        whole = bitmap.flagged(full_sets(docs, doc_id, text, words), suspects, F.xxhash64("id", "digest"), bitmap.buckets_for(suspects.count()), "wanted").where("wanted")
+        whole = whole.groupBy("digest").agg(F.first("elements").alias("elements"), F.first("bits").alias("bits"))
         sets = scratch.save(whole.join(suspects, "digest").select("sid", "n", "elements", "bits"), "sets")
 
         # inverted lists over the rarest shingles of each suspect

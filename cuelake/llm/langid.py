@@ -25,20 +25,25 @@ RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField
 BLOCK = 4096
 
 
-def dictionaries(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = 2_500, pieces: int = 6, dictionary_bytes: int = 96_000) -> dict[str, bytes]:
+def dictionaries(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = 900, pieces: int = 6, dictionary_bytes: int = 120_000) -> dict[str, bytes]:
     """Raw dictionary content of every non-null language in ``docs``.
 
-    A bounded sample of labelled rows: of each language the ``texts`` first rows in the order of a
-    hash of the id. A text gives at most ``pieces`` runs of three words, those with the smallest
-    hashes, so that copies give the same ones and neither a long text, a wrong label nor a passage
-    that many texts share fills a dictionary. Distinct pieces are joined in the order of their
-    hashes, up to ``dictionary_bytes``. Rows with a null id, null text, no letter or null language
-    teach nothing; what reaches the driver is texts * pieces short strings a language at most.
+    A bounded sample of labelled rows: of each language the ``texts`` first ids in the order of a
+    hash. A text gives at most ``pieces`` runs of three words, those with the smallest hashes, so
+    that copies give the same ones and neither a long text, a wrong label nor a passage that many
+    texts share fills a dictionary. Distinct pieces are joined in the order of their hashes. They
+    come to about 100 KB a language; ``dictionary_bytes``, what the compressor can look back to,
+    ends a dictionary before that only where words are very long. Rows with a null id, null text, no letter or
+    null language teach nothing; what reaches the driver is texts * pieces short strings a language at most.
     """
     usable = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("id is not null and lang is not null and text is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = usable.where(F.col("text").rlike("\\p{L}")).select("lang", "id").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= texts)
-    ids = ids.select(F.col("lang").alias("lang2"), F.col("id").alias("id2")).distinct()
+    known = usable.where(F.col("text").rlike("\\p{L}")).select("lang", "id", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h"))
+    # a range of hashes that holds about twice as many ids as are wanted, so that ranking them takes a few thousand rows a language at any size
+    share = F.least(F.lit(1.0), F.lit(2.0 * texts + 200) / F.approx_count_distinct("id", 0.02))
+    ranges = known.groupBy(F.col("lang").alias("of")).agg((share * (1 << 40)).alias("below"))
+    few = known.join(F.broadcast(ranges), F.col("lang") == F.col("of")).where("h < below").select("lang", "id", "h").distinct()
+    ids = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("rank") <= texts)
+    ids = ids.select(F.col("lang").alias("lang2"), F.col("id").alias("id2"))
     rows = usable.join(F.broadcast(ids), (F.col("id") == F.col("id2")) & (F.col("lang") == F.col("lang2")))
     words = rows.select("lang", F.filter(F.split(F.lower("text"), "\\s+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
     runs = words.select("lang", F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 3).cast("int")), lambda i: F.array_join(F.slice(F.col("w"), i * 3 + 1, F.lit(3)), " ")).alias("runs"))
@@ -106,5 +111,7 @@ def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
     ones; an empty table gives an empty result.
     """
     learned = dictionaries(docs.where(~held_out(doc_id)), doc_id=doc_id, text=text, lang=lang)
-    judged = docs.withColumns({"held_out": held_out(doc_id), "_judged": predict(docs.sparkSession, learned, text, margin=margin)})
-    return judged.withColumns({c: F.col(f"_judged.{c}") for c in ("lang_pred", "score", "rejected")}).drop("_judged")
+    new = ("held_out", "lang_pred", "score", "rejected")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    judged = docs.select(row.alias("row"), held_out(doc_id).alias("held_out"), predict(docs.sparkSession, learned, text, margin=margin).alias("judged"))
+    return judged.select("row.*", "held_out", *[F.col(f"judged.{c}") for c in new[1:]])

@@ -4,20 +4,25 @@ Each source has a weight at the start and at the end of training, linear in betw
 of that schedule, scaled to the source's target, is its demand up to a time; the position of a
 copy is the time at which the demand reaches the words before it. Words before a document are a
 running sum in the order of a hash, taken in two steps so that no source has to pass through one
-task: sums of 4,096 hash ranges of a source first, then the rows of one range.
+task: sums of the hash ranges of a source first, then the rows of one range. There are as many
+ranges as keep one at some ten thousand rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cuelake.llm.workdir import Scratch
+
 #: Weights by the place of a source in code point order, and the start and end of its schedule; both repeat.
 WEIGHTS, SCHEDULES = (5, 2, 1), ((2.0, 1.0), (1.0, 1.0), (1.0, 3.0))
-BUCKET_DIGITS = 3
+#: Rows that a hash range should hold at most, if ranges are even.
+RANGE_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -60,15 +65,20 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     With ``whole_rows`` the row itself follows as the struct ``row``, so no column of it can clash.
 
     size counts the words of a text (null: none). A source takes its documents in the order of an
-    MD5 of the id, again from the first when all are taken, until its target is met: ``copies``
+    MD5 of id and text, again from the first when all are taken, until its target is met: ``copies``
     times as a whole, and the document at the end for its first ``part`` words. position is the
     time, 0 to 1, of the first copy; null if nothing is taken. Rows of a null source are a source
-    of their own, the last; rows with equal ids follow each other by size. Empty texts and empty
+    of their own, the last; repeated rows follow each other. Empty texts and empty
     sources take nothing; an empty table gives an empty result.
     """
+    digits = max(2, math.ceil(math.log(max(1, docs.count() / RANGE_ROWS), 16)))
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), *row).withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("_range", F.substring("_hash", 1, BUCKET_DIGITS))
+    content = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), F.md5(content).alias("_hash"), *row)
+    rows = rows.withColumn("_range", F.substring("_hash", 1, digits))
+    if not whole_rows:  # words are counted once
+        with Scratch(docs.sparkSession, "mixing") as scratch:
+            rows = scratch.keep(scratch.save(rows, "sizes"))
     ranges = rows.groupBy("source", "_range").agg(F.sum("size").alias("held"))
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("_before", F.coalesce(F.sum("held").over(earlier), F.lit(0)))

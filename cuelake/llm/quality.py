@@ -177,5 +177,7 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, *, doc_id: str = "doc_i
     is 0. An empty table gives an empty result.
     """
     model = train(docs, ratings, doc_id=doc_id, text=text, grade=grade, grades_count=grades_count)
-    judged = docs.withColumn("_judged", grade_texts(docs.sparkSession, model, text, least_grade=least_grade))
-    return judged.withColumns({"expected_grade": F.col("_judged.expected_grade"), "tail_probability": F.col("_judged.tail_probability"), "kept": F.col("_judged.tail_probability") >= least_probability}).drop("_judged")
+    new = ("expected_grade", "tail_probability", "kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    judged = docs.select(row.alias("row"), grade_texts(docs.sparkSession, model, text, least_grade=least_grade).alias("judged"))
+    return judged.select("row.*", "judged.expected_grade", "judged.tail_probability", (F.col("judged.tail_probability") >= least_probability).alias("kept"))

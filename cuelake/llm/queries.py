@@ -63,9 +63,10 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = Scratch(spark, "archives").path("warc")
-    warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    return warc.catalogue(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with Scratch(spark, "archives") as scratch:
+        folder = scratch.path("warc")
+        warc.write_archives(table(spark, sf_dir, "pages"), folder)
+        return scratch.keep(warc.catalogue(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_embedding_neardup, op3_secret_scan, op4_language_id, op5_ngram_jaccard, op6_source_mix, op7_url_filter, op8_byte_bpe, op9_exact_topk, op10_warc)}
@@ -86,7 +87,7 @@ SQL = {
         reach as (select a, b from links union select x.a, l.b from reach x join links l on x.b = l.a), parts as (select a, least(a, min(b)) as component_id from reach group by a)
         select doc_id, len(shingles)::bigint as n_shingles, coalesce(component_id, doc_id) as component_id from s left join parts on a = doc_id""",
     "op6_source_mix": """
-        with d as (select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as h, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
+        with d as (select doc_id, source, md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')) as h, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
         s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place from d group by source),
         w as (select *, [5.0::double, 2, 1][place % 3 + 1] as weight, [2.0::double, 1, 1][place % 3 + 1] as begin_, [1.0::double, 1, 3][place % 3 + 1] as finish from s),
         c as (select *, sum(source_size) over () as total, coalesce(sum(source_size) over (order by source_size / weight, place rows between unbounded preceding and 1 preceding), 0) as full_,

@@ -1,92 +1,76 @@
 """Secret scans through a trigram inverted index, in DataFrame operations only.
 
-Each rule's regular expression has a Boolean trigram query: alternatives, each a set of trigrams
-that any match must hold. The index maps the trigrams that some query names to the documents
-with them, and only documents that satisfy a rule's query are verified by its expression. A rule
-without a mandatory trigram, such as a run of hexadecimal digits, scans every document.
+A Boolean trigram query is derived from each rule's regular expression. The index maps the trigrams
+that some query names to the documents with them; postings are intersected to the documents that
+satisfy a query, and only those are verified by the expressions. A rule without a mandatory
+trigram, such as a run of hexadecimal digits, scans every document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.llm import bitmap
+from cuelake.llm.trigrams import Query, named, query_of
+from cuelake.llm.workdir import Scratch
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret.
-
-    ``regex`` finds it; ``literals`` lists the alternatives of mandatory text, in lower case, from
-    which the trigram query is derived: every match holds all parts of one alternative. ``least``
-    is the length that ``group`` needs for a match to count.
-    """
+    """A kind of secret: ``regex`` finds it; ``least`` is the length that ``group`` needs for a match to count."""
 
     kind: str
     regex: str
-    literals: tuple[tuple[str, ...], ...] = ()
     group: int = 0
     least: int = 1
     base: bool = field(default=False)
 
-    def query(self) -> list[frozenset[str]]:
-        """Alternatives of mandatory trigrams; empty if one alternative has none, so that nothing can be ruled out."""
-        parts = [frozenset(t[i : i + 3] for t in alternative for i in range(len(t) - 2)) for alternative in self.literals]
-        return parts if all(parts) else []
+    def query(self) -> Query:
+        return query_of(self.regex)
 
 
 #: The three patterns of the contract, in the order of its list.
 BASE_RULES = (
-    Rule("assign", "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", (("password",), ("passwd",), ("secret",), ("token",), ("api_key",), ("apikey",)), 2, 6, True),
-    Rule("access", "AKIA[A-Z0-9]+", (("akia",),), 0, 20, True),
-    Rule("hex", "[0-9a-f]+", (), 0, 24, True),
+    Rule("assign", "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, True),
+    Rule("access", "AKIA[A-Z0-9]+", 0, 20, True),
+    Rule("hex", "[0-9a-f]+", 0, 24, True),
 )
 #: What the method adds: well-known token forms.
 MORE_RULES = (
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", (("-----begin ", "private key-----"),)),
-    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",))),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", (("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",))),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]+", (("eyj", ".eyj"),)),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE_RULES + MORE_RULES
-#: Trigrams to each long of a posting's mask.
-MASK_BITS = 60
-
-
-def trigrams(rules: Sequence[Rule]) -> list[str]:
-    """The trigrams that any query names, in order; a trigram's place is its number."""
-    return sorted({t for r in rules for part in r.query() for t in part})
 
 
 def index(docs: DataFrame, key: str, text: str, grams: Sequence[str]) -> DataFrame:
     """The inverted index: (gram, key) for each trigram and each document that holds it, capitals made small."""
     small = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     holds = docs.select(F.col(key).alias("key"), small.alias("small")).select("key", *[F.col("small").contains(g).alias(f"g{i}") for i, g in enumerate(grams)])
-    return holds.select("key", F.explode(F.filter(F.array(*[F.when(F.col(f"g{i}"), F.lit(i)) for i in range(len(grams))]), lambda x: x.isNotNull())).alias("gram"))
+    return holds.select("key", F.explode(F.filter(F.array(*[F.when(F.col(f"g{i}"), F.lit(g)) for i, g in enumerate(grams)]), lambda x: x.isNotNull())).alias("gram"))
 
 
-def candidates(postings: DataFrame, rules: Sequence[Rule], grams: Sequence[str]) -> DataFrame:
-    """(key, kinds): the documents whose postings intersect to a rule's query, with the bit mask of such rules.
+def candidates(postings: DataFrame, queries: Sequence[Query]) -> DataFrame:
+    """(key): the documents that satisfy one of the queries.
 
-    Postings of a document are joined to one row before they are shuffled, so a trigram that most
+    Postings meet the conjunctions that name their trigram (a small table, as large as the rules);
+    a document is in the intersection of a conjunction's postings if it has a posting of each of its
+    trigrams. These are counted by document, joined before the shuffle, so a trigram that most
     documents hold makes no large group.
     """
-    word = {g: i // MASK_BITS for i, g in enumerate(grams)}
-    bit = {g: 1 << i % MASK_BITS for i, g in enumerate(grams)}
-    words = range(-(-len(grams) // MASK_BITS))
-    one = F.expr(f"shiftleft(1L, gram % {MASK_BITS})")
-    held = postings.groupBy("key").agg(*[F.bit_or(F.when(F.floor(F.col("gram") / MASK_BITS) == w, one).otherwise(F.lit(0).cast("long"))).alias(f"held{w}") for w in words])
-    kinds = F.lit(0).cast("long")
-    for n, rule in enumerate(rules):
-        for part in rule.query():
-            masks = {w: sum(bit[g] for g in part if word[g] == w) for w in words}
-            fits = [F.col(f"held{w}").bitwiseAND(F.lit(m).cast("long")) == F.lit(m) for w, m in masks.items() if m]
-            kinds = kinds.bitwiseOR(F.when(reduce(and_, fits), F.lit(1 << n)).otherwise(F.lit(0)).cast("long"))
-    return held.select("key", kinds.alias("kinds")).where("kinds <> 0")
+    parts = sorted({tuple(sorted(part)) for q in queries for part in q})
+    rows = [F.struct(F.lit(g).alias("gram"), F.lit(n).alias("part"), F.lit(1 << i % 60).cast("long").alias("bit"), F.lit(i // 60).alias("word"), F.lit(len(part)).alias("size")) for n, part in enumerate(parts) for i, g in enumerate(part)]
+    words = -(-max(map(len, parts)) // 60)
+    named_by = postings.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    met = postings.join(F.broadcast(named_by), "gram")
+    held = met.groupBy("key", "part").agg(F.max("size").alias("size"), *[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"held{w}") for w in range(words)])
+    return held.where(sum((F.bit_count(f"held{w}") for w in range(words)), F.lit(0)) == F.col("size")).select("key").distinct()
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -118,26 +102,29 @@ def find(text: Column, rule: Rule) -> Column:
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``docs`` with ``secrets``: array(struct(start, end, kind_no, kind, base)) by start, then kind (a column of this name is replaced).
+    """``docs`` with ``secrets``: array(struct(start, kind_no, end, kind, base)) by start, then kind (a column of this name is replaced).
 
     Offsets are code points, end exclusive. Texts are scanned as a whole; null and empty texts
-    have no secret. Rows that share an id share the index's answer, which lets pass more rows than
-    needed but never fewer; rows with a null id are one such group. An empty table gives an empty result.
+    have no secret. The ids of candidates are written and come back to the texts as a bitmap of
+    hashes (64 MB at most), so no text is shuffled. Rows that share an id share the index's answer,
+    which lets pass more rows than needed but never fewer; so do rows with a null id. An empty
+    table gives an empty result.
     """
-    grams = trigrams(rules)
-    filtered = [(n, r) for n, r in enumerate(rules) if r.query()]
-    whole = [(n, r) for n, r in enumerate(rules) if not r.query()]
-
-    def typed(n: int, rule: Rule) -> Column:
-        return F.transform(find(F.col("_text"), rule), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(n).alias("kind_no"), F.lit(rule.kind).alias("kind"), F.lit(rule.base).alias("base")))
-
-    none = F.array().cast("array<struct<start:int,end:int,kind_no:int,kind:string,base:boolean>>")
-    keyed = docs.withColumns({"_text": F.coalesce(F.col(text).cast("string"), F.lit("")), "_key": F.coalesce(F.col(doc_id).cast("string"), F.lit(""))})
-    hits = candidates(index(keyed, "_key", "_text", grams), rules, grams)
-    hits = hits.withColumnsRenamed({"key": "_hit", "kinds": "_kinds"})
-    joined = keyed.join(hits, F.col("_key") == F.col("_hit"), "left")
-    parts = [typed(n, r) for n, r in whole] + [F.when(F.col("_kinds").bitwiseAND(F.lit(1 << n)) != 0, typed(n, r)).otherwise(none) for n, r in filtered]
-    return joined.withColumn("secrets", F.array_sort(F.concat(*parts))).drop("_text", "_key", "_hit", "_kinds")
+    queries = [r.query() for r in rules]
+    key = F.xxhash64(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "secrets"]
+    rows = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), key.alias("key"))
+    with Scratch(docs.sparkSession, "secrets") as scratch:
+        if any(queries):
+            hits = scratch.save(candidates(index(rows, "key", "text", named(queries)), queries), "candidates")
+            rows = bitmap.flagged(rows, hits, F.col("key"), bitmap.buckets_for(hits.count()), "candidate")
+
+        def typed(n: int, rule: Rule) -> Column:
+            return F.transform(find(F.col("text"), rule), lambda s: F.struct(s.start.alias("start"), F.lit(n).alias("kind_no"), s.end.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.base).alias("base")))
+
+        none = F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string,base:boolean>>")
+        found = [F.when(F.col("candidate"), typed(n, r)).otherwise(none) if q else typed(n, r) for n, (r, q) in enumerate(zip(rules, queries, strict=True))]
+        return scratch.keep(rows.select("row.*", F.array_sort(F.concat(*found)).alias("secrets")))
 
 
 def joined_spans(spans: Column) -> Column:

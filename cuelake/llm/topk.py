@@ -3,7 +3,11 @@
 Data and queries are grouped by their nearest pivot. With a pivot p, a member x at distance d, and
 a query q at distance at most r from the pivot c of its group, Cauchy and Schwarz give
 
-    |q.x - c.p| <= |c| d + r |p| + r d.
+    |q.x - c.p| <= |c| d + r |p| + r d,
+
+and the triangle inequality, as 2 q.x = |q|^2 + |x|^2 - |q - x|^2, bounds the product through
+
+    |c - p| - r - d <= |q - x| <= |c - p| + r + d.
 
 From the nearest distances of each data group follows a score that k data vectors reach for every
 query of a group; a vector whose upper bound is less is not sent there. What is sent is cut into
@@ -23,8 +27,8 @@ from pyspark.sql.window import Window
 
 from cuelake.llm.workdir import Scratch
 
-#: Pivots are a sample: the first rows in the order of a hash of the id, for each length of vectors.
-PIVOTS, QUERY_PIVOTS = 64, 7
+#: Most pivots of data (else the root of their number) and of queries: a sample, for each length of vectors the first in the order of a hash of the id.
+PIVOTS, QUERY_PIVOTS = 256, 7
 FOUND = "query_id long, query_key long, vec_id long, score long"
 
 
@@ -42,7 +46,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def nearest(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """(id, v, width, pivot, dist): the nearest pivot of the row's length; pivot 0 is the origin."""
+    """(id, v, width, pivot, dist, norm): the nearest pivot of the row's length, the first of equally near ones, and the row's own length."""
 
     def run(batches):
         for batch in batches:
@@ -54,46 +58,56 @@ def nearest(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 square = (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)[None]
                 at = square.argmin(axis=1)
                 dist = np.sqrt(((x - p[at]) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(np.full(len(x), width)), pa.array(at.astype(np.int64)), pa.array(dist)], ["id", "v", "width", "pivot", "dist"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(np.full(len(x), width)), pa.array(at.astype(np.int64)), pa.array(dist), pa.array(np.sqrt((x * x).sum(1)))], ["id", "v", "width", "pivot", "dist", "norm"])
 
-    return rows.mapInArrow(run, "id long, v array<long>, width long, pivot long, dist double")
+    return rows.mapInArrow(run, "id long, v array<long>, width long, pivot long, dist double, norm double")
 
 
 def sample_pivots(rows: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """The origin and at most ``count`` vectors of each length."""
+    """At most ``count`` distinct vectors of each length."""
     first = Window.partitionBy(F.size("v")).orderBy(F.xxhash64("id"), "id")
     picked = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= count).select("id", "v").collect()
-    out: dict[int, list] = {}
+    out: dict[int, dict] = {}
     for r in sorted(picked, key=lambda r: r.id):
-        out.setdefault(len(r.v), [[0] * len(r.v)]).append(r.v)
-    return {w: np.array(v, np.float64) for w, v in out.items()}
+        out.setdefault(len(r.v), {})[tuple(r.v)] = None
+    return {w: np.array(list(v), np.float64).reshape(len(v), w) for w, v in out.items()}
+
+
+def bounds(q, g, c: np.ndarray, p: np.ndarray, floor: float) -> float:
+    """The least distance from its pivot at which a member of data group ``g`` can reach ``floor`` for a query of group ``q``; infinite if none can."""
+    apart, norm_c, norm_p = float(np.linalg.norm(c - p)), float(np.linalg.norm(c)), float(np.linalg.norm(p))
+    most = q.longest**2 + g.longest**2 - 2 * floor
+    if floor > q.longest * g.longest or most < 0:
+        return math.inf
+    slope, rest = norm_c + q.radius, floor - float(c @ p) - q.radius * norm_p
+    by_product = rest / slope if slope > 0 else (0.0 if rest <= 0 else math.inf)
+    return max(0.0, by_product, apart - q.radius - math.sqrt(most))
+
+
+def reached(q, g, c: np.ndarray, p: np.ndarray, dist: float) -> float:
+    """A score that a member at this distance from its pivot has at least, for every query of group ``q``."""
+    apart, norm_c, norm_p = float(np.linalg.norm(c - p)), float(np.linalg.norm(c)), float(np.linalg.norm(p))
+    by_product = float(c @ p) - q.radius * norm_p - (norm_c + q.radius) * dist
+    return max(by_product, (q.shortest**2 + g.shortest**2 - (apart + q.radius + dist) ** 2) / 2)
 
 
 def routes(data: list, near: list, queries: list, pivots: dict[int, np.ndarray], query_pivots: dict[int, np.ndarray], k: int, block: int) -> list[tuple]:
     """(width, pivot, query group, least distance, data blocks, query blocks) of each data group that a query group needs.
 
-    ``data`` and ``queries`` are rows (width, pivot, members, radius), ``near`` rows (width, pivot,
-    dist) of the k + 1 nearest members of each data group, no id twice: one more than k, as a query's
-    id may be one.
+    ``data`` and ``queries`` are rows (width, pivot, members, radius, shortest, longest), ``near``
+    rows (width, pivot, dist) of the k + 1 nearest members of each data group, no id twice: one more
+    than k, as a query's id may be one.
     """
     out = []
     for q in queries:
-        c, r = query_pivots[q.width][q.pivot] if q.width in query_pivots else np.zeros(q.width), q.radius
-        norm_c = math.sqrt(float(c @ c))
-        terms = {}
-        for g in data:
-            if g.width == q.width:
-                p = pivots[g.width][g.pivot] if g.width in pivots else np.zeros(g.width)
-                terms[g.pivot] = (float(c @ p), r * math.sqrt(float(p @ p)), g)
-        lows = sorted((terms[n.pivot][0] - terms[n.pivot][1] - (norm_c + r) * n.dist for n in near if n.width == q.width), reverse=True)
-        floor = lows[k] if len(lows) > k else -math.inf
-        floor -= 1e-6 * (1 + abs(floor)) if floor > -math.inf else 0
+        c, groups = query_pivots[q.width][q.pivot], {g.pivot: g for g in data if g.width == q.width}
+        lows = sorted((reached(q, groups[n.pivot], c, pivots[q.width][n.pivot], n.dist) for n in near if n.width == q.width), reverse=True)
+        floor = lows[k] - 1e-6 * (1 + abs(lows[k])) if len(lows) > k else -math.inf
         need = {}
-        for pivot, (cp, rp, g) in terms.items():
-            slope = norm_c + r
-            least = (floor - cp - rp) / slope if slope > 0 else (0.0 if cp + rp >= floor else math.inf)
+        for pivot, g in groups.items():
+            least = bounds(q, g, c, pivots[q.width][pivot], floor) if floor > -math.inf else 0.0
             if g.radius >= least:
-                need[pivot] = (max(least, 0.0), g.members)
+                need[pivot] = (least, g.members)
         blocks = max(1, math.ceil(sum(m for _, m in need.values()) / block))
         out += [(q.width, pivot, q.pivot, least, blocks, max(1, math.ceil(q.members / 512))) for pivot, (least, _) in need.items()]
     return out
@@ -127,14 +141,18 @@ def top_k(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", vector: str =
     returned; an empty table gives an empty result. Scores must fit 64 bits.
     """
     spark = vectors.sparkSession
-    scratch = Scratch(spark, "topk")
-    rows = whole_vectors(vectors, vec_id, vector, scale)
-    asked = rows.where(is_query).distinct()
-    pivots, query_pivots = sample_pivots(rows, PIVOTS), sample_pivots(asked, QUERY_PIVOTS)
+    with Scratch(spark, "topk") as scratch:
+        rows = whole_vectors(vectors, vec_id, vector, scale)
+        return scratch.keep(_joined(rows, rows.where(is_query).distinct(), scratch, k, block))
+
+
+def _joined(rows: DataFrame, asked: DataFrame, scratch: Scratch, k: int, block: int) -> DataFrame:
+    spark = rows.sparkSession
+    pivots, query_pivots = sample_pivots(rows, min(PIVOTS, max(1, math.isqrt(rows.count())))), sample_pivots(asked, QUERY_PIVOTS)
     data = scratch.save(nearest(rows, pivots), "data")
     queries = scratch.save(nearest(asked, query_pivots).withColumn("key", F.xxhash64("v")), "queries")
     # summaries: a row a group, k + 1 distances a data group
-    groups = lambda df: df.groupBy("width", "pivot").agg(F.count("*").alias("members"), F.max("dist").alias("radius")).collect()
+    groups = lambda df: df.groupBy("width", "pivot").agg(F.count("*").alias("members"), F.max("dist").alias("radius"), F.min("norm").alias("shortest"), F.max("norm").alias("longest")).collect()
     once = data.groupBy("width", "id").agg(F.min(F.struct("dist", "pivot")).alias("m")).select("width", "m.pivot", "m.dist")  # a bound an id: of the k + 1 the query's own rows hold one at most
     near = once.select("width", "pivot", "dist", F.row_number().over(Window.partitionBy("width", "pivot").orderBy("dist")).alias("rank")).where(F.col("rank") <= k + 1).collect()
     table = routes(groups(data), near, groups(queries), pivots, query_pivots, k, block)

@@ -1,6 +1,6 @@
-import gzip
 import hashlib
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,12 +87,53 @@ def test_round_trip(spark):
     assert read_back(spark, [(1, "u", "x", "k")][:0] or [])[1] == []
 
 
-def test_archives_are_plain_records(spark, tmp_path):
-    folder = str(tmp_path / "w")
-    warc.write_archives(spark.createDataFrame([(1, "http://a/", "x" * 300)], "page_id long, url string, html string"), "file://" + folder, segment_bytes=150)
-    files = list((tmp_path / "w").glob("*.gz"))
-    records = [r for f in files for r in warc.parse(gzip.open(f))]
-    assert [f["warc-type"] for f, _ in records] == ["response", "continuation", "continuation"] and records[-1][0]["warc-segment-total-length"] == str(sum(len(b) for _, b in records))
+def members(content):
+    """The uncompressed gzip members of a file, one by one."""
+    import zlib
+
+    while content:
+        d = zlib.decompressobj(31)
+        out = d.decompress(content)
+        assert d.eof
+        yield out
+        content = d.unused_data
+
+
+def independent_reader(folder):
+    """Records by their names as an archive tool would see them: (fields, block), read without the library."""
+    found = {}
+    for f in sorted(folder.glob("*.txt")):
+        for content in members(f.read_bytes()):
+            head, _, rest = content.partition(b"\r\n\r\n")
+            first, *lines = head.decode().split("\r\n")
+            fields = dict(line.split(": ", 1) for line in lines)
+            block = rest[: int(fields["Content-Length"])]
+            assert first == "WARC/1.1" and rest[len(block) :] == b"\r\n\r\n" and re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["WARC-Record-ID"]) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+            assert fields["WARC-Record-ID"] not in found
+            found[fields["WARC-Record-ID"]] = fields, block
+    return found
+
+
+def test_archives_are_valid_records(spark, tmp_path):
+    """A member a record, fields that the standard asks for, names that are unique and the same in each run, references that lead to a record."""
+    rows = [(1, "http://a/", "x" * 300), (2, "http://b/", "x" * 300), (2, "http://b/", "x" * 300), (3, "http://c/", "short"), (3, "http://c/", "short"), (4, None, "é" * 200_000), (None, "http://d/", "x" * 300), (5, "u", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(df, "file://" + str(tmp_path / "w"), segment_bytes=4096)
+    found = independent_reader(tmp_path / "w")
+    kinds = [f["WARC-Type"] for f, _ in found.values()]
+    assert kinds.count("revisit") == 3 and kinds.count("response") == 5 and kinds.count("continuation") == len(kinds) - 8
+    for fields, _ in found.values():
+        if fields["WARC-Type"] == "revisit":
+            target, _ = found[fields["WARC-Refers-To"]]
+            assert target["WARC-Type"] == "response" and target["X-Page-Id"] == "1" and target["WARC-Payload-Digest"] == fields["WARC-Payload-Digest"]
+        if fields["WARC-Type"] == "continuation":
+            assert found[fields["WARC-Segment-Origin-ID"]][0]["WARC-Segment-Number"] == "1"
+        else:
+            assert fields["Content-Type"] == "application/http; msgtype=response"
+    last = [f for f, _ in found.values() if "WARC-Segment-Total-Length" in f and f["WARC-Segment-Origin-ID"] in found]
+    assert len(last) == 1 and int(last[0]["WARC-Segment-Total-Length"]) == sum(len(b) for f, b in found.values() if f["WARC-Type"] == "continuation") + 4096
+    warc.write_archives(df.repartition(3), "file://" + str(tmp_path / "again"), segment_bytes=4096)
+    assert independent_reader(tmp_path / "again") == found
 
 
 def segments(spark, parts):
@@ -120,6 +161,8 @@ def test_framing():
             warc.unchunked(broken)
     with pytest.raises(ValueError):
         list(warc.parse(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")))
+    with pytest.raises(ValueError):
+        list(warc.parse(io.BytesIO(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n")))
 
 
 def test_query(spark, small):

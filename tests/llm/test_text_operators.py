@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cuelake.llm import langid, mixing, quality, queries, secrets
+from cuelake.llm import langid, mixing, quality, queries, secrets, trigrams
 
 ASSIGN = re.compile("([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
@@ -44,12 +44,50 @@ def test_secret_edges(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_queries_follow_from_the_expressions():
+    found = {r.kind: sorted(sorted(p) for p in r.query()) for r in secrets.RULES}
+    assert found["hex"] == [] and found["access"] == [["aki", "kia"]]
+    assert ["ken", "oke", "tok"] in found["assign"] and len(found["assign"]) == 6
+    assert trigrams.query_of("ab(c|[de])f+x?") == frozenset(frozenset(("ab" + c, f"b{c}f")) for c in "cde") and trigrams.query_of("ab|cdef") == frozenset()
+
+
 def test_trigram_queries_never_lose_a_match():
     for rule in secrets.RULES:
         for t in secret_texts():
             if re.search(rule.regex.replace("\\x20", " "), t):
-                small = "".join(c.lower() if c.isascii() else c for c in t)
-                assert not rule.query() or any(all(g in small for g in part) for part in rule.query())
+                assert trigrams.fits("".join(c.lower() if c.isascii() else c for c in t), rule.query())
+    rng = random.Random(1)
+
+    def expression(depth):
+        k = rng.random()
+        if depth == 0 or k < 0.35:
+            return "".join(rng.choice("abAB-x") for _ in range(rng.randint(1, 4)))
+        if k < 0.45:
+            return rng.choice(["[ab]", "[a-c]", "[^a]", "[abxA]", ".", "\\b"])
+        if k < 0.6:
+            return f"(?:{expression(depth - 1)}|{expression(depth - 1)})"
+        if k < 0.75:
+            return f"(?:{expression(depth - 1)})" + rng.choice(["?", "*", "+", "{2}", "{1,3}", "{2,}", "+?"])
+        return expression(depth - 1) + expression(depth - 1)
+
+    ruled_out = matched = 0
+    for _ in range(1500):
+        e = expression(4)
+        query, compiled = trigrams.query_of(e), re.compile(e)
+        for _ in range(40):
+            t = "".join(rng.choice("abABcx-") for _ in range(rng.randint(1, 14)))
+            may = trigrams.fits(t.lower(), query)
+            assert may or not compiled.search(t)
+            matched, ruled_out = matched + bool(compiled.search(t)), ruled_out + (not may)
+    assert matched > 5000 and ruled_out > 5000
+
+
+def test_postings_intersect(spark):
+    rows = [(1, "xabcdx"), (2, "ABC"), (3, "bcd"), (None, "abc"), (None, "bcd"), (4, None), (5, "xyz ABCD"), (6, "uvw")]
+    df = spark.createDataFrame(rows, "key long, text string")
+    queries = [frozenset([frozenset(["abc", "bcd"]), frozenset(["uvw"])]), frozenset()]
+    found = secrets.candidates(secrets.index(df, "key", "text", trigrams.named(queries)), queries)
+    assert sorted((r.key for r in found.collect()), key=repr) == [1, 5, 6, None]  # rows without an id are one document here
 
 
 def test_secret_query(spark, small):

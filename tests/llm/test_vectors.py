@@ -1,3 +1,5 @@
+from types import SimpleNamespace as S
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -71,17 +73,30 @@ def test_topk_is_exact(spark):
         assert [(r.vec_id, r.score) for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)] == want
 
 
-def test_pruning_sends_less_for_far_groups(spark):
+def groups_of(x, pivots):
+    """Rows of groups, of nearest members, and the pivot and distance of each vector, as the operator makes them."""
+    dist = np.linalg.norm(x[:, None] - pivots[None], axis=2)
+    at, d, norm = dist.argmin(axis=1), dist.min(axis=1), np.linalg.norm(x, axis=1)
+    data = [S(width=x.shape[1], pivot=int(g), members=int((at == g).sum()), radius=d[at == g].max(), shortest=norm[at == g].min(), longest=norm[at == g].max()) for g in np.unique(at)]
+    return data, [S(width=x.shape[1], pivot=int(g), dist=v) for g in np.unique(at) for v in sorted(d[at == g])[:6]], at, d
+
+
+def test_pruning_sends_less_than_half_of_clusters():
+    """Of clustered vectors far groups are left out, and never one of the best."""
     rng = np.random.default_rng(6)
-    near, far = rng.normal(size=(200, 4)) * 0.01 + 1, rng.normal(size=(200, 4)) * 0.01 - 1
-    p = {4: np.array([[0.0] * 4, [1.0] * 4, [-1.0] * 4])}
-    from types import SimpleNamespace as S
-
-    d = lambda x, c: np.linalg.norm(x - c, axis=1)
-    data = [S(width=4, pivot=1, members=200, radius=d(near, 1).max()), S(width=4, pivot=2, members=200, radius=d(far, -1).max())]
-    close = [S(width=4, pivot=g, dist=v) for g, x, c in ((1, near, 1), (2, far, -1)) for v in sorted(d(x, c))[:6]]
-    found = topk.routes(data, close, [S(width=4, pivot=1, members=10, radius=0.05)], p, p, 5, 64)
-    assert {r[1] for r in found} == {1}
+    for spread, width in ((0.02, 4), (0.1, 16), (0.6, 8)):
+        centres = rng.normal(size=(40, width))
+        x = np.concatenate([c + rng.normal(size=(50, width)) * spread for c in centres])
+        pivots, queries = {width: x[::50]}, x[7::50]
+        data, near, at, d = groups_of(x, x[::50])
+        asked, _, query_at, _ = groups_of(queries, queries[:7])
+        table = topk.routes(data, near, asked, pivots, {width: queries[:7]}, 5, 64)
+        least = {(group, pivot): low for _, pivot, group, low, _, _ in table}
+        sent = [[(g, int(at[i])) in least and d[i] >= least[g, int(at[i])] - 1e-9 for i in range(len(x))] for g in range(7)]
+        if spread < 0.5:
+            assert np.mean(sent) < 0.5
+        for q, g in zip(queries, query_at, strict=True):
+            assert all(sent[g][i] for i in np.argsort(-(x @ q))[:6])
 
 
 def test_topk_edges(spark):
