@@ -8,20 +8,24 @@ repeated rows, further columns and empty tables, as its operator is.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from cuelake.llm import bpe, jaccard, langid, mixing, secrets
+from cuelake.llm import bitmap, bpe, jaccard, langid, mixing, secrets
 from cuelake.llm.queries import TOKENIZER, table
 from cuelake.llm.workdir import Scratch
 
 
+def packed(docs: DataFrame) -> Column:
+    """A row as one struct, so that no column of it can clash with those of a stage."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a margin; those without a letter or with a narrow margin go."""
     learned = langid.dictionaries(docs.where(~langid.held_out()))
-    judged = docs.withColumn("_judged", langid.predict(spark, learned, "text"))
-    return judged.where(~F.col("_judged.rejected")).drop("_judged")
+    judged = docs.select(packed(docs), langid.predict(spark, learned, "text").alias("judged"))
+    return judged.where(~F.col("judged.rejected")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,36 +34,35 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Every row is compared under a 64-bit hash of its id and text: rows of one id with unlike texts
     are documents each, and rows without an id are compared like others (they come after those
     with one). Of equal ids in a component the text with the smallest digest stays, and of equal
-    rows one. Rows without a word are copies only if id and text are equal.
+    rows one. Rows without a word are copies only if id and text are equal. Rows that a bitmap of
+    hashes shows to be alone in their component stay where they are; only the others are shuffled.
     """
-    key, columns = F.xxhash64("doc_id", "text"), [F.col(f"`{c}`") for c in docs.columns]
-    found = jaccard.jaccard_components(docs.select(key.alias("_row"), "text"), doc_id="_row", words=5, num=4, den=5)
-    found = found.groupBy(F.col("doc_id").alias("_row")).agg(F.max("n_shingles").alias("_size"), F.min("component_id").alias("_component"))
-    named = docs.select(key.alias("_row"), F.col("doc_id").alias("_id"), F.md5("text").alias("_digest")).distinct().join(found, "_row")
-    bare = F.col("_size") == 0
-    groups = [F.when(~bare, F.col("_component")).alias("_c"), F.when(bare, F.col("_id")).alias("_i"), F.when(bare, F.col("_digest")).alias("_t")]
-    first = F.min(F.struct(F.col("_id").isNull().alias("_last"), "_id", "_digest")).alias("_first")
-    # null ids and texts get a value of their own, so that the join and the window share one exchange
-    named_by = lambda i, t: [F.coalesce(F.col(i).cast("string"), F.lit("-")).alias("_a"), F.coalesce(t, F.lit("-")).alias("_b")]
-    kept = named.groupBy(*groups).agg(first).select("_first.*").select(*named_by("_id", F.col("_digest")))
-    rows = docs.select(*columns, *named_by("doc_id", F.md5("text"))).join(kept, ["_a", "_b"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_a", "_b").orderBy(F.lit(1)))
-    return rows.withColumn("_nth", nth).where("_nth = 1").select(*columns)
+    key = F.xxhash64("doc_id", "text")
+    with Scratch(spark, "near") as scratch:
+        found = jaccard.jaccard_components(docs.select(key.alias("row_key"), "text"), doc_id="row_key", words=5, num=4, den=5)
+        found = found.groupBy(F.col("doc_id").alias("row_key")).agg(F.max("n_shingles").alias("size"), F.min("component_id").alias("component"))
+        each = docs.groupBy(key.alias("row_key")).agg(F.first("doc_id").alias("id"), F.min(F.md5("text")).alias("digest"), F.count(F.lit(1)).alias("copies"))
+        group = F.struct(F.col("size") == 0, F.when(F.col("size") == 0, F.col("row_key")).otherwise(F.col("component"))).alias("group")
+        each = scratch.save(each.join(found, "row_key").select("row_key", group, "id", "digest", "copies"), "each")
+        first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest", "row_key")).getField("row_key").alias("stays")
+        groups = scratch.save(each.groupBy("group").agg(first, F.sum("copies").alias("members")).where("members > 1").select("group", "stays"), "groups")
+        shared = scratch.save(each.join(groups, "group").select("row_key", (F.col("row_key") == F.col("stays")).alias("stays")), "shared")
+        rows = bitmap.flagged(docs.select(packed(docs), key.alias("row_key")), shared, F.col("row_key"), bitmap.buckets_for(shared.count()), "together")
+        one = rows.where("together").join(shared, "row_key", "left").where("coalesce(stays, true)").groupBy("row_key").agg(F.first("row").alias("row"))
+        return scratch.keep(rows.where("not together").select("row.*").unionByName(one.select("row.*")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its secrets replaced by their kind; n_chars follows the text."""
     columns = docs.columns
-    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    clean = secrets.redacted(F.col("text"), F.col("secrets"))
-    found = secrets.scan(packed).withColumn("_clean", clean)
+    found = secrets.scan(docs.select("doc_id", "text", packed(docs))).withColumn("_clean", secrets.redacted(F.col("text"), F.col("secrets")))
     changed = F.size("secrets") > 0
     out = {"text": F.when(changed, F.col("_clean")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("_clean").cast("long")).otherwise(F.col("row.n_chars"))}
     return found.select(*[out.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes, in the order of training positions.
+    """A row for each copy that the mix takes, sorted by training position: files by name, rows by their place in a file.
 
     A document that the mix takes in part at the end of its source's target is taken whole if half
     of it or more is.
@@ -71,11 +74,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids, exact): ids are little-endian 32-bit integers, exact tells whether they decode to the text."""
+    """(doc_id, lang, source, n_tokens, ids, exact, shard, place): ids are little-endian 32-bit integers, exact tells whether they decode to the text.
+
+    shard is the number of the file that the mixing stage wrote the row to and place the row's place in
+    it: the training order is that of (shard, place). Both are null if ``docs`` is not read from files.
+    """
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
-    coded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), tokenizer)
-    exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
+    shard, place = F.lit(None).cast("string"), F.lit(None).cast("long")
+    if docs.inputFiles():  # the hidden columns of a file scan
+        shard, place = F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1), F.col("_metadata.row_index")
+    coded = docs.select(F.struct("doc_id", "lang", "source", "text", shard.alias("shard"), place.alias("place")).alias("row"), tokenizer.code("text").alias("coded"))
+    exact = F.col("coded.decoded") == F.coalesce("row.text", F.lit("")).cast("binary")
+    return coded.select("row.doc_id", "row.lang", "row.source", (F.octet_length("coded.ids") / 4).cast("long").alias("n_tokens"), "coded.ids", exact.alias("exact"), "row.shard", "row.place")
 
 
 STAGES = [("language", keep_identified), ("near_duplicates", drop_near_duplicates), ("secrets", redact_secrets), ("mixing", mix_sources), ("tokens", tokenize)]
@@ -85,8 +95,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each is written and read again before the next."""
-    scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark, "pipeline") as scratch:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        return scratch.keep(STAGES[-1][1](spark, docs, sf_dir))
