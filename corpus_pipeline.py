@@ -8,6 +8,7 @@ repeated rows, further columns and empty tables, as its operator is.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,9 +81,11 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     it: the training order is that of (shard, place). Both are null if ``docs`` is not read from files.
     """
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
-    shard, place = F.lit(None).cast("string"), F.lit(None).cast("long")
-    if docs.inputFiles():  # the hidden columns of a file scan
-        shard, place = F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1), F.col("_metadata.row_index")
+    shard, place = F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1), F.col("_metadata.row_index")
+    try:
+        docs.select(shard, place)
+    except AnalysisException:  # only a scan of files has these hidden columns
+        shard, place = F.lit(None).cast("string"), F.lit(None).cast("long")
     coded = docs.select(F.struct("doc_id", "lang", "source", "text", shard.alias("shard"), place.alias("place")).alias("row"), tokenizer.code("text").alias("coded"))
     exact = F.col("coded.decoded") == F.coalesce("row.text", F.lit("")).cast("binary")
     return coded.select("row.doc_id", "row.lang", "row.source", (F.octet_length("coded.ids") / 4).cast("long").alias("n_tokens"), "coded.ids", exact.alias("exact"), "row.shard", "row.place")
