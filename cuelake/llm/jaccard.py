@@ -43,7 +43,7 @@ from cuelake.llm.workdir import Scratch, bounded_batches
 #: Sizes for which subset enumeration is considered at all.
 LARGEST_LIGHT = 40
 #: Bits of a set's parity bitmap, and members of a list that meet in one task at most (twice as many if of two blocks).
-PARITY_BITS, BLOCK_ROWS = 512, 4096
+PARITY_BITS, BLOCK_ROWS = 512, 1024
 
 
 def missing(n: int, num: int, den: int) -> int:

@@ -69,10 +69,12 @@ EMPTY = texts([""])
 def then(a: Part, b: Part) -> Part:
     if a.whole is not None and b.whole is not None:
         return texts(x + y for x in a.whole for y in b.whole)
-    border = of_texts(x + y for x in a.tail for y in b.head)
+    # the whole texts of one side together with what the other begins or ends with
+    known = of_texts(x + y for x in (a.whole if a.whole is not None else a.tail) for y in (b.whole if b.whole is not None else b.head))
+    rest = both(a.query, b.query)
     head = frozenset((x + y)[:2] for x in a.whole for y in b.head) if a.whole is not None else a.head
     tail = frozenset((x + y)[-2:] for x in a.tail for y in b.whole) if b.whole is not None else b.tail
-    return Part(None, head, tail, both(both(a.must(), b.must()), border))
+    return Part(None, head, tail, both(known, rest))
 
 
 def alternatives(a: Part, b: Part) -> Part:
