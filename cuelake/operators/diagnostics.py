@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from cuelake.functions.text import SECRET_KEYS
 
+#: Levels of details that are kept, and numbers of a list that is not yet binary data.
 DEPTH, NUMBERS = 12, 256
 
 

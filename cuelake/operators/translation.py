@@ -87,14 +87,34 @@ def apply_translation(documents: DataFrame, received: DataFrame, *, cue: str = "
     return documents.join(texts, cue).withColumn(blocks, changed).drop("_texts")
 
 
+def _grams(text: Column, least: int, most: int) -> Column:
+    """The distinct runs of ``least`` to ``most`` characters of a text, each length in one pass."""
+    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(least, most + 1)]
+    return F.array_distinct(F.concat(*runs))
+
+
 def glossary_hits(texts: DataFrame, glossary: DataFrame, *, keys: tuple[str, ...], text: str = "text", translation: str | None = None, term: str = "source", mapped: str | None = None, project: str | None = None) -> DataFrame:
     """(keys, term) of each glossary term that a text contains, with ``translated`` if the mapped form occurs in the translation.
 
-    A project's glossary has 500 terms at most and is joined by project; without ``project`` the
-    table itself must be that small. Spark broadcasts it when it is below its own limit.
+    A term is looked up under one of its trigrams, that which the fewest terms have, and texts under
+    all of theirs; who meets is compared in full. Terms of one or two characters are met by runs of
+    that length, an empty term by every text. With ``project`` only terms of the text's project count.
     """
-    right = glossary.select(*([F.col(project).alias("_project")] if project else []), F.col(term).alias("_term"), *([F.col(mapped).alias("_mapped")] if mapped else []))
-    on = F.col(text).contains(F.col("_term"))
-    hits = texts.join(right, (F.col(project) == F.col("_project")) & on if project else on)
-    extra = [F.col(translation).contains(F.col("_mapped")).alias("translated")] if translation and mapped else []
-    return hits.select(*keys, F.col("_term").alias("term"), *extra)
+    terms = glossary.select((F.col(project) if project else F.lit(0)).alias("_of"), F.col(term).alias("_term"), (F.col(mapped) if mapped else F.lit(None).cast("string")).alias("_mapped")).where("_term is not null")
+    own = terms.where(F.length("_term") >= 3).select("*", F.explode(_grams(F.col("_term"), 3, 3)).alias("_gram"))
+    common = own.groupBy(F.col("_gram").alias("_g")).agg(F.count("*").alias("_n"))
+    rare = own.join(common, F.col("_gram") == F.col("_g")).groupBy("_of", "_term", "_mapped").agg(F.min(F.struct("_n", "_gram")).getField("_gram").alias("_gram"))
+    short = terms.where(F.length("_term") < 3).distinct().withColumn("_gram", F.col("_term"))
+    repeated = terms.groupBy("_of", "_term", "_mapped").agg(F.count("*").alias("_times"))
+    rows = texts.select(F.struct(*keys).alias("_keys"), (F.col(project) if project else F.lit(0)).alias("_in"), F.col(text).alias("_text"), (F.col(translation) if translation else F.lit(None).cast("string")).alias("_said"))
+
+    def met(listed: DataFrame, grams: Column) -> DataFrame:
+        looked_up = rows.select("*", F.explode(grams).alias("_has"))
+        return looked_up.join(listed, (F.col("_in") == F.col("_of")) & (F.col("_has") == F.col("_gram"))).where(F.col("_text").contains(F.col("_term")))
+
+    hits = met(rare, _grams(F.col("_text"), 3, 3)).unionByName(met(short, F.concat(F.array(F.lit("")), _grams(F.col("_text"), 1, 2))))
+    times = repeated.where("_times > 1").select(F.col("_of").alias("_o"), F.col("_term").alias("_t"), F.col("_mapped").alias("_m"), "_times")  # a term listed twice hits twice
+    hits = hits.join(times, (F.col("_of") == F.col("_o")) & (F.col("_term") == F.col("_t")) & F.col("_mapped").eqNullSafe(F.col("_m")), "left")
+    hits = hits.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_times", F.lit(1).cast("bigint")))))
+    extra = [F.col("_said").contains(F.col("_mapped")).alias("translated")] if translation and mapped else []
+    return hits.select("_keys.*", F.col("_term").alias("term"), *extra)

@@ -70,10 +70,17 @@ def revision_counts(t: Tables) -> DataFrame:
     return evidence.revision_counts(t.revisions())
 
 
-@query("select cue_id, append_seq, author from v_revisions where cue_id % 7 = 0")
+@query("select cue_id, append_seq, author from v_revisions")
 def revision_history(t: Tables) -> DataFrame:
-    wanted = t.log().where("cue_id % 7 = 0").select("cue_id")
-    return evidence.revision_history(t.revisions(), t.log(), wanted)[0].select("cue_id", "append_seq", "author")
+    """The history of every cue, asked for with as many ids that no cue has."""
+    ids = t.log().select("cue_id")
+    return evidence.revision_history(t.revisions(), ids, ids.unionByName(ids.select((-F.col("cue_id") - 1).alias("cue_id"))))[0].select("cue_id", "append_seq", "author")
+
+
+@query("select distinct -cue_id - 1 as cue_id from v_log")
+def unknown_cues(t: Tables) -> DataFrame:
+    ids = t.log().select("cue_id")
+    return evidence.revision_history(t.revisions(), ids, ids.unionByName(ids.select((-F.col("cue_id") - 1).alias("cue_id"))))[1]
 
 
 @query("""select cue_id, append_seq, case when not hit then 'kept' when n - k >= 1 then 'deleted' else 'refused' end as outcome from
@@ -95,10 +102,15 @@ def restore_to_ocr(t: Tables) -> DataFrame:
     return evidence.restore_to_ocr(cues, t.revisions()).select("cue_id", "start_ms", "end_ms", "document", "author")
 
 
-@query("select cue_id, append_seq as restored_from, 'human' as author from v_revisions where append_seq % 11 = 0")
+@query("select cue_id, append_seq as restored_from, 'human' as author from v_revisions")
 def restore_revision(t: Tables) -> DataFrame:
-    wanted = t.log().where("append_seq % 11 = 0").select("cue_id", "append_seq")
-    return evidence.restore_revision(t.revisions(), wanted)[0].select("cue_id", "restored_from", "author")
+    return evidence.restore_revision(t.revisions(), t.log().select("cue_id", "append_seq"))[0].select("cue_id", "restored_from", "author")
+
+
+@query("select cue_id, append_seq from v_log where kind <> 'revision'")
+def restore_refused(t: Tables) -> DataFrame:
+    """Entries that are no revision of their cue."""
+    return evidence.restore_revision(t.revisions(), t.log().select("cue_id", "append_seq"))[1]
 
 
 @query("select cue_id, append_seq as replaces, restores from (select *, lag(append_seq) over w as restores, row_number() over (partition by cue_id order by append_seq desc) as k from v_revisions window w as (partition by cue_id order by append_seq)) where k = 1 and restores is not null")
@@ -171,11 +183,13 @@ def gate_schema_version(t: Tables) -> DataFrame:
     return evidence.gate_schema_version(t.read("orders").withColumn("schema_version", (F.col("o_orderkey") % 4).cast("int"))).select("o_orderkey", "error")
 
 
-@query("select o_custkey + 1000000 as project_id, count(*) as n, min(o_orderkey) as low from orders where o_custkey = 77 group by 1 union all select cast(c_custkey + 1000000 as bigint), 1, c_nationkey from customer where c_custkey = 77")
+@query("""select 'cues' as kind, o_custkey + 1000000 as project_id, o_orderkey as row_id, null as name, null as origin from orders where o_custkey = 77
+    union all select 'projects', c_custkey + 1000000, c_nationkey, 'copy', c_custkey from customer where c_custkey = 77""")
 def fork_project(t: Tables) -> DataFrame:
-    tables = {"cues": t.read("orders").select(F.col("o_custkey").alias("project_id"), "o_orderkey"), "projects": t.read("customer").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"), "c_nationkey")}
+    tables = {"cues": t.read("orders").select(F.col("o_custkey").cast("bigint").alias("project_id"), "o_orderkey"), "projects": t.read("customer").select(F.col("c_custkey").cast("bigint").alias("project_id"), F.col("c_name").alias("name"), "c_nationkey")}
     out = evidence.fork_project(tables, 77, 1000077, "copy")
-    return out["cues"].groupBy("project_id").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low")).unionByName(out["projects"].select("project_id", F.lit(1).cast("bigint").alias("n"), F.col("c_nationkey").cast("bigint").alias("low")))
+    cues = out["cues"].select(F.lit("cues").alias("kind"), F.col("project_id").cast("bigint").alias("project_id"), F.col("o_orderkey").cast("bigint").alias("row_id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("bigint").alias("origin"))
+    return cues.unionByName(out["projects"].select(F.lit("projects").alias("kind"), F.col("project_id").cast("bigint").alias("project_id"), F.col("c_nationkey").cast("bigint").alias("row_id"), "name", F.col("origin.project_id").cast("bigint").alias("origin")))
 
 
 @query("""select c.c_custkey as project_id, coalesce(o.n, 0) as orders, coalesce(o.s, '') as first_order, coalesce(l.n, 0) as lines from customer c
@@ -188,13 +202,13 @@ def project_document(t: Tables) -> DataFrame:
     return d.select("project_id", F.size("orders").cast("bigint").alias("orders"), F.coalesce(F.try_element_at("orders", F.lit(1)).o_orderkey.cast("string"), F.lit("")).alias("first_order"), F.size("lines").cast("bigint").alias("lines"))
 
 
-@query("""select doc_id % 5 as project_id, doc_id, source, case when count(*) over (partition by doc_id % 5) > 500 then 'more than 500 mappings'
-    when length(source) not between 1 and 200 or length(translation) not between 1 and 200 then 'not 1 to 200 visible characters'
-    when row_number() over (partition by doc_id % 5, source order by doc_id) > 1 then 'mapped more than once' end as error
-    from (select doc_id, coalesce(split_part(text, ' ', 1), '') as source, coalesce(lang, '') as translation from documents) where source !~ '.*[\\x00-\\x1f\\x7f-\\x9f].*'""")
+@query("""select project_id, doc_id, source, case when count(*) over (partition by project_id) > 500 then 'more than 500 mappings'
+    when length(source) not between 1 and 200 or length(translation) not between 1 and 200 or regexp_matches(source, '[\\x00-\\x1f\\x7f-\\x9f]') then 'not 1 to 200 visible characters'
+    when row_number() over (partition by project_id, source order by doc_id) > 1 then 'mapped more than once' end as error
+    from (select doc_id % 40 as project_id, doc_id, regexp_replace(coalesce(split_part(text, ' ', 1), ''), '^\\s+|\\s+$', '', 'g') as source, coalesce(lang, '') as translation from documents)""")
 def normalize_settings(t: Tables) -> DataFrame:
-    d = t.read("documents").select((F.col("doc_id") % 5).alias("project_id"), "doc_id", F.coalesce(F.split_part("text", F.lit(" "), F.lit(1)), F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("translation"))
-    return evidence.normalize_settings(d.where("not source rlike '[\\\\x00-\\\\x1f\\\\x7f-\\\\x9f]'"), order="doc_id").select("project_id", "doc_id", "source", "error")
+    d = t.read("documents").select((F.col("doc_id") % 40).alias("project_id"), "doc_id", F.coalesce(F.split_part("text", F.lit(" "), F.lit(1)), F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("translation"))
+    return evidence.normalize_settings(d, order="doc_id").select("project_id", "doc_id", "source", "error")
 
 
 # ingest
@@ -424,10 +438,10 @@ def survey_sweep(t: Tables) -> DataFrame:
 # recognition
 
 
-@query("select track_id, cue_id from v_cues where cue_id % 3 = 0 and role <> 'assistant'")
+@query("select track_id, cue_id from v_cues where role is distinct from 'assistant'")
 def select_cues(t: Tables) -> DataFrame:
     cues = t.cues().withColumn("ocr_status", F.when(F.col("role") == "assistant", "succeeded").otherwise("pending"))
-    return recognition.select_cues(cues, cues.where("cue_id % 3 = 0").select("cue_id"))[0].select("track_id", "cue_id")
+    return recognition.select_cues(cues, cues.select("cue_id"))[0].select("track_id", "cue_id")
 
 
 @query("""select doc_id, code as language_code, case when code = 'jpn' then 'right_to_left' when code is not null then 'left_to_right' end as reading_order, case when code is null then 'language profile is not supported: ' || coalesce(lang, '') end as error from
@@ -465,10 +479,30 @@ def nth_occurrence(t: Tables) -> DataFrame:
     return t.lines().select("doc_id", "line_no", X.nth_occurrence(F.col("line"), F.lit("on"), F.lit(3)).alias("at"))
 
 
-@query("""select doc_id, line_no, case when w = '' then 'annotation text and base must not be empty' when p then null else null end as error from (select doc_id, line_no, split_part(line, ' ', 2) as w, true as p from v_lines)""")
+_NOTES = """(select doc_id, line_no, line, 1 as i, case when line_no % 11 = 0 then 9 else 1 end as line_index, split_part(line, ' ', 2) as base, 1 + line_no % 2 as occurrence, case when line_no % 13 = 0 then '' else 'n' end as note, case when line_no % 17 = 0 then 'beside' else 'over' end as position from v_lines
+    union all select doc_id, line_no, line, 2, 1, case when line_no % 3 = 0 then split_part(line, ' ', 2) else substr(line, 3, 6) end, 1, 'n', 'under' from v_lines
+    union all select doc_id, line_no, line, 3, 1, 'no such base', (line_no % 2), 'n', 'over' from v_lines where line_no % 19 = 0)"""
+
+
+@query(f"""select doc_id, line_no, arg_min(error, (case when error = 'ruby ranges overlap' then 10 else 0 end) + i) filter (error is not null) as error from (
+    select *, case when line_index <> 1 or occurrence < 1 or position = 'beside' then 'annotation placement is invalid' when note = '' or base = '' then 'annotation text and base must not be empty'
+        when s is null then 'annotation base was not found: ' || base when s < be and not (s = bs and s + length(base) = be) then 'ruby ranges overlap' end as error from (
+    select *, lag(s) over w as bs, lag(s + length(base)) over w as be from (
+    select *, case when line_index = 1 and base <> '' and occurrence >= 1 and len(p) > occurrence then list_sum(list_transform(p[1:occurrence], lambda x: length(x)))::bigint + (occurrence - 1) * length(base) end as s from (select *, string_split(line, base) as p from {_NOTES}))
+    window w as (partition by doc_id, line_no, line_index order by s nulls first, s + length(base) nulls first, i))) group by 1, 2""")
 def validate_annotations(t: Tables) -> DataFrame:
+    """Notes that hit every rule: placed, misplaced, empty, not found, overlapping and equal ranges."""
     rows = t.lines().withColumn("block_id", F.struct("doc_id", "line_no"))
-    notes = rows.select("block_id", F.lit(1).alias("annotation_index"), F.lit(1).alias("line_index"), F.split_part("line", F.lit(" "), F.lit(2)).alias("base"), F.lit(1).alias("base_occurrence"), F.lit("n").alias("text"), F.lit("over").alias("position"))
+    no = F.col("line_no")
+    second = F.split_part("line", F.lit(" "), F.lit(2))
+
+    def note(i: int, line_index, base, occurrence, text, position, which=None):
+        out = rows if which is None else rows.where(which)
+        return out.select("block_id", F.lit(i).alias("annotation_index"), line_index.cast("int").alias("line_index"), base.alias("base"), occurrence.cast("int").alias("base_occurrence"), text.alias("text"), position.alias("position"))
+
+    one, n = F.lit(1), F.lit("n")
+    notes = note(1, F.when(no % 11 == 0, 9).otherwise(1), second, 1 + no % 2, F.when(no % 13 == 0, "").otherwise("n"), F.when(no % 17 == 0, "beside").otherwise("over"))
+    notes = notes.unionByName(note(2, one, F.when(no % 3 == 0, second).otherwise(F.substring("line", 3, 6)), one, n, F.lit("under"))).unionByName(note(3, one, F.lit("no such base"), no % 2, n, F.lit("over"), no % 19 == 0))
     lines = rows.select("block_id", F.lit(1).alias("line_index"), "line", F.lit("horizontal_tb").alias("writing_mode"))
     return recognition.validate_annotations(recognition.place_annotations(notes, lines)).select("block_id.doc_id", "block_id.line_no", "error")
 
@@ -535,9 +569,12 @@ def normalization_log(t: Tables) -> DataFrame:
     return log.groupBy("rule").agg(F.count("*").alias("changes"), F.sum(F.length("before")).cast("bigint").alias("length_before"), F.sum(F.length("after")).cast("bigint").alias("length_after"))
 
 
-@query("select doc_id, 'U+000A' as codepoint from documents where text like '%' || chr(10) || '%'")
+@query("""select doc_id, case when c < 32 or c between 127 and 159 then 'U+' || upper(lpad(hex(c), 4, '0')) when contains(text, chr(10)) then 'U+000A' end as codepoint
+    from (select doc_id, coalesce(text, '') as text, (doc_id % 170)::int as c from documents) where c < 32 or c between 127 and 159 or contains(text, chr(10))""")
 def control_rejects(t: Tables) -> DataFrame:
-    return recognition.reject_controls(t.read("documents")).select("doc_id", "codepoint")
+    """Every control character in turn in front of a text."""
+    texts = t.read("documents").select("doc_id", F.concat(F.decode(F.unhex(F.lpad(F.hex(F.col("doc_id") % 170), 8, "0")), "UTF-32"), F.coalesce("text", F.lit(""))).alias("text"))
+    return recognition.reject_controls(texts).select("doc_id", "codepoint")
 
 
 @query("""select doc_id, line_no, cast(row_number() over (partition by doc_id, line_no order by a) - 1 as bigint) as ord, type, said from (
@@ -919,10 +956,9 @@ def stage_outcomes(t: Tables) -> DataFrame:
     return diagnostics.stage_outcomes(t.diagnostics().withColumnRenamed("level", "model"), ["view", "error", "purchase"])
 
 
-@query("select sequence from v_diag where session_id = 7")
+@query("select to_json(struct_pack(session_id := session_id, sequence := sequence, level := level, phase := phase, source := source, operation := operation, at_ms := at_ms, details := details))::varchar as value from v_diag where session_id = 7")
 def export_session(t: Tables) -> DataFrame:
-    out = diagnostics.export_session(t.diagnostics(), 7)
-    return out.select(F.get_json_object("value", "$.sequence").cast("bigint").alias("sequence"))
+    return diagnostics.export_session(t.diagnostics(), 7)
 
 
 @query("select track_id, cue_index from v_cues where contains(lpad(cast(cue_index as varchar), 6, '0'), 'the') or contains(lower(text), 'the')")
@@ -930,18 +966,37 @@ def search_cues(t: Tables) -> DataFrame:
     return search.search_cues(t.cues(), "  THE ").select("track_id", "cue_index")
 
 
-@query("select cue_index, start_ms, trim(text) as text, case when role = 'user' then 'approved' when cue_index % 2 = 0 then 'recognised' else 'pending_failed' end as display from v_cues where text not like chr(10) || '%' and text not like '%' || chr(10)")
+@query("select cue_index, start_ms, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text, case when role = 'user' then 'approved' when cue_index % 2 = 0 then 'recognised' else 'pending_failed' end as display from v_cues")
 def cue_list(t: Tables) -> DataFrame:
-    rows = t.cues().where("text not like '\\n%' and text not like '%\\n'").withColumns({"review_status": F.when(F.col("role") == "user", "approved").otherwise("unreviewed"), "ocr_status": F.when(F.col("cue_index") % 2 == 0, "succeeded").otherwise("failed")})
+    rows = t.cues().withColumns({"review_status": F.when(F.col("role") == "user", "approved").otherwise("unreviewed"), "ocr_status": F.when(F.col("cue_index") % 2 == 0, "succeeded").otherwise("failed")})
     return search.cue_list_rows(rows)
 
 
 # sources
 
 
-@query("select doc_id as path, cast(null as int) as main_title_index, 'main title is missing' as error from documents where text is not null")
+def _listings(t: Tables) -> DataFrame:
+    """A disc listing for each conversation: a title a turn, languages under every other one, main titles of every kind, none for some."""
+    i, n = F.col("cue_index"), F.col("track_id")
+    title = F.format_string("index: %d  duration: %02d:%02d:%02d  chapters: %d  angles: 1  clips: %d  (playlist: %d.mpls)  V:1 A:%d PG:%d", i, i % 3, i % 60, (i * 7) % 60, i + 1, i % 2, i + 800, i % 4, i % 5)
+    listed = t.cues().groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("cue_index", F.concat(title, F.when(i % 2 == 0, "\n    PG : eng jpn").otherwise("")).alias("said")))).alias("titles"))
+    body = F.when(n % 7 == 0, "nothing to play").otherwise(F.array_join(F.transform("titles", lambda x: x.said), "\r\n"))
+    main = F.when(n % 5 == 0, "").when(n % 5 == 1, "\nMain title: first").when(n % 5 == 2, "\nMain title: 999999").otherwise(F.concat(F.lit("\n Main title: "), F.array_min(F.transform("titles", lambda x: x.cue_index)).cast("string")))
+    return listed.select(n.alias("path"), F.concat(F.lit("using: a disc\n"), body, main).alias("value"))
+
+
+@query("""select path, case m when '' then null when 'first' then null else m::int end as main_title_index, case when m = '' then 'main title is missing' when m = 'first' then 'main title is not a number'
+    when path % 7 = 0 then 'no playable titles were reported' when m = '999999' then 'main title was not listed' end as error
+    from (select track_id as path, case track_id % 5 when 0 then '' when 1 then 'first' when 2 then '999999' else min(cue_index)::varchar end as m from v_cues group by track_id)""")
 def title_listings(t: Tables) -> DataFrame:
-    return readers.parse_title_listings(t.read("documents").where("text is not null").select(F.col("doc_id").alias("path"), F.col("text").alias("value")))[1]
+    return readers.parse_title_listings(_listings(t))[1]
+
+
+@query("""select track_id as path, cue_index::int as index, lpad((cue_index + 800)::varchar, 5, '0') as playlist, cue_index % 3 * 3600 + cue_index % 60 * 60 + cue_index * 7 % 60 as duration_seconds, (cue_index + 1)::int as chapters, 1 as angles, (cue_index % 2)::int as clips,
+    1 as video_tracks, (cue_index % 4)::int as audio_tracks, (cue_index % 5)::int as pgs_tracks, case when cue_index % 2 = 0 then 'eng,jpn' else '' end as languages from v_cues where track_id % 7 <> 0""")
+def listed_titles(t: Tables) -> DataFrame:
+    titles = readers.parse_title_listings(_listings(t))[0]
+    return titles.withColumn("languages", F.array_join("pgs_languages", ",")).drop("pgs_languages")
 
 
 @query("select append_seq, cast(json_extract_string(props, '$.k') as bigint) as k from v_log where event_type <> 'error'")
@@ -957,3 +1012,119 @@ def project_metadata(t: Tables) -> DataFrame:
     document = F.concat(F.lit('{"id":"'), F.col("c_custkey").cast("string"), F.lit('","schema_version":2,"name":"'), F.col("c_name"), F.lit('"'), settings, F.lit("}"))
     out = readers.decode_project_metadata(t.read("customer").select("c_custkey", document.alias("document")))
     return out.select(F.col("c_custkey").alias("id"), "name", F.col("settings.ocr_language").alias("ocr_language"), F.col("settings.target_language").alias("target_language"))
+
+
+# operators with a backend, on segments and on listings
+
+
+@query("select cue_id, role || ':' || length(coalesce(text, '')) as response from v_cues")
+def score_batch(t: Tables) -> DataFrame:
+    requests = t.cues().select("cue_id", F.col("role").alias("stable"), F.coalesce("text", F.lit("")).alias("variable"))
+    return recognition.score_batch(requests, lambda b: b["stable"] + ":" + b["variable"].str.len().astype(str), columns=("cue_id",))
+
+
+@query("""select cue_id as request_id, case n % 3 when 1 then '1|first' when 2 then '1|second' else '2|second' end as response, case when n % 3 = 0 then 'zero' end as error, case when n % 3 = 1 then 1 else 2 end as attempt
+    from (select cue_id, length(coalesce(text, '')) as n from v_cues)""")
+def retry_rounds(t: Tables) -> DataFrame:
+    """A pure backend that answers by the length of what it is asked, so that some answers pass at once, some at the second attempt and some never."""
+    requests = t.cues().select(F.col("cue_id").alias("request_id"), F.lit("s").alias("stable"), F.coalesce("text", F.lit("")).alias("variable"))
+
+    def backend(batch):
+        return (batch["variable"].str.len() % 3).astype(str) + batch["variable"].str.contains("It was rejected", regex=False).map({True: "|second", False: "|first"})
+
+    judge = lambda df: df.withColumn("error", F.when(~F.col("response").startswith("1"), "zero"))
+    return recognition.retry_rounds(requests, backend, judge, lambda df, attempt: df)
+
+
+@query("""select cue_id as request_id, 'combined:' || cue_id as combined, case when cue_id % 5 = 0 then 'failed' end as combined_error, case when cue_id % 5 <> 0 then 'style:' || cue_id end as style,
+    case when cue_id % 5 <> 0 and cue_id % 7 = 0 then 'failed' end as style_error from v_cues""")
+def two_phases(t: Tables) -> DataFrame:
+    blocks = t.cues().select(F.col("cue_id").alias("request_id"), F.lit("eng").alias("language_code"), F.lit("horizontal_tb").alias("writing_mode"), F.lit(1).alias("units"), F.array(F.lit(3)).alias("expected_glyphs"), F.lit(None).cast("string").alias("correction"))
+    presets = t.spark.createDataFrame([("eng", s, "read") for s in ("combined", "style")], "language string, stage string, instructions string")
+
+    def run_stage(asked: DataFrame, stage: str) -> DataFrame:
+        return asked.select("request_id", F.concat(F.lit(f"{stage}:"), "request_id").alias("response"), F.when(F.col("request_id") % (5 if stage == "combined" else 7) == 0, "failed").alias("error"))
+
+    return recognition.recognise(blocks, presets, run_stage, ruby=False)
+
+
+def _annotations(t: Tables) -> tuple[DataFrame, DataFrame]:
+    spans = t.spans()
+    no = F.col("line")
+    edits = spans.select("line").distinct().select("line", F.when(no % 10 == 3, no + 1).otherwise(no).alias("end_line"), (no % 4).alias("sel_start"), F.when(no % 6 == 1, no % 4).otherwise(no % 4 + 5).alias("sel_end"), F.lit("note").alias("annotation"), F.lit("over").alias("position"))
+    unknown = edits.where("line % 9 = 0").select((-no - 1).alias("line"), (-no - 1).alias("end_line"), F.lit(0).cast("bigint").alias("sel_start"), F.lit(4).cast("bigint").alias("sel_end"), "annotation", "position")
+    return editing.annotate_ranges(spans, edits.unionByName(unknown))
+
+
+_EDITS = """(select line, line % 10 = 3 as wide, line % 4 as a, case when line % 6 = 1 then line % 4 else line % 4 + 5 end as b, string_agg(said, '' order by ord) as said,
+    bool_or(type = 'ruby' and line % 4 < sp_end and (case when line % 6 = 1 then line % 4 else line % 4 + 5 end) > sp_start and not (line % 4 = sp_start and line % 4 + 5 = sp_end)) as cut from v_placed group by line)"""
+
+
+@query(f"select line, substr(said, (a + 1)::bigint, (b - a)::bigint) as base from {_EDITS} where not wide and a < b and not cut and length(said) > a")
+def annotate_ranges(t: Tables) -> DataFrame:
+    return _annotations(t)[0].where("type = 'ruby' and annotations[0].text = 'note'").select("line", "base")
+
+
+@query(f"""select line, case when wide then 'several lines' when a >= b then 'empty' else 'cuts a ruby span' end as reason from {_EDITS} where wide or a >= b or cut
+    union all select distinct -line - 1, 'no such line' from v_spans where line % 9 = 0""")
+def annotate_refused(t: Tables) -> DataFrame:
+    return _annotations(t)[1].select("line", "reason")
+
+
+@query("select o_custkey::bigint as project_id, case when o_orderkey % 2 = 0 then 'srt' else 'json' end as format, 'exports/' || o_orderkey as path, o_orderpriority as settings from orders where o_orderstatus <> 'F'")
+def export_audit(t: Tables) -> DataFrame:
+    artifacts = t.read("orders").select(F.col("o_custkey").cast("bigint").alias("project_id"), F.when(F.col("o_orderkey") % 2 == 0, "srt").otherwise("json").alias("format"), F.concat(F.lit("exports/"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderpriority").alias("settings"), (F.col("o_orderstatus") != "F").alias("written"))
+    return export.export_audit(artifacts).select("project_id", "format", "path", "settings")
+
+
+@query("""select append_seq, '{"deep":' || case when d <= 11 then repeat('[', d) || '1' || repeat(']', d) else repeat('[', 12) || '"[TOO DEEP]"' || repeat(']', 12) end || ',"list":'
+    || case when n > 256 then '{"redacted":"binary_data","byte_length":' || n || '}' else '[' || array_to_string(range(n), ',') || ']' end || '}' as details from (select append_seq, (append_seq % 16)::int as d, append_seq % 300 as n from v_log)""")
+def bound_details(t: Tables) -> DataFrame:
+    d, n = (F.col("append_seq") % 16).cast("int"), F.col("append_seq") % 300
+    deep = F.concat(F.repeat(F.lit("["), d), F.lit("1"), F.repeat(F.lit("]"), d))
+    listed = F.when(n > 0, F.array_join(F.sequence(F.lit(0).cast("bigint"), n - 1), ",")).otherwise("")
+    return diagnostics.redact_details(t.log().select("append_seq", F.concat(F.lit('{"deep":'), deep, F.lit(',"list":['), listed, F.lit("]}")).alias("details")))
+
+
+@query("select l_orderkey as cue_id, case l_linestatus when 'O' then 'ambiguous_writing_mode' else 'tiny_block_merged' end as code from lineitem where l_quantity > 45")
+def layout_doubts(t: Tables) -> DataFrame:
+    return layout.layout_doubts(_layout(t))
+
+
+def _segments(t: Tables) -> DataFrame:
+    """Segments of a file a user: presentations by views and, without a state, by signups; some are too short."""
+    kind = F.when(F.col("event_type").isin("view", "signup"), 22).when(F.col("event_type") == "click", 20).when(F.col("event_type") == "purchase", 21).otherwise(128)
+    state = F.when(F.col("event_type") == "view", "80").otherwise("00")
+    payload = F.when(F.col("append_seq") % 9 == 0, "0000").otherwise(F.concat(F.lit("00000000000000"), state, F.lit("000000")))
+    return t.log().select(F.col("user_id").alias("path"), F.col("append_seq").alias("seg_no"), kind.alias("kind"), F.unhex(payload).alias("payload"), payload.alias("hex"), "at_ms")
+
+
+@query("""select user_id as path, append_seq as seg_no, sum(case when event_type = 'view' and append_seq % 9 <> 0 then 1 else 0 end) over (partition by user_id order by append_seq)::bigint as epoch,
+    coalesce(sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by append_seq rows between unbounded preceding and 1 preceding), 0)::bigint + 1 as set_no from v_log""")
+def display_sets(t: Tables) -> DataFrame:
+    return ingest.assemble_display_sets(_segments(t)).select("path", "seg_no", "epoch", "set_no")
+
+
+@query("""select path, object_id, version, declared, rle, case when version = 0 then 'continuation for unknown object' when length(rle) > declared then 'object exceeds declared length' when length(rle) < declared then 'incomplete object' end as error from (
+    select path, object_id, version, max(case when first then declared end) as declared, string_agg(event_type, '' order by append_seq) as rle from (
+    select user_id as path, append_seq % 2 as object_id, append_seq, event_type, event_type = 'view' as first, 4 + append_seq % 3 * 5 as declared, sum(case when event_type = 'view' then 1 else 0 end) over (partition by user_id, append_seq % 2 order by append_seq)::bigint as version from v_log) group by 1, 2, 3)""")
+def reassembled_objects(t: Tables) -> DataFrame:
+    fragments = t.log().select(F.col("user_id").alias("path"), (F.col("append_seq") % 2).alias("object_id"), F.col("append_seq").alias("seg_no"), (F.col("event_type") == "view").alias("first"), (4 + F.col("append_seq") % 3 * 5).alias("declared"), F.encode("event_type", "UTF-8").alias("data"))
+    return ingest.reassemble_objects(fragments, ("path", "object_id")).select("path", "object_id", "version", "declared", F.decode("rle", "UTF-8").alias("rle"), "error")
+
+
+@query("""select user_id as path, row_number() over (partition by user_id order by append_seq) as seg_no, at_ms % 1000000 as pts, case event_type when 'view' then 22 when 'signup' then 22 when 'click' then 20 when 'purchase' then 21 else 128 end as kind,
+    case when append_seq % 9 = 0 then '0000' else '00000000000000' || case when event_type = 'view' then '80' else '00' end || '000000' end as payload, null as error from v_log
+    union all select user_id, count(*) + 1, 0, -1, '', 'truncated segment header' from v_log where user_id % 5 = 0 group by 1""")
+def sup_segments(t: Tables) -> DataFrame:
+    """Streams put together from events, every fifth broken off, and split again."""
+    pts = F.lpad(F.hex(F.col("at_ms") % 1000000), 8, "0")
+    one = F.concat(F.lit("5047"), pts, F.lit("00000000"), F.lpad(F.hex("kind"), 2, "0"), F.lpad(F.hex((F.length("hex") / 2).cast("bigint")), 4, "0"), F.col("hex"))
+    files = _segments(t).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", one.alias("h")))), lambda x: x.h), "").alias("all"))
+    content = F.unhex(F.concat("all", F.when(F.col("path") % 5 == 0, "504700").otherwise("")))
+    return readers.segments_of(files.select(F.col("path").cast("string").alias("path"), content.alias("content"))).select(F.col("path").cast("bigint").alias("path"), "seg_no", "pts", "kind", F.lower(F.hex("payload")).alias("payload"), "error")
+
+
+@query("select append_seq, user_id from v_log where kind = 'attempt' and status in ('interrupted', 'failed')")
+def resumable_jobs(t: Tables) -> DataFrame:
+    return jobs.resumable(t.log(), "attempt").select("append_seq", "user_id")

@@ -118,6 +118,7 @@ def read_cue_images(spark: SparkSession, folder: str, cues: DataFrame, *, image_
     return cues.withColumn("_bad", bad).join(files, (path == F.col("_relative")) & ~F.col("_bad"), "left").withColumn("error", F.when(F.col("_bad"), "image path leaves the project").when(F.col("image").isNull(), "image not found")).drop("_bad", "_relative")
 
 
+#: Fixed value: the form in which the listing tool prints a title.
 _TITLE_LINE = r"index:\s*(\d+)\s+duration:\s*(\d+):(\d+):(\d+)\s+chapters:\s*(\d+)\s+angles:\s*(\d+)\s+clips:\s*(\d+)\s+\(playlist:\s*(\d+)\.mpls\)\s+V:(\d+)\s+A:(\d+)\s+PG:(\d+)"
 
 
