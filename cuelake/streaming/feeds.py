@@ -30,7 +30,10 @@ def stream_cues(spark: SparkSession, glob: str, checkpoint: str, sink: Callable[
 
 
 def stream_progress(events: DataFrame, *, job: str = "job_id", seq: str = "append_seq") -> DataFrame:
-    """Latest phase and count of each job, in event order; for update or complete mode."""
+    """Latest phase and count of each job, in event order; for update or complete mode.
+
+    The state has a row a job for ever, as an event may still come: as many rows as there are jobs.
+    """
     last = events.groupBy(job).agg(F.max_by(F.struct("phase", "current"), seq).alias("last"))
     return last.select(job, "last.phase", "last.current")
 
@@ -45,7 +48,11 @@ def stream_log_tail(spark: SparkSession, glob: str, secrets: tuple[str, ...] = (
 
 
 def stream_effective(revisions: DataFrame, *, cue: str = "cue_id", seq: str = "append_seq", columns: tuple[str, ...] = ("author",)) -> DataFrame:
-    """The effective revision of each cue, kept up to date; for update or complete mode."""
+    """The effective revision of each cue, kept up to date; for update or complete mode.
+
+    The state has a row a cue for ever (its newest number and ``columns``), as any cue may be revised
+    again; keep ``columns`` narrow and join documents afterwards.
+    """
     return revisions.groupBy(cue).agg(F.max_by(F.struct(seq, *columns), seq).alias("r")).select(cue, "r.*")
 
 

@@ -1,10 +1,11 @@
 """Streams give what the batch gives."""
 
 import json
+import struct
 
 from pyspark.sql import functions as F
 
-from cuelake.operators import diagnostics
+from cuelake.operators import diagnostics, export
 from cuelake.operators.evidence import effective_revision
 from cuelake.sources import readers, sinks
 from cuelake.streaming import feeds
@@ -71,3 +72,25 @@ def test_sinks(spark, tmp_path):
     store = spark.createDataFrame([("p", "i", "t", 1)], "project_id string, id string, source_id string, stream_index int")
     sinks.append_evidence(store, str(tmp_path / "e/tracks"))
     assert readers.read_evidence(spark, str(tmp_path / "e"), ("tracks",))["tracks"].first().source_id == "t"
+
+
+def test_canonical_documents_in_files(spark, tmp_path):
+    """One JSON file a track, cues by start, end and index."""
+    cues = spark.createDataFrame([("t1", 20, 30, 2), ("t1", 0, 10, 1), ("t2", 5, 6, 1)], "track_id string, start_ms long, end_ms long, cue_index int")
+    sinks.write_canonical_json(export.canonical_documents(cues), str(tmp_path / "json"))
+    found = {r.track_id: json.loads(r.value) for r in spark.read.text(str(tmp_path / "json")).collect()}
+    assert set(found) == {"t1", "t2"} and [c["cue_index"] for c in found["t1"]["cues"]] == [1, 2]
+    assert len(list((tmp_path / "json/track_id=t1").glob("*.txt"))) == 1
+
+
+def test_segments_and_sessions_from_files(spark, tmp_path):
+    """Streams and log sessions are read from files as batches; broken ones are told or left out."""
+    (tmp_path / "sup").mkdir()
+    whole = struct.pack(">2sIIBH", b"PG", 90, 0, 0x80, 0)
+    (tmp_path / "sup/a.sup").write_bytes(whole * 2)
+    (tmp_path / "sup/b.sup").write_bytes(whole + b"PX")
+    rows = readers.read_sup_segments(spark, str(tmp_path / "sup/*.sup")).collect()
+    assert sorted((r.path[-5:], r.seg_no, r.pts, r.kind, r.error) for r in rows) == [("a.sup", 1, 90, 128, None), ("a.sup", 2, 90, 128, None), ("b.sup", 1, 90, 128, None), ("b.sup", 2, 0, -1, "truncated segment header")]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/session-s1-001.jsonl").write_text('{"sequence":1,"level":"info"}\n\n{broken\n{"sequence":2,"level":"error"}\n')
+    assert sorted((r.session_id, r.sequence, r.level) for r in readers.read_diagnostics(spark, str(tmp_path / "log")).collect()) == [("s1", 1, "info"), ("s1", 2, "error")]
