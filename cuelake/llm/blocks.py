@@ -15,14 +15,15 @@ HALF = (1 << 31) - 1
 def in_blocks(rows: DataFrame, key: str, member: str, sizes: DataFrame, block_rows: int) -> DataFrame:
     """``rows`` dealt to (key, part): every two blocks of a key, and each with itself, meet in one part.
 
-    ``sizes`` has (k, held) of the keys that matter. A key of one block is one part.
+    ``sizes`` has (k, held) of the keys that matter. A key of one block is one part. The rows of a
+    part follow each other by ``member``.
     """
     blocks = sizes.select(F.col("k").alias("_k"), F.ceil(F.col("held") / block_rows).cast("int").alias("_blocks"))
     block = F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     dealt = rows.join(blocks, F.col(key) == F.col("_k")).withColumn("block", block).withColumn("_p", F.explode(pairs))
     dealt = dealt.withColumn("part", (F.col("_p.i").cast("long") * (1 << 31) + F.col("_p.j"))).drop("_k", "_blocks", "_p")
-    return dealt.repartition(key, "part").sortWithinPartitions(key, "part")
+    return dealt.repartition(key, "part").sortWithinPartitions(key, "part", member)
 
 
 def whole_parts(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -27,8 +27,8 @@ from pyspark.sql.window import Window
 
 from cuelake.llm.workdir import Scratch
 
-#: Most pivots of data (else the root of their number) and of queries: a sample, for each length of vectors the first in the order of a hash of the id.
-PIVOTS, QUERY_PIVOTS = 256, 7
+#: Most pivots of data (else the root of their number) and of queries (else one to 512, but 7): a sample, for each length of vectors the first in the order of a hash of the id.
+PIVOTS, QUERY_PIVOTS, QUERY_BLOCK = 256, 256, 512
 FOUND = "query_id long, query_key long, vec_id long, score long"
 
 
@@ -109,7 +109,7 @@ def routes(data: list, near: list, queries: list, pivots: dict[int, np.ndarray],
             if g.radius >= least:
                 need[pivot] = (least, g.members)
         blocks = max(1, math.ceil(sum(m for _, m in need.values()) / block))
-        out += [(q.width, pivot, q.pivot, least, blocks, max(1, math.ceil(q.members / 512))) for pivot, (least, _) in need.items()]
+        out += [(q.width, pivot, q.pivot, least, blocks, max(1, math.ceil(q.members / QUERY_BLOCK))) for pivot, (least, _) in need.items()]
     return out
 
 
@@ -148,7 +148,7 @@ def top_k(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", vector: str =
 
 def _joined(rows: DataFrame, asked: DataFrame, scratch: Scratch, k: int, block: int) -> DataFrame:
     spark = rows.sparkSession
-    pivots, query_pivots = sample_pivots(rows, min(PIVOTS, max(1, math.isqrt(rows.count())))), sample_pivots(asked, QUERY_PIVOTS)
+    pivots, query_pivots = sample_pivots(rows, min(PIVOTS, max(1, math.isqrt(rows.count())))), sample_pivots(asked, min(QUERY_PIVOTS, max(7, asked.count() // QUERY_BLOCK)))
     data = scratch.save(nearest(rows, pivots), "data")
     queries = scratch.save(nearest(asked, query_pivots).withColumn("key", F.xxhash64("v")), "queries")
     # summaries: a row a group, k + 1 distances a data group
@@ -158,7 +158,7 @@ def _joined(rows: DataFrame, asked: DataFrame, scratch: Scratch, k: int, block:
     table = routes(groups(data), near, groups(queries), pivots, query_pivots, k, block)
     plan = spark.createDataFrame(table, "w long, p long, target long, least double, blocks long, query_blocks long")
     spread = lambda column, n: F.pmod(F.xxhash64(column), n)
-    sent = data.join(F.broadcast(plan), (F.col("width") == F.col("w")) & (F.col("pivot") == F.col("p"))).where("dist >= least - 1e-9 * (1 + least)")  # at most PIVOTS x QUERY_PIVOTS rows a width
+    sent = data.join(F.broadcast(plan), (F.col("width") == F.col("w")) & (F.col("pivot") == F.col("p"))).where("dist >= least - 1e-9 * (1 + least)")  # at most PIVOTS x QUERY_PIVOTS short rows a width
     sent = sent.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1))).select("width", F.col("target").alias("group"), "query_block", spread("id", F.col("blocks")).alias("block"), "id", "v")
     shapes = plan.select(F.col("w"), F.col("target"), "blocks", "query_blocks").distinct()
     put = queries.join(F.broadcast(shapes), (F.col("width") == F.col("w")) & (F.col("pivot") == F.col("target"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

@@ -1,12 +1,16 @@
 """Near-duplicate vectors by cross-polytope hashing after fast Hadamard rotations.
 
 A rotation is three rounds of random signs and a fast Walsh-Hadamard transform; the hash of a
-rotated vector is its largest coordinate with its sign. ``hashes`` of them make a bucket of one
-table. A vector is stored under its best bucket of each table and also looks into the next best
-ones (multiprobe). What goes through the buckets is an id and 256 sign bits, not the vector: of
-those that meet in a bucket, pairs whose bits differ in no more places than a linked pair's may
-are candidates, kept as a spanning forest. The candidates' components then get their vectors
-once, and all pairs inside one are verified by their cosine in double precision.
+rotated vector is its largest coordinate with its sign. Several of them make a bucket of one
+table; the last may be coarse, so that the number of buckets follows that of the vectors. A
+vector is stored under its best bucket of each table and also looks into the next best ones
+(multiprobe). What goes through the buckets is an id and 256 sign bits, not the vector: those that
+meet in a bucket and whose bits differ in no more places than a linked pair's may are candidates.
+
+Each bucket gives a spanning forest of its candidates, and the pairs of the forest are verified by
+their cosine in double precision. Where one of them fails, all pairs of that bucket's candidates
+are verified. Links so found make components; inside a component all pairs are compared to count
+links.
 
 Equal vectors are one class. A crowded bucket or component is split into blocks that are compared
 two by two in separate tasks, so none is bounded by one task's memory, and no pair is written.
@@ -60,8 +64,8 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
-def buckets(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
-    """Bucket numbers of unit vectors of one width: rows x tables x probes, the best first."""
+def buckets(x: np.ndarray, tables: int, hashes: int, last: int, probes: int) -> np.ndarray:
+    """Bucket numbers of unit vectors of one width: rows x tables x probes, the best first. The last hash has ``last`` values."""
     n, d = x.shape
     width = max(2, 1 << (d - 1).bit_length())
     padded = np.zeros((n, width))
@@ -83,6 +87,7 @@ def buckets(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
             second = size.argmax(axis=1)
             value[k, 1] = second * 2 + (y[np.arange(n), second] < 0)
             loss[k, 1] = top - size[np.arange(n), second]
+        value[-1] %= last
         total = np.stack([sum(loss[k, c[k]] for k in range(hashes)) for c in choices], axis=1)
         code = np.stack([sum(value[k, c[k]] * (2 * width) ** k for k in range(hashes)) for c in choices], axis=1)
         order = np.argsort(total, axis=1, kind="stable")[:, :probes]
@@ -90,14 +95,17 @@ def buckets(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
     return out
 
 
-def plan(rows: int, width: int) -> tuple[int, int, int]:
-    """Tables, hashes and probes: hashes so that a bucket holds few of ``rows`` vectors by chance, tables so that recall stays.
+def plan(rows: int, width: int) -> tuple[int, int, int, int]:
+    """Tables, hashes, values of the last hash and probes: as many buckets as half the ``rows``, so that few vectors meet by chance, and tables so that recall stays.
 
-    A hash of two vectors at cosine 0.95 agrees in about two cases of three, and probing makes a
-    bucket of two hashes meet in about as many; the tables bring the misses below a thousandth.
+    A hash of two vectors at cosine 0.95 agrees in about two cases of three, and probing makes up
+    for one hash; the tables bring the misses below a thousandth.
     """
-    hashes = max(2, ceil(log(max(2, rows / 64)) / log(2 * max(2, width))))
-    return ceil(log(0.001) / log(1 - 0.66 ** (hashes - 1))), hashes, 4
+    values, wanted = 2 * max(2, width), max(2.0, rows / 2)
+    hashes = max(2, ceil(log(wanted) / log(values) - 1e-9))
+    last = min(values, max(2, ceil(wanted / values ** (hashes - 1))))
+    met = 0.66 ** (hashes - 2) * (0.66 + 0.34 / last)
+    return ceil(log(0.001) / log(1 - met)), hashes, last, 4
 
 
 def sketch(x: np.ndarray) -> np.ndarray:
@@ -136,7 +144,7 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", least_cosine: float = 0.95, tables: int | None = None, hashes: int | None = None, probes: int | None = None, block_rows: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", least_cosine: float = 0.95, block_rows: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Vectors of the same length link if they are found as candidates and their cosine is
@@ -146,8 +154,11 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "e
     null id has no links, a null component and is not kept; repeated rows link with each other. An
     empty table gives an empty result; other columns are ignored.
     """
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "vectors")
+    with Scratch(vectors.sparkSession, "vectors") as scratch:
+        return scratch.keep(_near(vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")), least_cosine, block_rows, scratch))
+
+
+def _near(vectors: DataFrame, least_cosine: float, block_rows: int, scratch: Scratch) -> DataFrame:
 
     def classify(batches):
         for batch in batches:
@@ -158,12 +169,11 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "e
                 units.append(None if u is None else u.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], ["id", "class_key", "unit"])
 
-    rows = scratch.save(vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(classify, "id long, class_key binary, unit binary"), "rows")
+    rows = scratch.save(vectors.mapInArrow(classify, "id long, class_key binary, unit binary"), "rows")
     usable = rows.where("id is not null and class_key is not null")
     classes = scratch.save(usable.groupBy("class_key").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.min("unit").alias("unit")), "classes")
     figures = classes.agg(F.count("*").alias("n"), F.max(F.octet_length("unit")).alias("width")).first()
-    auto = plan(figures.n, (figures.width or 8) // 8)
-    tables, hashes, probes = tables or auto[0], hashes or auto[1], probes or auto[2]
+    tables, hashes, last, probes = plan(figures.n, (figures.width or 8) // 8)
 
     def spread(batches):
         for batch in batches:
@@ -173,7 +183,7 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "e
                 x = np.frombuffer(b"".join(unit_bytes[i] for i in at), np.float64).reshape(len(at), -1)
                 for i in range(0, len(at), 2048):
                     rows_at = at[i : i + 2048]
-                    b = buckets(x[i : i + 2048], tables, hashes, probes)
+                    b = buckets(x[i : i + 2048], tables, hashes, last, probes)
                     # the table and the vector's length are part of a bucket's number
                     code = (b * tables + np.arange(tables)[None, :, None]) * 4099 + size // 8 % 4099
                     bits = [s.tobytes() for s in sketch(x[i : i + 2048])]
@@ -189,37 +199,64 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "e
             i, j = np.nonzero(np.triu(signs @ signs.T >= SKETCH_BITS - 2 * most, 1))
             ok = (own[i] | own[j]) & (rep[i] != rep[j]) & across(table, i, j)
             label = forest(i[ok], j[ok], n)
-            hit = label != np.arange(n)
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(rep[label[hit]])], ["a", "b"])
+            hit = np.flatnonzero(rep[label] != rep)
+            if len(hit):
+                where = np.full(len(hit), hash((table.column("bucket")[0].as_py(), table.column("part")[0].as_py())), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(rep[hit]), pa.array(rep[label[hit]])], ["place", "a", "b"])
 
     entries = classes.select("rep", "unit").mapInArrow(spread, "rep long, bucket long, own boolean, bits binary")
     sizes = entries.groupBy(F.col("bucket").alias("k")).agg(F.count("*").alias("held"), F.count_if("own").alias("owners")).where("held > 1 and owners > 0")
-    near = scratch.save(in_blocks(entries, "bucket", "rep", scratch.save(sizes, "sizes"), block_rows).mapInArrow(meet, "a long, b long"), "near")
+    near = scratch.save(in_blocks(entries, "bucket", "rep", scratch.save(sizes, "sizes"), block_rows).mapInArrow(meet, "place long, a long, b long"), "near")
 
-    def verify(batches):
+    def compare(batches):
+        for batch in batches:
+            ua, ub = batch.column("ua").to_pylist(), batch.column("ub").to_pylist()
+            ok = [len(x) == len(y) and bool(np.frombuffer(x) @ np.frombuffer(y) >= least_cosine) for x, y in zip(ua, ub, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+
+    def linked_pairs(table: pa.Table):
+        """Places of the linked pairs of a part of vectors, each pair of blocks once."""
+        units = table.column("unit").to_pylist()
+        length = np.array([len(u) for u in units])
+        for size in np.unique(length):
+            at = np.flatnonzero(length == size)
+            x = np.frombuffer(b"".join(units[k] for k in at), np.float64).reshape(len(at), -1)
+            i, j = np.nonzero(np.triu(x @ x.T >= least_cosine, 1))
+            ok = across(table, at[i], at[j])
+            yield at[i[ok]], at[j[ok]]
+
+    def again(batches):
+        for table in each_part(batches, "cluster"):
+            rep = table.column("rep").to_numpy()
+            for i, j in linked_pairs(table):
+                label = forest(i, j, len(rep))
+                hit = np.flatnonzero(rep[label] != rep)
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(rep[label[hit]])], ["a", "b"])
+
+    def count(batches):
         for table in each_part(batches, "component"):
-            n = table.num_rows
-            rep, members, units = table.column("rep").to_numpy(), table.column("members").to_numpy(), table.column("unit").to_pylist()
-            length = np.array([len(u) for u in units])
-            for size in np.unique(length):
-                at = np.flatnonzero(length == size)
-                x = np.frombuffer(b"".join(units[k] for k in at), np.float64).reshape(len(at), -1)
-                i, j = np.nonzero(np.triu(x @ x.T >= least_cosine, 1))
-                i, j = at[i], at[j]
-                ok = across(table, i, j)
-                i, j = i[ok], j[ok]
-                count = np.bincount(i, members[j], n) + np.bincount(j, members[i], n)
-                hit = count > 0
-                if hit.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(count[hit].astype(np.int64)), pa.array(rep[forest(i, j, n)[hit]])], ["rep", "links", "root"])
-
-    clusters = scratch.save(connected_components(near, scratch), "clusters")
-    joined = classes.select("rep", "members", "unit").join(clusters, F.col("rep") == F.col("node")).drop("node")
-    held = clusters.groupBy(F.col("component").alias("k")).agg(F.count("*").alias("held"))
-    found = scratch.save(in_blocks(joined, "component", "rep", held, block_rows).mapInArrow(verify, "rep long, links long, root long"), "found")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = connected_components(found, scratch, "rep", "root")
+            n, rep, members = table.num_rows, table.column("rep").to_numpy(), table.column("members").to_numpy()
+            for i, j in linked_pairs(table):
+                links = np.bincount(i, members[j], n) + np.bincount(j, members[i], n)
+                hit = np.flatnonzero(links)
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit].astype(np.int64))], ["rep", "links"])
+
+    units = classes.select("rep", "unit")
+    pairs = near.select("a", "b").distinct().join(units.select(F.col("rep").alias("a"), F.col("unit").alias("ua")), "a").join(units.select(F.col("rep").alias("b"), F.col("unit").alias("ub")), "b")
+    pairs = scratch.save(pairs.select("a", "b", "ua", "ub").mapInArrow(compare, "a long, b long, linked boolean"), "pairs")
+    # candidates of one bucket whose forest has a pair that fails: all their pairs are compared
+    cluster = F.xxhash64("place", "b").alias("cluster")
+    open_ = near.join(pairs.where("not linked"), ["a", "b"], "left_semi").select(cluster).distinct()
+    whole = near.select(cluster, "a", "b").join(open_, "cluster", "left_semi").select("cluster", F.explode(F.array("a", "b")).alias("rep")).distinct()
+    whole = scratch.save(whole, "open")
+    sizes = scratch.save(whole.groupBy(F.col("cluster").alias("k")).agg(F.count("*").alias("held")), "clusters")
+    more = in_blocks(whole.join(units, "rep"), "cluster", "rep", sizes, block_rows).mapInArrow(again, "a long, b long")
+    parts = scratch.save(connected_components(pairs.where("linked").select("a", "b").unionByName(more), scratch), "components")
+    held = scratch.save(parts.groupBy(F.col("component").alias("k")).agg(F.count("*").alias("held")), "held")
+    joined = classes.select("rep", "members", "unit").join(parts, F.col("rep") == F.col("node")).drop("node")
+    counts = in_blocks(joined, "component", "rep", held, block_rows).mapInArrow(count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
     classes = classes.drop("unit").join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
     classes = classes.select("class_key", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = rows.select("id", F.when(F.col("id").isNotNull(), F.col("class_key")).alias("class_key")).join(classes, "class_key", "left")
