@@ -26,7 +26,10 @@ def shown(span: Column | None = None) -> Column:
 
 
 def edit_error(start: Column, end: Column, blocks: Column) -> Column:
-    """The first rule that an edited document breaks, in document order; null if it may be saved."""
+    """The first rule that an edited document breaks, in document order; null if it may be saved.
+
+    Fixed values: the messages are those that users of the evidence store know and search for.
+    """
 
     def line_error(line: Column, label: Column) -> Column:
         said = lambda what: F.concat(F.lit("subtitle "), label, F.lit(f" {what}"))

@@ -230,6 +230,7 @@ def cue_timing(sets: DataFrame, *, path: str = "path", order: str = "set_no", pt
     """Drawn display sets with ``start_ms``, ``end_ms``, ``inferred_end`` and ``error``.
 
     A drawn set ends when the next set starts, drawn or empty; the last one, if drawn, lasts five seconds.
+    Fixed value: the error's message.
     """
     w = Window.partitionBy(path).orderBy(order)
     after = F.lead(pts).over(w)

@@ -59,7 +59,7 @@ def parse_model_json(df: DataFrame, schema: str, *, content: str = "content") ->
 
 
 def lines_error(lines: Column, expected: Column, noun: Column) -> Column:
-    """Why the lines of an answer (normalised text) are rejected, null if they aren't."""
+    """Why the lines of an answer (normalised text) are rejected, null if they aren't. The messages, as models are corrected with them."""
     n = F.coalesce(F.size(lines), F.lit(0))
     wrong = F.concat(F.lit("bitmap analysis found "), expected.cast("string"), F.lit(" large main-text "), noun, F.lit(" in this block, but the response returned "), n.cast("string"))
     return F.when(n < 1, "main text has no lines").when(expected.isNotNull() & (n != expected), wrong).when(F.exists(lines, lambda t: F.coalesce(F.length(t), F.lit(0)) == 0), "main text line is empty")
@@ -74,7 +74,7 @@ def place_annotations(annotations: DataFrame, lines: DataFrame, *, block: str =
 
     ``annotations`` are (block, annotation_index, line_index, base, base_occurrence, text, position)
     with normalised text, ``lines`` (block, mode, line_index, line). Ranges on one line may be
-    equal but not overlap otherwise.
+    equal but not overlap otherwise. Fixed values: the messages, as models are corrected with them.
     """
     rows = annotations.join(lines.select(block, "line_index", "line"), [block, "line_index"], "left").join(lines.select(block, mode).distinct(), block, "left")
     rows = rows.withColumn("ruby_position", X.ruby_position(mode, "position"))
@@ -96,7 +96,7 @@ def validate_annotations(placed: DataFrame, *, block: str = "block_id") -> DataF
 
 
 def soft_issues(df: DataFrame, *, lines: str = "lines", expected: str = "expected_glyphs", mode: str = "writing_mode", block: str = "block_index") -> DataFrame:
-    """``issues`` and ``needs_review``: a length mismatch warns, a vertical block only informs."""
+    """``issues`` and ``needs_review``: a length mismatch warns, a vertical block only informs. Fixed value: the message of the former."""
     bad = X.glyph_mismatch(F.col(lines), F.col(expected))
     schema = "struct<code:string,severity:string,stage:string,path:string,message:string,codepoint:string>"
 
