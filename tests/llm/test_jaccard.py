@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from cuelake.llm import components
 from cuelake.llm import jaccard as J
 from cuelake.llm.components import connected_components
 from cuelake.llm.workdir import Scratch
@@ -140,7 +141,9 @@ def test_boundary_follows_the_sizes():
     assert J.boundary({7: 1000}, 85, 100) > 7 and J.boundary({30: 1000}, 85, 100) <= 30
 
 
-def test_components(spark):
+@pytest.mark.parametrize("many", [1_000_000, 0])
+def test_components(spark, monkeypatch, many):
+    monkeypatch.setattr(components, "MANY_EDGES", many)
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(100, rng.randint(101, 160)) for _ in range(80)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
