@@ -11,6 +11,7 @@ given up at most once, so the work is linear in the piece's length (van Antwerpe
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from array import array
 from collections.abc import Iterator
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 
 from cuelake.llm.workdir import bounded_batches
 
-#: Pieces, and pairs of tokens, that a task remembers before it starts afresh (about 30 and 13 MB); longer pieces are never kept.
-MEMO, LONGEST_MEMO = 100_000, 64
+#: Pieces, and pairs of tokens, that a task remembers before it starts afresh (about 70 and 40 MB at most); longer pieces are never kept.
+MEMO, LONGEST_MEMO = 300_000, 64
 PAIR_BITS, NEVER = 24, 1 << 60
 
 
@@ -67,7 +68,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """The automaton and the memos of one task."""
+    """The automaton of a worker process and the memos of its task."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -140,6 +141,10 @@ class Encoder:
             now = shorter[now]
         return out
 
+    def forget(self) -> None:
+        self.pairs.clear()
+        self.memo.clear()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.memo.__getitem__, self.regex.findall(text)))
@@ -163,6 +168,17 @@ class _Memo(dict):
         return out
 
 
+#: The encoder of this process; that of another vocabulary is given up.
+_KEPT: dict[str, Encoder] = {}
+
+
+def _worker(name: str, shared) -> Encoder:
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Encoder(shared.value)
+    return _KEPT[name]
+
+
 CODED = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
 
@@ -173,22 +189,26 @@ class Tokenizer:
         bounded_batches(spark)
         with open(path, "rb") as f:
             content = f.read()
+        self.name = hashlib.md5(content + pattern.encode()).hexdigest()
         self.shared = spark.sparkContext.broadcast(Vocabulary(content, pattern))
 
     def code(self, text: str | Column) -> Column:
         """struct(ids, decoded): the ids of a whole text, four little-endian bytes each, and the bytes that they stand for. Null and empty texts have none.
 
-        A task makes an encoder and gives it up at its end, so that a worker that goes on to other
-        work keeps the vocabulary only.
+        A task clears the memos at its end, so that a worker that goes on to other work keeps the
+        vocabulary and the automaton only, some 35 MB.
         """
-        shared = self.shared
+        shared, name = self.shared, self.name
 
         @F.arrow_udf(CODED)
         def code(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            encoder = Encoder(shared.value)
-            for column in columns:
-                ids = [encoder.encode(t.as_py() or "") for t in column]
-                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(encoder.decode, ids), pa.binary())], ["ids", "decoded"])
+            encoder = _worker(name, shared)
+            try:
+                for column in columns:
+                    ids = [encoder.encode(t.as_py() or "") for t in column]
+                    yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(encoder.decode, ids), pa.binary())], ["ids", "decoded"])
+            finally:
+                encoder.forget()
 
         return code((F.col(text) if isinstance(text, str) else text).cast("string"))
 
