@@ -93,28 +93,49 @@ def _grams(text: Column, least: int, most: int) -> Column:
     return F.array_distinct(F.concat(*runs))
 
 
+def _is_small(df: DataFrame) -> bool:
+    """Whether Spark's estimate of a table is within its own limit of what it broadcasts."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 def glossary_hits(texts: DataFrame, glossary: DataFrame, *, keys: tuple[str, ...], text: str = "text", translation: str | None = None, term: str = "source", mapped: str | None = None, project: str | None = None) -> DataFrame:
     """(keys, term) of each glossary term that a text contains, with ``translated`` if the mapped form occurs in the translation.
 
-    A term is looked up under one of its trigrams, that which the fewest terms have, and texts under
-    all of theirs; who meets is compared in full. Terms of one or two characters are met by runs of
-    that length, an empty term by every text. With ``project`` only terms of the text's project count.
+    With ``project`` only terms of the text's project count; a project has 500 of them at most, so they
+    are one array that the texts of the project get by a join. Without, a glossary below Spark's
+    broadcast limit is one array for all texts. Terms of a larger one are looked up under one of
+    their trigrams, that which the fewest terms have: ids and trigrams of texts meet them in a
+    shuffle, and texts meet their candidates again by ``keys`` and a hash. Terms of one or two
+    characters are met by runs of that length, an empty term by every text.
     """
     terms = glossary.select((F.col(project) if project else F.lit(0)).alias("_of"), F.col(term).alias("_term"), (F.col(mapped) if mapped else F.lit(None).cast("string")).alias("_mapped")).where("_term is not null")
-    own = terms.where(F.length("_term") >= 3).select("*", F.explode(_grams(F.col("_term"), 3, 3)).alias("_gram"))
+    rows = texts.select(F.struct(*keys).alias("_keys"), (F.col(project) if project else F.lit(0)).alias("_in"), F.col(text).alias("_text"), (F.col(translation) if translation else F.lit(None).cast("string")).alias("_said"), F.xxhash64(text).alias("_hash"))
+    entries = F.collect_list(F.struct("_term", "_mapped")).alias("_list")
+    if project or _is_small(glossary):
+        if project:
+            rows = rows.join(terms.groupBy("_of").agg(entries), F.col("_in") == F.col("_of"))
+        else:
+            rows = rows.withColumn("_list", terms.agg(entries).scalar())
+        found = F.filter("_list", lambda e: F.col("_text").contains(e["_term"]))
+        hits = rows.select("_keys", "_said", F.explode(found).alias("_e")).select("_keys", "_said", "_e.*")
+    else:
+        hits = _looked_up(rows, terms).where(F.col("_text").contains(F.col("_term")))
+    extra = [F.col("_said").contains(F.col("_mapped")).alias("translated")] if translation and mapped else []
+    return hits.select("_keys.*", F.col("_term").alias("term"), *extra)
+
+
+def _looked_up(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` with each term (and its mapped form) that they may contain, as often as it is listed."""
+    terms = terms.groupBy("_term", "_mapped").agg(F.count("*").alias("_times"))
+    own = terms.where(F.length("_term") >= 3).withColumn("_gram", F.explode(_grams(F.col("_term"), 3, 3)))
     common = own.groupBy(F.col("_gram").alias("_g")).agg(F.count("*").alias("_n"))
-    rare = own.join(common, F.col("_gram") == F.col("_g")).groupBy("_of", "_term", "_mapped").agg(F.min(F.struct("_n", "_gram")).getField("_gram").alias("_gram"))
-    short = terms.where(F.length("_term") < 3).distinct().withColumn("_gram", F.col("_term"))
-    repeated = terms.groupBy("_of", "_term", "_mapped").agg(F.count("*").alias("_times"))
-    rows = texts.select(F.struct(*keys).alias("_keys"), (F.col(project) if project else F.lit(0)).alias("_in"), F.col(text).alias("_text"), (F.col(translation) if translation else F.lit(None).cast("string")).alias("_said"))
+    rare = own.join(common, F.col("_gram") == F.col("_g")).groupBy("_term", "_mapped", "_times").agg(F.min(F.struct("_n", "_gram")).getField("_gram").alias("_gram"))
+    short = terms.where(F.length("_term") < 3).select("_term", "_mapped", "_times", F.col("_term").alias("_gram"))
 
     def met(listed: DataFrame, grams: Column) -> DataFrame:
-        looked_up = rows.select("*", F.explode(grams).alias("_has"))
-        return looked_up.join(listed, (F.col("_in") == F.col("_of")) & (F.col("_has") == F.col("_gram"))).where(F.col("_text").contains(F.col("_term")))
+        ids = rows.where("_text is not null").select("_keys", "_hash", F.explode(grams).alias("_has")).distinct()
+        return ids.join(listed.hint("shuffle_hash"), F.col("_has") == F.col("_gram")).select("_keys", "_hash", "_term", "_mapped", "_times")
 
-    hits = met(rare, _grams(F.col("_text"), 3, 3)).unionByName(met(short, F.concat(F.array(F.lit("")), _grams(F.col("_text"), 1, 2))))
-    times = repeated.where("_times > 1").select(F.col("_of").alias("_o"), F.col("_term").alias("_t"), F.col("_mapped").alias("_m"), "_times")  # a term listed twice hits twice
-    hits = hits.join(times, (F.col("_of") == F.col("_o")) & (F.col("_term") == F.col("_t")) & F.col("_mapped").eqNullSafe(F.col("_m")), "left")
-    hits = hits.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_times", F.lit(1).cast("bigint")))))
-    extra = [F.col("_said").contains(F.col("_mapped")).alias("translated")] if translation and mapped else []
-    return hits.select("_keys.*", F.col("_term").alias("term"), *extra)
+    found = met(rare, _grams(F.col("_text"), 3, 3)).unionByName(met(short, F.concat(F.array(F.lit("")), _grams(F.col("_text"), 1, 2))))
+    return rows.join(found.hint("merge"), ["_keys", "_hash"]).withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), "_times")))

@@ -197,3 +197,20 @@ def test_redaction(spark):
 def test_search(spark):
     rows = spark.createDataFrame([(1, "Hello"), (12, None)], "cue_index long, text string")
     assert [search.search_cues(rows, q).count() for q in ("", " hELLO ", "00012", "zz")] == [2, 1, 1, 0]
+
+
+def test_glossary_of_any_size(spark, monkeypatch):
+    """Both ways of a glossary without a project, and that by project, find the same terms: short, empty, repeated and null ones too."""
+    from cuelake.operators import translation
+
+    texts = spark.createDataFrame([(1, "p", "the red fox", "le renard"), (2, "p", "", "x"), (3, "q", None, None), (4, "q", "漢字 fox", "renard"), (4, "q", "漢字 fox", "renard")], "k int, project string, text string, said string")
+    terms = [("p", "fox", "renard"), ("p", "red fox", "roux"), ("p", "漢", "k"), ("p", "", ""), ("p", "fox", "renard"), ("p", None, "n"), ("p", "no such", "x"), ("p", "e ", "z")]
+    glossary = spark.createDataFrame(terms, "project string, source string, mapped string")
+    want = sorted((k, t, m in (s or "")) for k, _, x, s in (tuple(r) for r in texts.collect()) for _, t, m in terms if x is not None and t is not None and t in x)
+    for small in (True, False):
+        monkeypatch.setattr(translation, "_is_small", lambda df, small=small: small)
+        out = translation.glossary_hits(texts, glossary, keys=("k",), translation="said", mapped="mapped")
+        assert sorted((r.k, r.term, r.translated) for r in out.collect()) == want
+        assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    own = translation.glossary_hits(texts, glossary, keys=("k",), translation="said", mapped="mapped", project="project")
+    assert sorted((r.k, r.term, r.translated) for r in own.collect()) == [w for w in want if w[0] < 3]
