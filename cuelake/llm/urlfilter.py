@@ -133,25 +133,24 @@ def judge_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
 
     ``rules`` is a list of (verdict, host, path) known on the driver. Edges come from canonical
     links and refreshes in the html, relative ones resolved, and from ``redirects`` (source_url,
-    target_url) if given. The
-    verdict is that of the longest fitting rule; without one, block if the component of the url
+    target_url) if given. The verdict is that of the longest fitting rule; without one, block if the component of the url
     holds a blocked address, else allow; aliased tells the former. Null urls, and those without
     ``://``, have empty host and path, no rule and no alias. Null html has no edges; repeated rows
     are judged alike; an empty table gives an empty result.
     """
-    scratch = Scratch(pages.sparkSession, "urls")
-    own = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    linked = own.select("url", base_of(F.col("html"), F.col("url")).alias("base"), F.explode(F.array_distinct(alias_targets(F.col("html")))).alias("target")).select("url", resolved(F.col("target"), F.col("base")).alias("target"))
-    if redirects is not None:
-        linked = linked.unionByName(redirects.select(F.col("source_url").alias("url"), F.col("target_url").alias("target")))
-    ends = scratch.save(linked.where("target is not null").select(page_key(F.col("url")).alias("a"), page_key(F.col("target")).alias("b"), "url", "target").distinct(), "links")
-    known = ends.select(F.col("a").alias("node"), F.col("url")).unionByName(ends.select(F.col("b").alias("node"), F.col("target").alias("url")))
-    blocked = known.where(rule_of(host_of(F.col("url")), path_of(F.col("url")), rules).getField("verdict") == "block").select("node").distinct()
-    members = connected_components(ends, scratch)
-    bad = members.join(blocked, "node").select("component").distinct()
-    tainted = members.join(bad, "component").select(F.col("node").alias("key"), F.lit(True).alias("aliased"))
-    judged = own.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), page_key(F.col("url")).alias("key"))
-    judged = judged.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).join(tainted, "key", "left")
-    aliased = F.col("found").isNull() & F.coalesce("aliased", F.lit(False))
-    verdict = F.coalesce(F.col("found.verdict"), F.when(aliased, "block").otherwise("allow"))
-    return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), aliased.alias("aliased"))
+    with Scratch(pages.sparkSession, "urls") as scratch:
+        own = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+        linked = own.select("url", base_of(F.col("html"), F.col("url")).alias("base"), F.explode(F.array_distinct(alias_targets(F.col("html")))).alias("target")).select("url", resolved(F.col("target"), F.col("base")).alias("target"))
+        if redirects is not None:
+            linked = linked.unionByName(redirects.select(F.col("source_url").alias("url"), F.col("target_url").alias("target")))
+        ends = scratch.save(linked.where("target is not null").select(page_key(F.col("url")).alias("a"), page_key(F.col("target")).alias("b"), "url", "target").distinct(), "links")
+        known = ends.select(F.col("a").alias("node"), F.col("url")).unionByName(ends.select(F.col("b").alias("node"), F.col("target").alias("url")))
+        blocked = known.where(rule_of(host_of(F.col("url")), path_of(F.col("url")), rules).getField("verdict") == "block").select("node").distinct()
+        members = connected_components(ends, scratch)
+        bad = scratch.save(members.join(blocked, "node").select("component").distinct(), "bad")  # a table, so that Spark can split a large component
+        tainted = members.join(bad, "component").select(F.col("node").alias("key"), F.lit(True).alias("aliased"))
+        judged = own.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), page_key(F.col("url")).alias("key"))
+        judged = judged.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).join(tainted, "key", "left")
+        aliased = F.col("found").isNull() & F.coalesce("aliased", F.lit(False))
+        verdict = F.coalesce(F.col("found.verdict"), F.when(aliased, "block").otherwise("allow"))
+        return scratch.keep(judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), aliased.alias("aliased")))

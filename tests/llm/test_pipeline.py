@@ -4,7 +4,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from cuelake.llm import bpe, langid, queries
+from cuelake.llm import bpe, langid, mixing, queries
 from test_jaccard import brute
 
 
@@ -31,11 +31,23 @@ def test_stages_on_all_rows(spark, small, docs, tmp_path):
             assert kept.count() == before.count() and kept.where(F.col("text").rlike("[0-9a-f]{24}")).count() == 0
             assert kept.where(F.col("n_chars") != F.length("text")).count() == before.where(F.col("n_chars") != F.length("text")).count()
         if name == "mixing":
+            redacted = before
             n = before.count()
             assert 0.5 * n < kept.count() <= 2 * n and kept.select("doc_id").subtract(before.select("doc_id")).count() == 0
             assert kept.groupBy("doc_id").count().where("count > 2").count() == 0
         if name == "tokens":
             assert kept.count() == before.count() and kept.where("not exact").count() == 0
+            # the order of (shard, place) is that in which the mix wrote its rows: by training position
+            assert kept.where("shard is null or place is null").count() == 0 and kept.select("shard", "place").distinct().count() == kept.count()
+            mixed = mixing.mix(redacted, whole_rows=True)
+            position = {}
+            for r in mixed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("copies").cast("int"))))).select("doc_id", mixing.copy_position(F.col("copy")).alias("at")).orderBy("at").collect():
+                position.setdefault(r.doc_id, []).append(r["at"])
+            seen, times = {}, []
+            for r in kept.orderBy("shard", "place").select("doc_id").collect():
+                times.append(position[r.doc_id][seen.get(r.doc_id, 0)])
+                seen[r.doc_id] = seen.get(r.doc_id, 0) + 1
+            assert times == sorted(times)
     with open(public_tokenizers.path(queries.TOKENIZER), "rb") as f:
         library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.Vocabulary(f.read(), public_tokenizers.PATTERN).rank, special_tokens={})
     texts = {r.doc_id: r.text for r in before.collect()}
