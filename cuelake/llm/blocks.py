@@ -53,9 +53,14 @@ def whole_parts(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[p
         yield table, ends(table)
 
 
-def across(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def where(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The parts and blocks of the rows of ``in_blocks``, for ``across``."""
+    return table.column("part").to_numpy(), table.column("block").to_numpy()
+
+
+def across(placed: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs of places of one group belong to its part: those of two blocks have one member in each."""
-    part, block = table.column("part").to_numpy(), table.column("block").to_numpy()
+    part, block = placed
     return ((part[i] >> 31) == (part[i] & HALF)) | (block[i] != block[j])
 
 

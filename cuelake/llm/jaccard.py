@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from cuelake.llm import bitmap
 from cuelake.llm import textvec as V
-from cuelake.llm.blocks import across, in_blocks, pairs_at, whole_parts
+from cuelake.llm.blocks import across, in_blocks, pairs_at, where, whole_parts
 from cuelake.llm.components import connected_components
 from cuelake.llm.workdir import Scratch, bounded_batches
 
@@ -196,12 +196,12 @@ def block_pairs(num: int, den: int):
         for table, end in whole_parts(batches, "list"):
             sid, n, pos, component = (table.column(c).to_numpy() for c in ("sid", "n", "pos", "component"))
             bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(sid), -1)
-            a, b, held = [], [], 0
+            placed, a, b, held = where(table), [], [], 0
             for i, j in pairs_at(end):
                 need = -(-(n[i] + n[j]) * num // (num + den))
                 ok = (component[i] != component[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
                 i, j, need = i[ok], j[ok], need[ok]
-                ok = across(table, i, j) & (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j] - 2 * need)
+                ok = across(placed, i, j) & (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j] - 2 * need)
                 if ok.any():
                     a.append(np.minimum(sid[i[ok]], sid[j[ok]]))
                     b.append(np.maximum(sid[i[ok]], sid[j[ok]]))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.blocks import across, each_part, in_blocks
+from cuelake.llm.blocks import across, each_part, in_blocks, pairs_at, where, whole_parts
 from cuelake.llm.components import connected_components
 from cuelake.llm.workdir import Scratch
 
@@ -192,17 +192,21 @@ def _near(vectors: DataFrame, least_cosine: float, block_rows: int, scratch: Scr
 
     def meet(batches):
         most = most_differences(least_cosine)
-        for table in each_part(batches, "bucket"):
-            n = table.num_rows
-            signs = np.unpackbits(np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(n, -1), axis=1).astype(np.float32) * 2 - 1
-            rep, own = table.column("rep").to_numpy(), table.column("own").to_numpy(zero_copy_only=False)
-            i, j = np.nonzero(np.triu(signs @ signs.T >= SKETCH_BITS - 2 * most, 1))
-            ok = (own[i] | own[j]) & (rep[i] != rep[j]) & across(table, i, j)
-            label = forest(i[ok], j[ok], n)
+        for table, end in whole_parts(batches, "bucket"):
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+            rep, own, placed = table.column("rep").to_numpy(), table.column("own").to_numpy(), where(table)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j in pairs_at(end):
+                ok = (own[i] | own[j]) & (rep[i] != rep[j]) & across(placed, i, j)
+                i, j = i[ok], j[ok]
+                ok = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= most
+                a.append(i[ok])
+                b.append(j[ok])
+            label = forest(np.concatenate(a), np.concatenate(b), table.num_rows)
             hit = np.flatnonzero(rep[label] != rep)
             if len(hit):
-                where = np.full(len(hit), hash((table.column("bucket")[0].as_py(), table.column("part")[0].as_py())), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(rep[hit]), pa.array(rep[label[hit]])], ["place", "a", "b"])
+                place = table.column("bucket").to_numpy()[hit] * 1_000_003 + placed[0][hit]
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(rep[hit]), pa.array(rep[label[hit]])], ["place", "a", "b"])
 
     entries = classes.select("rep", "unit").mapInArrow(spread, "rep long, bucket long, own boolean, bits binary")
     sizes = entries.groupBy(F.col("bucket").alias("k")).agg(F.count("*").alias("held"), F.count_if("own").alias("owners")).where("held > 1 and owners > 0")
@@ -222,7 +226,7 @@ def _near(vectors: DataFrame, least_cosine: float, block_rows: int, scratch: Scr
             at = np.flatnonzero(length == size)
             x = np.frombuffer(b"".join(units[k] for k in at), np.float64).reshape(len(at), -1)
             i, j = np.nonzero(np.triu(x @ x.T >= least_cosine, 1))
-            ok = across(table, at[i], at[j])
+            ok = across(where(table), at[i], at[j])
             yield at[i[ok]], at[j[ok]]
 
     def again(batches):
