@@ -103,29 +103,25 @@ def glossary_hits(texts: DataFrame, glossary: DataFrame, *, keys: tuple[str, ...
     """(keys, term) of each glossary term that a text contains, with ``translated`` if the mapped form occurs in the translation.
 
     With ``project`` only terms of the text's project count; a project has 500 of them at most, so they
-    are one array that the texts of the project get by a join. Without, a glossary below Spark's
-    broadcast limit is one array for all texts. Terms of a larger one are looked up under one of
-    their trigrams, that which the fewest terms have: ids and trigrams of texts meet them in a
-    shuffle, and texts meet their candidates again by ``keys`` and a hash. Terms of one or two
-    characters are met by runs of that length, an empty term by every text.
+    are one array that the texts of the project get by a join. Without, terms are looked up under one
+    of their trigrams, that which the fewest terms have. A glossary below Spark's broadcast limit is
+    broadcast to the texts; of a larger one ids and trigrams of texts meet the terms in a shuffle, and
+    texts meet their candidates again by ``keys`` and a hash. Terms of one or two characters are met
+    by runs of that length, an empty term by every text.
     """
     terms = glossary.select((F.col(project) if project else F.lit(0)).alias("_of"), F.col(term).alias("_term"), (F.col(mapped) if mapped else F.lit(None).cast("string")).alias("_mapped")).where("_term is not null")
     rows = texts.select(F.struct(*keys).alias("_keys"), (F.col(project) if project else F.lit(0)).alias("_in"), F.col(text).alias("_text"), (F.col(translation) if translation else F.lit(None).cast("string")).alias("_said"), F.xxhash64(text).alias("_hash"))
-    entries = F.collect_list(F.struct("_term", "_mapped")).alias("_list")
-    if project or _is_small(glossary):
-        if project:
-            rows = rows.join(terms.groupBy("_of").agg(entries), F.col("_in") == F.col("_of"))
-        else:
-            rows = rows.withColumn("_list", terms.agg(entries).scalar())
+    if project:
+        rows = rows.join(terms.groupBy("_of").agg(F.collect_list(F.struct("_term", "_mapped")).alias("_list")), F.col("_in") == F.col("_of"))
         found = F.filter("_list", lambda e: F.col("_text").contains(e["_term"]))
         hits = rows.select("_keys", "_said", F.explode(found).alias("_e")).select("_keys", "_said", "_e.*")
     else:
-        hits = _looked_up(rows, terms).where(F.col("_text").contains(F.col("_term")))
+        hits = _looked_up(rows.where("_text is not null"), terms, _is_small(glossary)).where(F.col("_text").contains(F.col("_term")))
     extra = [F.col("_said").contains(F.col("_mapped")).alias("translated")] if translation and mapped else []
     return hits.select("_keys.*", F.col("_term").alias("term"), *extra)
 
 
-def _looked_up(rows: DataFrame, terms: DataFrame) -> DataFrame:
+def _looked_up(rows: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     """``rows`` with each term (and its mapped form) that they may contain, as often as it is listed."""
     terms = terms.groupBy("_term", "_mapped").agg(F.count("*").alias("_times"))
     own = terms.where(F.length("_term") >= 3).withColumn("_gram", F.explode(_grams(F.col("_term"), 3, 3)))
@@ -134,8 +130,10 @@ def _looked_up(rows: DataFrame, terms: DataFrame) -> DataFrame:
     short = terms.where(F.length("_term") < 3).select("_term", "_mapped", "_times", F.col("_term").alias("_gram"))
 
     def met(listed: DataFrame, grams: Column) -> DataFrame:
-        ids = rows.where("_text is not null").select("_keys", "_hash", F.explode(grams).alias("_has")).distinct()
+        if small:
+            return rows.withColumn("_has", F.explode(grams)).join(F.broadcast(listed), F.col("_has") == F.col("_gram")).drop("_has", "_gram")
+        ids = rows.select("_keys", "_hash", F.explode(grams).alias("_has")).distinct()
         return ids.join(listed.hint("shuffle_hash"), F.col("_has") == F.col("_gram")).select("_keys", "_hash", "_term", "_mapped", "_times")
 
     found = met(rare, _grams(F.col("_text"), 3, 3)).unionByName(met(short, F.concat(F.array(F.lit("")), _grams(F.col("_text"), 1, 2))))
-    return rows.join(found.hint("merge"), ["_keys", "_hash"]).withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), "_times")))
+    return (found if small else rows.join(found.hint("merge"), ["_keys", "_hash"])).withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), "_times")))
