@@ -66,6 +66,12 @@ class Vocabulary:
             if self.left[r] >= 0:
                 self.shorter[r] = next((p for k in range(len(t) - 1, 0, -1) if (p := self.rank.get(t[:k], -1)) >= 0 and self.left[p] >= 0), -1)
 
+    def encoder(self) -> Encoder:
+        return Encoder(self)
+
+    def decoded(self, ids: bytes) -> bytes:
+        return decoded(ids, self.token)
+
 
 class Encoder:
     """The automaton of a worker process and the memos of its task."""
@@ -150,7 +156,7 @@ class Encoder:
         return b"".join(map(self.memo.__getitem__, self.regex.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        return decoded(ids, self.v.token)
+        return self.v.decoded(ids)
 
 
 class _Memo(dict):
@@ -175,7 +181,7 @@ _KEPT: dict[str, Encoder] = {}
 def _worker(name: str, shared) -> Encoder:
     if name not in _KEPT:
         _KEPT.clear()
-        _KEPT[name] = Encoder(shared.value)
+        _KEPT[name] = shared.value.encoder()
     return _KEPT[name]
 
 
@@ -189,8 +195,11 @@ class Tokenizer:
         bounded_batches(spark)
         with open(path, "rb") as f:
             content = f.read()
-        self.name = hashlib.md5(content + pattern.encode()).hexdigest()
-        self.shared = spark.sparkContext.broadcast(Vocabulary(content, pattern))
+        self._share(spark, content + pattern.encode(), Vocabulary(content, pattern))
+
+    def _share(self, spark: SparkSession, known_by: bytes, vocabulary) -> None:
+        self.name = hashlib.md5(known_by).hexdigest()
+        self.shared = spark.sparkContext.broadcast(vocabulary)
 
     def code(self, text: str | Column) -> Column:
         """struct(ids, decoded): the ids of a whole text, four little-endian bytes each, and the bytes that they stand for. Null and empty texts have none.
@@ -218,7 +227,7 @@ class Tokenizer:
 
         @F.arrow_udf(T.BinaryType())
         def decode(column: pa.Array) -> pa.Array:
-            return pa.array([decoded(i.as_py() or b"", shared.value.token) for i in column], pa.binary())
+            return pa.array([shared.value.decoded(i.as_py() or b"") for i in column], pa.binary())
 
         return decode(F.col(ids) if isinstance(ids, str) else ids)
 

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with SQL where SQL can express them."""
+"""The registered queries of the thirteen operators, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import bpe, jaccard, langid, mixing, quality, secrets, topk, urlfilter, vectors, warc
+from cuelake.llm import bpe, clustering, jaccard, langid, mixing, quality, secrets, spelling, topk, urlfilter, vectors, warc, wordbpe
 from cuelake.llm.workdir import Scratch
 
-TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+TOKENIZER, WORD_TOKENIZER = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
-    coded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
+    return digests(bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer))
+
+
+def digests(coded: DataFrame) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -69,7 +72,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         return scratch.keep(warc.catalogue(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_embedding_neardup, op3_secret_scan, op4_language_id, op5_ngram_jaccard, op6_source_mix, op7_url_filter, op8_byte_bpe, op9_exact_topk, op10_warc)}
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = wordbpe.WordTokenizer(spark, public_tokenizers.path(WORD_TOKENIZER))
+    return digests(bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def rounds_sql(rounds: int) -> str:
+    """One assignment and one move a round, each a table of its own."""
+    near = """a{0} as materialized (select i, vec_id, v, c, d from (select x.i, x.vec_id, x.v, m.c, list_sum(list_transform(range(1, 65), lambda p: (x.v[p] - m.v[p]) * (x.v[p] - m.v[p])))::bigint as d from x, m{0} m) qualify row_number() over (partition by i order by d, c) = 1)"""
+    move = """u{1} as (select c, p, sum(e)::bigint as s, count(*) as n from (select c, unnest(v) as e, unnest(range(1, 65)) as p from a{0}) group by c, p),
+        w{1} as (select c, list((s - (((s % n) + n) % n)) // n order by p) as v from u{1} group by c), m{1} as materialized (select m.c, coalesce(w.v, m.v) as v from m{0} m left join w{1} w on w.c = m.c)"""
+    return ",\n        ".join([*(f"{near.format(k)},\n        {move.format(k, k + 1)}" for k in range(rounds)), near.format(rounds)])
+
+
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_embedding_neardup, op3_secret_scan, op4_language_id, op5_ngram_jaccard, op6_source_mix, op7_url_filter, op8_byte_bpe, op9_exact_topk, op10_warc, op11_word_bpe, op12_spelling_variants, op13_centroid_clusters)}
 SQL = {
     "op2_embedding_neardup": """
         with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
@@ -115,4 +139,22 @@ SQL = {
         f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first from p)
         select page_id, payload_bytes, payload_digest, case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
         case when first is not null and page_id is distinct from first then first end as refers_to from f""",
+    "op12_spelling_variants": """
+        with recursive t as (select list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+        r as (select coalesce(cast(doc_id as varchar), '') as id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) as run from documents),
+        g as (select id, run, count(*) as n from r group by id, run),
+        b as (select *, flatten(list_transform(string_split(id || ':' || run, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [(192 + (unicode(x) >> 6))::bigint, (128 + (unicode(x) & 63))::bigint] end)) as bytes from g),
+        h as (select run, n, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, y: xor(c >> 8, t.t[(xor(c, y) & 255) + 1])), 4294967295) as h from b, t),
+        c as (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from h),
+        w as materialized (select word, sum(n)::bigint as n, translate(word, 'àáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~') as s from c where length(word) >= 6 group by word having sum(n) >= 5),
+        l as (select a.word, a.n, b.word as near, b.n as near_n from w a join w b on a.word <> b.word and abs(length(a.s) - length(b.s)) <= 1 and levenshtein(a.s, b.s) = 1),
+        f as (select word, count(*) as n_near, first(near order by near_n desc, near) as best, max(near_n) as best_n from l group by word),
+        j as materialized (select w.word, w.n, coalesce(n_near, 0) as n_near, case when best_n >= 5 * w.n then best end as form, case when best_n >= 5 * w.n then best_n end as form_n from w left join f on f.word = w.word),
+        e as (select word, word as root, form as further from j union all select e.word, j.word, j.form from e join j on j.word = e.further)
+        select j.word, j.form, e.root, j.n, j.n_near, j.form_n from j join e on e.word = j.word and e.further is null""",
+    "op13_centroid_clusters": f"""
+        with x as materialized (select row_number() over () as i, vec_id, list_transform(embedding, lambda y: floor(1024 * y::double)::bigint) as v from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda y: y is null or isnan(y) or isinf(y))) = 0),
+        m0 as materialized (select row_number() over (order by sha256('3:' || vec_id), v) - 1 as c, v from x order by sha256('3:' || vec_id), v limit 8),
+        {rounds_sql(10)}
+        select vec_id, a.c::int as cluster, d as distance, sum(d) over (partition by a.c)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia, sha256(array_to_string(m.v, ',')) as centroid_sha256 from a10 a join m10 m on m.c = a.c""",
 }
