@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuelake.functions.text import trim_unicode
+from cuelake.sources.segments import read_sup_segments, segments_of  # noqa: F401
+from cuelake.sources.tail import GrowingLines
 
 SPAN = "struct<type:string,text:string,base:string,annotations:array<struct<text:string,position:string>>,styles:array<string>,color:string>"
 LINE = f"struct<text:string,spans:array<{SPAN}>>"
@@ -67,48 +65,6 @@ def decode_typed_documents(df: DataFrame, column: str, schema: str, *, enums: di
     return rows.where("error is null").drop("error"), rows.where("error is not null").drop("decoded")
 
 
-def split_segments(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(pts, kind, payload) of each segment; ValueError if one is broken off."""
-    at = 0
-    while at < len(data):
-        if at + 13 > len(data):
-            raise ValueError("truncated segment header")
-        mark, pts, _, kind, n = struct.unpack_from(">2sIIBH", data, at)
-        if mark != b"PG":
-            raise ValueError("invalid segment signature")
-        if at + 13 + n > len(data):
-            raise ValueError("truncated segment payload")
-        yield pts, kind, data[at + 13 : at + 13 + n]
-        at += 13 + n
-
-
-def read_sup_segments(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, seg_no, pts, kind, payload, error) of presentation-graphics streams; a file is a task's unit. A broken file has a last row with its error."""
-    return segments_of(spark.read.format("binaryFile").load(glob).select("path", "content"))
-
-
-def segments_of(files: DataFrame) -> DataFrame:
-    """``read_sup_segments`` of (path, content)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", "seg_no", "pts", "kind", "payload", "error"]
-        for batch in batches:
-            for r in batch.itertuples():
-                rows, n = [], 0
-                try:
-                    for n, (pts, kind, payload) in enumerate(split_segments(bytes(r.content)), 1):
-                        rows.append((r.path, n, pts, kind, payload, None))
-                        if len(rows) == 1000:
-                            yield pd.DataFrame(rows, columns=columns)
-                            rows = []
-                except ValueError as e:
-                    rows.append((r.path, n + 1, 0, -1, b"", str(e)))
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
-
-    return files.mapInPandas(run, "path string, seg_no long, pts long, kind int, payload binary, error string")
-
-
 def read_cue_images(spark: SparkSession, folder: str, cues: DataFrame, *, image_path: str = "image_path") -> DataFrame:
     """Cues with the bytes of their image; absolute paths and such that leave the folder have an error."""
     path = F.col(image_path)
@@ -147,9 +103,22 @@ def parse_title_listings(listings: DataFrame, *, file: str = "path", text: str =
     return titles, files.select("path", "main_title_index", error.alias("error"))
 
 
-def read_diagnostics(spark: SparkSession, glob: str, stream: bool = False) -> DataFrame:
-    """Entries of ``session-<id>-NNN.jsonl`` files, batch or stream; blank and broken lines are left out, the session id comes from the file name."""
-    reader = (spark.readStream if stream else spark.read).schema(DIAGNOSTICS + ", _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-    rows = reader.json(glob)
-    rows = rows.withColumn("session_id", F.coalesce(F.nullif(F.regexp_extract(F.col("_metadata.file_name"), r"^session-(.+)-\d+\.jsonl$", 1), F.lit("")), F.col("session_id")))
-    return rows.where("_corrupt_record is null").drop("_corrupt_record")
+#: Fixed value: names of log segments.
+SESSION_FILE = r"^session-(.+)-\d+\.jsonl$"
+
+
+def read_diagnostics(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    """Entries of ``session-<id>-NNN.jsonl`` files; blank and broken lines are left out, the session id comes from the file name.
+
+    As a stream it follows segments that grow: an entry comes once, when its line is whole.
+    """
+    if stream:
+        spark.dataSource.register(GrowingLines)
+        lines = spark.readStream.format("growing_lines").option("pattern", "session-*.jsonl").load(folder)
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+        rows = lines.where(F.trim("value") != "").select("file", F.from_json("value", DIAGNOSTICS + ", _corrupt_record string", options).alias("entry")).select("file", "entry.*")
+    else:
+        reader = spark.read.schema(DIAGNOSTICS + ", _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+        rows = reader.json(folder).withColumn("file", F.col("_metadata.file_name"))
+    named = F.nullif(F.regexp_extract("file", SESSION_FILE, 1), F.lit(""))
+    return rows.where("_corrupt_record is null").withColumn("session_id", F.coalesce(named, "session_id")).drop("_corrupt_record", "file")

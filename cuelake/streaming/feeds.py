@@ -12,20 +12,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuelake.operators.diagnostics import redact_details
 from cuelake.operators.ingest import extract_cues
-from cuelake.sources.readers import read_diagnostics, segments_of
+from cuelake.sources.readers import read_diagnostics
+from cuelake.sources.segments import segments_in_files
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 PROGRESS = "job_id string, append_seq bigint, phase string, current int, total int, cue_id string, at timestamp"
 
 
 def stream_cues(spark: SparkSession, glob: str, checkpoint: str, sink: Callable[[DataFrame, DataFrame, int], None], **trigger) -> StreamingQuery:
-    """Cues of stream files as they arrive; ``sink`` gets (cues, failed streams, batch number). A file is the unit of arrival."""
+    """Cues of stream files as they arrive; ``sink`` gets (cues, failed streams, batch number). A file is the unit of arrival, and a long one is read in byte ranges."""
 
     def each(files: DataFrame, batch: int) -> None:
-        cues, failed = extract_cues(segments_of(files.select("path", "content")).where("error is null"))
+        cues, failed = extract_cues(segments_in_files(files).where("error is null"))
         sink(cues, failed, batch)
 
-    files = spark.readStream.format("binaryFile").schema(FILES).load(glob)
+    files = spark.readStream.format("binaryFile").schema(FILES).load(glob).select("path", "length")
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
@@ -42,9 +43,9 @@ def read_progress(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(PROGRESS).json(folder)
 
 
-def stream_log_tail(spark: SparkSession, glob: str, secrets: tuple[str, ...] = ()) -> DataFrame:
-    """Diagnostics entries as they are written, redacted; for append mode."""
-    return redact_details(read_diagnostics(spark, glob, stream=True), secrets=secrets)
+def stream_log_tail(spark: SparkSession, folder: str, secrets: tuple[str, ...] = ()) -> DataFrame:
+    """Diagnostics entries of a folder of growing segments as they are written, redacted; for append mode."""
+    return redact_details(read_diagnostics(spark, folder, stream=True), secrets=secrets)
 
 
 def stream_effective(revisions: DataFrame, *, cue: str = "cue_id", seq: str = "append_seq", columns: tuple[str, ...] = ("author",)) -> DataFrame:
