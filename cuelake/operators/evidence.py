@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cuelake.operators.numbering import numbered
+
 CURRENT_SCHEMA = 2
 AUTHORS = ("ocr", "human", "translation")
 
@@ -78,11 +80,43 @@ def delete_revisions(revisions: DataFrame, target: Column, *, cue: str = "cue_id
     return revisions.withColumn("outcome", F.when(~hit, "kept").when(left >= 1, "deleted").otherwise("refused"))
 
 
-def append_revisions(documents: DataFrame, log: DataFrame, author: str, *, keys: Sequence[str], seq: str = "append_seq", project: str = "project_id") -> DataFrame:
+def next_numbers(rows: DataFrame, log: DataFrame, *, keys: Sequence[str], seq: str = "append_seq", project: str = "project_id", tasks: int | None = None) -> DataFrame:
+    """Rows with numbers that go on from each project's highest, in the order of ``keys``; a project of any size is spread over tasks."""
+    last = log.groupBy(F.col(project).alias("_project")).agg(F.max(seq).alias("_last"))
+    told = numbered(rows, [project], keys, "_nth", tasks=tasks).join(last, F.col(project).eqNullSafe(F.col("_project")), "left")
+    return told.withColumn(seq, F.coalesce("_last", F.lit(0)) + F.col("_nth")).drop("_project", "_last", "_nth")
+
+
+def append_revisions(documents: DataFrame, log: DataFrame, author: str, *, keys: Sequence[str], seq: str = "append_seq", project: str = "project_id", tasks: int | None = None) -> DataFrame:
     """The documents as new rows of the log; numbers go on from each project's highest, in the order of ``keys``."""
-    last = log.groupBy(project).agg(F.max(seq).alias("_last"))
-    number = F.row_number().over(Window.partitionBy(project).orderBy(*keys))
-    return documents.join(last, project, "left").withColumns({seq: F.coalesce("_last", F.lit(0)) + number, "author": F.lit(author), "review_status": F.lit("unreviewed")}).drop("_last")
+    return next_numbers(documents, log, keys=keys, seq=seq, project=project, tasks=tasks).withColumns({"author": F.lit(author), "review_status": F.lit("unreviewed")})
+
+
+def live_revisions(log: DataFrame, *, cue: str = "cue_id", seq: str = "append_seq", kind: str = "kind", reference: str = "revision_seq", arranged: bool = False) -> DataFrame:
+    """The revisions of a mixed log that no deletion names; what every operator on revisions then takes.
+
+    A deletion is a row of its own that names a cue's revision by number. Rows are dealt by cue once
+    and stay so: the newest live revision of a cue needs no second exchange, and none at all where
+    ``arranged`` says that a cue's rows are together already, as in a bucketed table. A deletion of
+    a number that the cue does not have, or a second one of the same revision, changes nothing.
+    """
+    rows = log.where(F.col(kind).isin("revision", "deletion"))
+    rows = rows if arranged else rows.repartition(cue)
+    deletes = F.col(kind) == "deletion"
+    named = F.when(deletes, F.col(reference)).otherwise(F.col(seq))
+    gone = F.max(deletes).over(Window.partitionBy(cue, named))
+    return rows.withColumn("_gone", gone).where(~F.col("_gone")).drop("_gone")
+
+
+def delete_from_log(log: DataFrame, target: Column, *, cue: str = "cue_id", seq: str = "append_seq", kind: str = "kind", reference: str = "revision_seq", project: str = "project_id", arranged: bool = False, tasks: int | None = None) -> DataFrame:
+    """New deletion rows (project, cue, number, kind, reference) for the targets that may go, to be appended to the log.
+
+    Only live revisions are targets, and a cue keeps one of them (see ``delete_revisions``). Their
+    numbers go on from the project's highest, by cue and revision.
+    """
+    judged = delete_revisions(live_revisions(log, cue=cue, seq=seq, kind=kind, reference=reference, arranged=arranged), target, cue=cue)
+    gone = judged.where("outcome = 'deleted'").select(project, cue, F.col(seq).alias(reference), F.lit("deletion").alias(kind))
+    return next_numbers(gone, log, keys=[cue, reference], seq=seq, project=project, tasks=tasks)
 
 
 def restore_to_ocr(cues: DataFrame, revisions: DataFrame, *, cue: str = "cue_id", seq: str = "append_seq") -> DataFrame:
@@ -121,8 +155,9 @@ def latest_decision(decisions: DataFrame, *, cue: str = "cue_id", seq: str = "ap
 
 def valid_approvals(decisions: DataFrame, revisions: DataFrame, *, cue: str = "cue_id", seq: str = "append_seq", status: str = "status", bound_to: str = "revision_seq") -> DataFrame:
     """Latest decisions that approve the revision effective now; an approval of an older one has lapsed."""
-    now = effective_revision(revisions, cue=cue, seq=seq).select(cue, F.col(seq).alias(bound_to))
-    return latest_decision(decisions, cue=cue, seq=seq).where(F.col(status) == "approved").join(now, [cue, bound_to], "left_semi")
+    now = effective_revision(revisions, cue=cue, seq=seq).select(cue, F.col(seq).alias("_now"))
+    latest = latest_decision(decisions, cue=cue, seq=seq).where(F.col(status) == "approved")
+    return latest.join(now, cue).where(F.col(bound_to).between(F.col("_now"), F.col("_now"))).drop("_now")  # as an equality the number would become a join key, and both sides be dealt again
 
 
 def bind_decisions(log: DataFrame, *, cue: str = "cue_id", seq: str = "append_seq", kind: str = "kind") -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cuelake.functions import text as X
 from cuelake.operators.evidence import effective_revision
+from cuelake.operators.numbering import numbered
 
 #: Codes in their order, and what the message says of each.
 LOSSES = (
@@ -50,11 +50,11 @@ def render_srt(cues: DataFrame, *, track: str = "track_id", start: str = "start_
     return render_text(cues.withColumn("_text", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))).withColumn("_text", F.array_join("_text", "")), "_text", track=track, start=start, end=end, index=index)
 
 
-def render_text(cues: DataFrame, text: str, *, track: str, start: str, end: str, index: str) -> DataFrame:
-    """``render_srt`` of lines that are rendered already, each with its line break."""
-    number = F.row_number().over(Window.partitionBy(track).orderBy(start, end, index))
+def render_text(cues: DataFrame, text: str, *, track: str, start: str, end: str, index: str, tasks: int | None = None) -> DataFrame:
+    """``render_srt`` of lines that are rendered already, each with its line break; a track of any size is spread over tasks."""
     entry = F.concat(F.col("seq").cast("string"), F.lit("\n"), X.srt_timestamp(start), F.lit(" --> "), X.srt_timestamp(end), F.lit("\n"), F.col(text), F.lit("\n"))
-    return cues.withColumn("seq", number).select(track, index, "seq", entry.alias("entry"))
+    narrow = cues.select(*dict.fromkeys((track, index, start, end, text)))
+    return numbered(narrow, [track], [start, end, index], "seq", tasks=tasks).select(track, index, "seq", entry.alias("entry"))
 
 
 def cue_losses(blocks: Column) -> Column:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cuelake.operators.numbering import numbered
+
 #: Segment kinds, ticks a millisecond, the pixels of padding and what an open cue lasts.
 PALETTE, OBJECT, PRESENTATION, END = 0x14, 0x15, 0x16, 0x80
 TICKS, PADDING, FALLBACK_MS = 90, 16, 5000
@@ -241,9 +243,13 @@ def cue_timing(sets: DataFrame, *, path: str = "path", order: str = "set_no", pt
 
 
 def number_cues(sets: DataFrame, *, track: str = "path", order: str = "set_no") -> DataFrame:
-    """Cue numbers from 1 in stream order, image path and first statuses."""
-    index = F.row_number().over(Window.partitionBy(track).orderBy(order))
-    return sets.withColumn("cue_index", index).withColumns({"image_path": F.format_string("assets/cues/%s/%06d.png", F.col(track).cast("string"), F.col("cue_index")), "ocr_status": F.lit("pending"), "review_status": F.lit("unreviewed")})
+    """Cue numbers from 1 in stream order, image path and first statuses; a track of any size is spread over tasks."""
+    return first_columns(numbered(sets, [track], [order], "cue_index"), track)
+
+
+def first_columns(numbered_sets: DataFrame, track: str = "path") -> DataFrame:
+    """Image path and first statuses of cues that have their number."""
+    return numbered_sets.withColumns({"image_path": F.format_string("assets/cues/%s/%06d.png", F.col(track).cast("string"), F.col("cue_index")), "ocr_status": F.lit("pending"), "review_status": F.lit("unreviewed")})
 
 
 def image_digest(df: DataFrame, content: str = "image") -> DataFrame:
@@ -301,7 +307,8 @@ def available_streams(titles: DataFrame, tracks: DataFrame, *, key: tuple[str, .
 def extract_cues(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cues, failed streams) of whole streams of segments."""
     sets = render_display_sets(assemble_display_sets(segments))
-    cues = image_digest(number_cues(cue_timing(sets)))
+    in_file = F.row_number().over(Window.partitionBy("path").orderBy("set_no"))  # timing has brought a file's sets together, and images should not be written twice
+    cues = image_digest(first_columns(cue_timing(sets).withColumn("cue_index", in_file)))
     broken = sets.where("error is not null and not drawn").select("path", "error")
     good, failed = quarantine_failed_tracks(segments.select("path").distinct(), cues)
     broken = broken.groupBy("path").agg(F.min("error").alias("error"))

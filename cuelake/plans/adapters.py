@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cuelake.operators import evidence
+
 
 class Tables:
     """The tables and views of one data folder."""
@@ -32,6 +34,14 @@ class Tables:
     def revisions(self) -> DataFrame:
         return self.log().where("kind = 'revision'").select("cue_id", "append_seq", "author", "user_id", F.concat_ws(":", "author", F.col("append_seq").cast("string")).alias("document"))
 
+    def deleted_log(self) -> DataFrame:
+        """The log after revisions were deleted, others appended and some deleted again."""
+        log = self.log().select("user_id", "cue_id", "append_seq", "kind", "status", "author", F.lit(None).cast("bigint").alias("revision_seq"))
+        log = log.unionByName(evidence.delete_from_log(log, F.col("append_seq") % 7 == 0, project="user_id"), allowMissingColumns=True)
+        again = evidence.effective_revision(evidence.live_revisions(log)).where("cue_id % 3 = 0").select("user_id", "cue_id", F.lit("revision").alias("kind"))
+        log = log.unionByName(evidence.append_revisions(again, log, "human", keys=["cue_id"], project="user_id").drop("review_status"), allowMissingColumns=True)
+        return log.unionByName(evidence.delete_from_log(log, F.col("append_seq") % 5 == 0, project="user_id"), allowMissingColumns=True)
+
     def cues(self) -> DataFrame:
         c = self.read("conversations")
         return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("cue_id"), F.col("conv_id").alias("track_id"), F.col("turn").alias("cue_index"), "role", "text", (F.col("turn") * 2000).alias("start_ms"), (F.col("turn") * 2000 + 1500).alias("end_ms"))
@@ -79,6 +89,13 @@ class Tables:
         return self.cues().withColumn("blocks", F.when(F.col("cue_index") % 3 == 0, F.array(first, second)).otherwise(F.array(first)))
 
 
+def _deletions(log: str, by: int) -> str:
+    """Deletion rows for the live revisions of a log whose number ``by`` divides, where one is left to the cue."""
+    return f"""select user_id, cue_id, 'deletion' as kind, append_seq as revision_seq, m + row_number() over (partition by user_id order by cue_id, append_seq) as append_seq from
+        (select *, count(*) over (partition by cue_id) as n, count(*) filter (append_seq % {by} = 0) over (partition by cue_id) as k from {log} where kind = 'revision' and (cue_id, append_seq) not in (select (cue_id, revision_seq) from {log} where kind = 'deletion'))
+        join (select user_id, max(append_seq) as m from {log} group by 1) using (user_id) where append_seq % {by} = 0 and n > k"""
+
+
 VIEWS = {
     "v_log": """select user_id * 100 + day(ts) as cue_id, event_id as append_seq, user_id, event_type,
         case event_type when 'error' then 'attempt' when 'signup' then 'decision' else 'revision' end as kind,
@@ -89,6 +106,12 @@ VIEWS = {
     "v_effective": "select * from v_revisions qualify row_number() over (partition by cue_id order by append_seq desc) = 1",
     "v_decisions": """select * from (select *, last_value(case when kind = 'revision' then append_seq end ignore nulls) over (partition by cue_id order by append_seq
         rows between unbounded preceding and 1 preceding) as revision_seq from v_log) where kind = 'decision'""",
+    "v_log0": "select user_id, cue_id, append_seq, kind, status, author, cast(null as bigint) as revision_seq from v_log",
+    "v_log1": f"select * from v_log0 union all by name ({_deletions('v_log0', 7)})",
+    "v_log2": """select * from v_log1 union all by name (select user_id, cue_id, 'revision' as kind, 'human' as author, m + row_number() over (partition by user_id order by cue_id) as append_seq from
+        (select user_id, cue_id from v_log1 where kind = 'revision' and (cue_id, append_seq) not in (select (cue_id, revision_seq) from v_log1 where kind = 'deletion') and cue_id % 3 = 0 group by 1, 2) join (select user_id, max(append_seq) as m from v_log1 group by 1) using (user_id))""",
+    "v_log3": f"select * from v_log2 union all by name ({_deletions('v_log2', 5)})",
+    "v_live": "select * from v_log3 where kind = 'revision' and (cue_id, append_seq) not in (select (cue_id, revision_seq) from v_log3 where kind = 'deletion')",
     "v_cues": "select conv_id * 1000 + turn as cue_id, conv_id as track_id, turn as cue_index, role, text, turn * 2000 as start_ms, turn * 2000 + 1500 as end_ms from conversations",
     "v_lines": "select doc_id, lang, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no, unnest(string_split(text, chr(10))) as line from documents where text is not null",
     "v_geometry": "select l_orderkey, l_linenumber, l_partkey, l_partkey % 1900 as x, (l_suppkey * 97) % 1060 as y, cast(l_quantity as bigint) * 10 as w, cast(l_linenumber * 12 as bigint) as h, cast(1920 as bigint) as cw, cast(1080 as bigint) as ch from lineitem",
@@ -101,7 +124,7 @@ VIEWS = {
         event_type as phase, event_type as source, user_id % 10 as operation, at_ms, props as details from v_log""",
     "v_terms": "select array_to_string(string_split(text, ' ')[1:2], ' ') as term, min(item_id) as item_id from benchmark group by 1",
 }
-NEEDS = {"v_revisions": ["v_log"], "v_effective": ["v_revisions"], "v_decisions": ["v_log"], "v_placed": ["v_spans"], "v_diag": ["v_log"]}
+NEEDS = {"v_log0": ["v_log"], "v_log1": ["v_log0"], "v_log2": ["v_log1"], "v_log3": ["v_log2"], "v_live": ["v_log3"], "v_revisions": ["v_log"], "v_effective": ["v_revisions"], "v_decisions": ["v_log"], "v_placed": ["v_spans"], "v_diag": ["v_log"]}
 
 
 def sql(body: str) -> str:

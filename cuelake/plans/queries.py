@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from cuelake.functions import geometry as G
 from cuelake.functions import text as X
 from cuelake.operators import diagnostics, editing, evidence, export, ingest, jobs, layout, recognition, search, survey, translation
 from cuelake.plans.adapters import Tables, sql
-from cuelake.sources import readers
+from cuelake.sources import readers, store
+from cuelake.sources.shared import own_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -887,6 +889,69 @@ def approved_revisions(t: Tables) -> DataFrame:
     return rows.select("cue_id", "author", F.when(F.col("ok"), "approved").otherwise("open").alias("state"), "append_seq")
 
 
+# the log after deletions
+
+
+@query("select user_id, cue_id, append_seq, revision_seq from v_log3 where kind = 'deletion'")
+def deletion_rows(t: Tables) -> DataFrame:
+    return t.deleted_log().where("kind = 'deletion'").select("user_id", "cue_id", "append_seq", "revision_seq")
+
+
+@query("select cue_id, append_seq, author from v_live qualify row_number() over (partition by cue_id order by append_seq desc) = 1")
+def live_effective(t: Tables) -> DataFrame:
+    return evidence.effective_revision(evidence.live_revisions(t.deleted_log())).select("cue_id", "append_seq", "author")
+
+
+@query("""select cue_id, count(*) as revisions, max(append_seq) filter (author = 'ocr') as recognised, max(append_seq) filter (author <> 'translation') as source from v_live group by 1""")
+def live_sources(t: Tables) -> DataFrame:
+    """How many revisions are left of each cue, its newest recognition and what a translation would start from."""
+    live = evidence.live_revisions(t.deleted_log())
+    recognised = evidence.latest_recognition(live).select("cue_id", F.col("append_seq").alias("recognised"))
+    source = evidence.translation_source(live).select("cue_id", F.col("append_seq").alias("source"))
+    return evidence.revision_counts(live).join(recognised, "cue_id", "left").join(source, "cue_id", "left")
+
+
+@query("select cue_id, replaces, restores from (select cue_id, append_seq as replaces, lag(append_seq) over w as restores, row_number() over (partition by cue_id order by append_seq desc) as r from v_live window w as (partition by cue_id order by append_seq)) where r = 1 and restores is not null")
+def live_undo(t: Tables) -> DataFrame:
+    return evidence.undo_target(evidence.live_revisions(t.deleted_log()))
+
+
+@query("""select cue_id, case when count(*) filter (kind = 'attempt') > 0 then 'failed' else 'pending' end as ocr_status,
+    coalesce(arg_max(case kind when 'decision' then status else 'unreviewed' end, append_seq) filter (kind in ('decision', 'revision', 'deletion')), 'unreviewed') as review_status from v_log3 group by 1""")
+def live_state(t: Tables) -> DataFrame:
+    return evidence.cue_state(t.deleted_log())
+
+
+@query("""select d.cue_id, d.append_seq, d.revision_seq from (select * from v_decisions qualify row_number() over (partition by cue_id order by append_seq desc) = 1) d
+    join (select * from v_live qualify row_number() over (partition by cue_id order by append_seq desc) = 1) e on e.cue_id = d.cue_id and e.append_seq = d.revision_seq where d.status = 'approved'""")
+def live_approvals(t: Tables) -> DataFrame:
+    """Approvals that name what is effective once deletions count."""
+    return evidence.valid_approvals(evidence.bind_decisions(t.log()), evidence.live_revisions(t.deleted_log())).select("cue_id", "append_seq", "revision_seq")
+
+
+@query("""select r.cue_id, r.author, case when a.cue_id is not null then 'approved' else 'open' end as state, r.append_seq from v_effective r left join (select d.cue_id from (select * from v_decisions qualify row_number() over (partition by cue_id order by append_seq desc) = 1) d
+    join v_effective e on e.cue_id = d.cue_id and e.append_seq = d.revision_seq where d.status = 'approved') a using (cue_id) where r.cue_id // 100 % 4 = 1""")
+def approved_in_store(t: Tables) -> DataFrame:
+    """``approved_revisions`` of one project from a bucketed store that the log was appended to in two parts."""
+    table = stored_log(t)
+    return store_approvals(store.read_bucketed(t.spark, table).where("project_id = 1"))
+
+
+def stored_log(t: Tables) -> str:
+    table = f"cue_log_{uuid.uuid4().hex}"
+    log, folder = t.log().select("cue_id", "append_seq", "kind", "status", "author", F.expr("cue_id div 100 % 4").alias("project_id")), own_folder(t.spark, "store")
+    for part in (log.where("append_seq % 2 = 0"), log.where("append_seq % 2 = 1")):
+        store.append_bucketed(part, table, buckets=8, path=folder)
+    return table
+
+
+def store_approvals(log: DataFrame) -> DataFrame:
+    revisions = log.where("kind = 'revision'")
+    approved = evidence.valid_approvals(evidence.bind_decisions(log), revisions).select("cue_id", F.lit(True).alias("ok"))
+    rows = evidence.effective_revision(revisions).join(approved, "cue_id", "left")
+    return rows.select("cue_id", "author", F.when(F.col("ok"), "approved").otherwise("open").alias("state"), "append_seq")
+
+
 # diagnostics and search
 
 
