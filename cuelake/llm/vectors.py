@@ -151,8 +151,8 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "e
     ``least_cosine`` or more. n_links counts the other rows linked directly, component_id is the
     smallest id reachable, kept tells whether the row has that id. Vectors that are null, zero or
     hold null or non-finite components link with nothing and are their own component. A row with a
-    null id has no links, a null component and is not kept; repeated rows link with each other. An
-    empty table gives an empty result; other columns are ignored.
+    null id has no links, a null component and is not kept; repeated rows link with each other, and
+    rows of one id with unlike vectors have the links of their own vector each. An empty table gives an empty result; other columns are ignored.
     """
     with Scratch(vectors.sparkSession, "vectors") as scratch:
         return scratch.keep(_near(vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")), least_cosine, block_rows, scratch))
@@ -171,7 +171,7 @@ def _near(vectors: DataFrame, least_cosine: float, block_rows: int, scratch: Scr
 
     rows = scratch.save(vectors.mapInArrow(classify, "id long, class_key binary, unit binary"), "rows")
     usable = rows.where("id is not null and class_key is not null")
-    classes = scratch.save(usable.groupBy("class_key").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.min("unit").alias("unit")), "classes")
+    classes = scratch.save(usable.groupBy("class_key").agg(F.min("id").alias("least"), F.count("*").alias("members"), F.min("unit").alias("unit")).withColumn("rep", F.monotonically_increasing_id()), "classes")  # known by a number: ids may repeat with unlike vectors
     figures = classes.agg(F.count("*").alias("n"), F.max(F.octet_length("unit")).alias("width")).first()
     tables, hashes, last, probes = plan(figures.n, (figures.width or 8) // 8)
 
@@ -262,7 +262,8 @@ def _near(vectors: DataFrame, least_cosine: float, block_rows: int, scratch: Scr
     joined = classes.select("rep", "members", "unit").join(parts, F.col("rep") == F.col("node")).drop("node")
     counts = in_blocks(joined, "component", "rep", held, block_rows).mapInArrow(count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
     classes = classes.drop("unit").join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    classes = classes.select("class_key", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    named = scratch.save(classes.where("component is not null").groupBy("component").agg(F.min("least").alias("named")), "named")
+    classes = classes.join(named, "component", "left").select("class_key", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("links"), F.coalesce("named", "least").alias("component"))
     out = rows.select("id", F.when(F.col("id").isNotNull(), F.col("class_key")).alias("class_key")).join(classes, "class_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
