@@ -8,7 +8,7 @@ trigram, such as a run of hexadecimal digits, scans every document.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -73,16 +73,51 @@ def candidates(postings: DataFrame, queries: Sequence[Query]) -> DataFrame:
     return held.where(sum((F.bit_count(f"held{w}") for w in range(words)), F.lit(0)) == F.col("size")).select("key").distinct()
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def in_slices(values: Column) -> Column:
+    """An array cut into slices, as many as each is long."""
+
+    def cut(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+        return _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / w).cast("int") - 1), lambda i: F.slice(v, i * w + 1, w)))
+
+    return _let(values, cut)
+
+
+def before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element of a non-empty array of numbers, 0 and all earlier elements joined.
+
+    A fold that appends to an array copies it at every step. So it runs over slices, and once over
+    what each slice comes to: n times the root of n instead of n squared.
+    """
+    zero, none = F.lit(0), F.array().cast("array<int>")
+
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, F.struct(zero.alias("now"), none.alias("out")), lambda a, x: F.struct(join(a.now, x).alias("now"), F.concat(a.out, F.array(a.now)).alias("out"))).out
+
+    def whole(slices: Column) -> Column:
+        starts = fold(F.transform(slices, lambda part: F.aggregate(part, zero, join)))
+        return F.flatten(F.zip_with(slices, starts, lambda part, start: F.transform(fold(part), lambda x: join(start, x))))
+
+    return _let(in_slices(values), whole)
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """array(struct(start, end)) of a rule's leftmost non-overlapping matches that are long enough, in code points."""
-    matches = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    wanted = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)) if rule.group else matches
-    gaps = F.split(text, rule.regex, -1)
-    lengths = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"))), wanted, lambda x, w: F.struct(x.gap.alias("gap"), x.size.alias("size"), F.length(w).alias("held")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
-    keep = lambda a, x: F.when(x.held >= rule.least, F.concat(a.found, F.array(F.struct((a["at"] + x.gap).alias("start"), (a["at"] + x.gap + x["size"]).alias("end"))))).otherwise(a.found)
-    folded = F.aggregate(lengths, start, lambda a, x: F.struct((a["at"] + x.gap + x["size"]).alias("at"), keep(a, x).alias("found")))
-    return folded.found
+
+    def placed(matches: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, rule.regex, -1), 1, F.size(matches)), F.length)
+        sizes = F.transform(matches, F.length)
+        held = F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)), F.length) if rule.group else sizes
+        rows = F.arrays_zip(before(F.zip_with(gaps, sizes, lambda g, m: g + m), lambda a, b: a + b).alias("before"), gaps.alias("gap"), sizes.alias("size"), held.alias("held"))
+        return F.transform(F.filter(rows, lambda r: r.held >= rule.least), lambda r: F.struct((r.before + r.gap).alias("start"), (r.before + r.gap + r["size"]).alias("end")))
+
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return _let(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), lambda matches: F.when(F.size(matches) > 0, placed(matches)).otherwise(none))
 
 
 def long_runs(text: Column, one: str, least: int) -> Column:
@@ -133,13 +168,21 @@ def joined_spans(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each secret replaced by ``[kind]``; of overlapping spans the first by start covers what it covers, later ones the rest."""
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+    """The text with each secret replaced by ``[kind]``; of overlapping spans the first by start covers what it covers, later ones the rest.
+
+    Finding a place in a text takes as long as the text up to there, so gaps are cut out of slices
+    of the text.
+    """
+
+    def piece(part: Column, base: Column, s: Column) -> Column:
+        gap = F.when(s.start > s["at"], F.substring(part, s["at"] - base + 1, s.start - s["at"])).otherwise(F.lit(""))
+        return F.concat(gap, F.when(s.end > s["at"], F.concat(F.lit("["), s.kind, F.lit("]"))).otherwise(F.lit("")))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.when(s.start > a["at"], F.substring(text, a["at"] + 1, s.start - a["at"])).otherwise(F.lit(""))
-        mark = F.when(s.end > a["at"], F.concat(F.lit("["), s.kind, F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(a["at"], s.end).alias("at"), F.concat(a.done, gap, mark).alias("done"))
+    def cut(some: Column) -> Column:
+        base = F.get(some, 0)["at"]
+        return _let(F.substring(text, base + 1, F.greatest(F.element_at(some, -1).start - base, F.lit(0))), lambda part: F.array_join(F.transform(some, lambda s: piece(part, base, s)), ""))
 
-    folded = F.aggregate(spans, first, step)
-    return F.when(F.size(spans) > 0, F.concat(folded.done, F.substring(text, folded["at"] + 1, F.length(text)))).otherwise(text)
+    covered = before(F.transform(spans, lambda s: s.end), lambda a, b: F.greatest(a, b))
+    rows = F.zip_with(spans, covered, lambda s, at: F.struct(at.alias("at"), s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))
+    done = _let(rows, lambda r: F.array_join(F.transform(in_slices(r), cut), ""))
+    return F.when(F.size(spans) > 0, F.concat(done, F.substring(text, F.array_max(F.transform(spans, lambda s: s.end)) + 1, F.length(text)))).otherwise(text)
