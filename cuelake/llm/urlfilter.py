@@ -103,12 +103,6 @@ def alias_targets(html: Column) -> Column:
     return F.when(html.rlike("(?i)canonical|refresh"), found)
 
 
-def base_of(html: Column, url: Column) -> Column:
-    """What relative targets of a page start from: its first ``base`` with an address, else its url."""
-    named = F.filter(F.transform(_tags(html, "base"), lambda t: _attribute(t, "href")), lambda u: u != "")
-    return F.when(html.rlike("(?i)<base"), F.coalesce(resolved(F.get(named, 0), url), url)).otherwise(url)
-
-
 def resolved(target: Column, url: Column) -> Column:
     """A target as an absolute url without dot segments, relative ones from ``url``; null for schemes without ``://``, and for relative ones if ``url`` has none."""
     scheme = "^[A-Za-z][A-Za-z0-9+.-]*:"
@@ -140,17 +134,35 @@ def judge_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     """
     with Scratch(pages.sparkSession, "urls") as scratch:
         own = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-        linked = own.select("url", base_of(F.col("html"), F.col("url")).alias("base"), F.explode(F.array_distinct(alias_targets(F.col("html")))).alias("target")).select("url", resolved(F.col("target"), F.col("base")).alias("target"))
+        linked = _links(own, scratch)
         if redirects is not None:
             linked = linked.unionByName(redirects.select(F.col("source_url").alias("url"), F.col("target_url").alias("target")))
         ends = scratch.save(linked.where("target is not null").select(page_key(F.col("url")).alias("a"), page_key(F.col("target")).alias("b"), "url", "target").distinct(), "links")
+        judged = own.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), page_key(F.col("url")).alias("key"))
+        judged = judged.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
+        if ends.isEmpty():
+            return scratch.keep(_verdicts(judged.withColumn("aliased", F.lit(False))))
         known = ends.select(F.col("a").alias("node"), F.col("url")).unionByName(ends.select(F.col("b").alias("node"), F.col("target").alias("url")))
         blocked = known.where(rule_of(host_of(F.col("url")), path_of(F.col("url")), rules).getField("verdict") == "block").select("node").distinct()
         members = connected_components(ends, scratch)
         bad = scratch.save(members.join(blocked, "node").select("component").distinct(), "bad")  # a table, so that Spark can split a large component
         tainted = members.join(bad, "component").select(F.col("node").alias("key"), F.lit(True).alias("aliased"))
-        judged = own.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), page_key(F.col("url")).alias("key"))
-        judged = judged.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).join(tainted, "key", "left")
-        aliased = F.col("found").isNull() & F.coalesce("aliased", F.lit(False))
-        verdict = F.coalesce(F.col("found.verdict"), F.when(aliased, "block").otherwise("allow"))
-        return scratch.keep(judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), aliased.alias("aliased")))
+        return scratch.keep(_verdicts(judged.join(tainted, "key", "left")))
+
+
+def _links(own: DataFrame, scratch: Scratch) -> DataFrame:
+    """(url, target): where pages lead, as absolute urls.
+
+    What is named is taken out of the pages first and written; addresses are then resolved step by
+    step on these few short rows, as one expression of it all would be very long.
+    """
+    base = F.when(F.col("html").rlike("(?i)<base"), F.get(F.filter(F.transform(_tags(F.col("html"), "base"), lambda t: _attribute(t, "href")), lambda u: u != ""), 0))
+    named = scratch.save(own.where(F.col("html").rlike("(?i)canonical|refresh")).select("url", base.alias("base"), F.explode(F.array_distinct(alias_targets(F.col("html")))).alias("target")), "named")
+    based = scratch.save(named.select("url", "target", F.when(F.col("base").isNull(), F.col("url")).otherwise(F.coalesce(resolved(F.col("base"), F.col("url")), "url")).alias("base")), "based")
+    return scratch.save(based.select("url", resolved(F.col("target"), F.col("base")).alias("target")), "targets")
+
+
+def _verdicts(judged: DataFrame) -> DataFrame:
+    aliased = F.col("found").isNull() & F.coalesce("aliased", F.lit(False))
+    verdict = F.coalesce(F.col("found.verdict"), F.when(aliased, "block").otherwise("allow"))
+    return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), aliased.alias("aliased"))
