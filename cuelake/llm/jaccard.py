@@ -114,6 +114,14 @@ def subset_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def id_type(docs: DataFrame, doc_id: str) -> str:
+    return "binary" if dict(docs.dtypes)[doc_id] == "binary" else "long"
+
+
+def identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast(id_type(docs, doc_id)).alias("id"), F.col(text).cast("string").alias("text"))
+
+
 def sized(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """(id, n, digest, s): the size and the digest of each row's set, and the digest's first half."""
 
@@ -123,7 +131,7 @@ def sized(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
                 keys = digests(h, o)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(o), pa.int64()), pa.array(keys, pa.binary()), pa.array(first_half(keys))], ["id", "n", "digest", "s"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, n long, digest binary, s long")
+    return identified(docs, doc_id, text).mapInArrow(run, f"id {id_type(docs, doc_id)}, n long, digest binary, s long")
 
 
 def postings(docs: DataFrame, text: str, words: int, num: int, den: int, x: int) -> DataFrame:
@@ -171,7 +179,7 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
                 elements = pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digests(h, o), pa.binary()), elements, pa.array([b.tobytes() for b in bits], pa.binary())], ["id", "digest", "elements", "bits"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, digest binary, elements array<long>, bits binary")
+    return identified(docs, doc_id, text).mapInArrow(run, f"id {id_type(docs, doc_id)}, digest binary, elements array<long>, bits binary")
 
 
 def _may_link(num: int, den: int):
@@ -224,6 +232,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     the smallest id reachable. Null and empty texts have an empty set and link with nothing.
     Rows with the same id are versions of one document, and no link by themselves. A row with a
     null id links as a copy only: it takes the component of an equal set that has an id, else null.
+    Ids are numbers, or binary (digests).
     Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
