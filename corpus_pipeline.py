@@ -32,13 +32,13 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component at five-word shingles and a similarity of 0.8: that with the smallest id.
 
-    Every row is compared under a 64-bit hash of its id and text: rows of one id with unlike texts
+    Every row is compared under a 128-bit digest of its id and text: rows of one id with unlike texts
     are documents each, and rows without an id are compared like others (they come after those
     with one). Of equal ids in a component the text with the smallest digest stays, and of equal
     rows one. Rows without a word are copies only if id and text are equal. Rows that a bitmap of
     hashes shows to be alone in their component stay where they are; only the others are shuffled.
     """
-    key = F.xxhash64("doc_id", "text")
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("text").isNull(), ":").otherwise(F.concat(F.lit(":="), "text")))))
     with Scratch(spark, "near") as scratch:
         found = jaccard.jaccard_components(docs.select(key.alias("row_key"), "text"), doc_id="row_key", words=5, num=4, den=5)
         found = found.groupBy(F.col("doc_id").alias("row_key")).agg(F.max("n_shingles").alias("size"), F.min("component_id").alias("component"))
@@ -48,7 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest", "row_key")).getField("row_key").alias("stays")
         groups = scratch.save(each.groupBy("group").agg(first, F.sum("copies").alias("members")).where("members > 1").select("group", "stays"), "groups")
         shared = scratch.save(each.join(groups, "group").select("row_key", (F.col("row_key") == F.col("stays")).alias("stays")), "shared")
-        rows = bitmap.flagged(docs.select(packed(docs), key.alias("row_key")), shared, F.col("row_key"), bitmap.buckets_for(shared.count()), "together")
+        rows = bitmap.flagged(docs.select(packed(docs), key.alias("row_key")), shared, F.xxhash64("row_key"), bitmap.buckets_for(shared.count()), "together")
         one = rows.where("together").join(shared, "row_key", "left").where("coalesce(stays, true)").groupBy("row_key").agg(F.first("row").alias("row"))
         return scratch.keep(rows.where("not together").select("row.*").unionByName(one.select("row.*")))
 
