@@ -204,6 +204,18 @@ def usage_by_stage(df: DataFrame, keys: tuple[str, ...] = ("stage", "provider",
     return rows.withColumn("cache_milli", F.floor(F.col("cache_read_tokens") * 1000 / F.nullif(F.col("input_tokens"), F.lit(0))).cast("bigint"))
 
 
+def usage_rollup(df: DataFrame, keys: tuple[str, ...] = ("stage", "provider", "model")) -> DataFrame:
+    """``usage_by_stage`` with its subtotals, in one aggregation: for each key from the last on, and for all.
+
+    ``level`` tells how many of the keys a row has; the others are null, as a key's own null is not
+    (that has its level). Sums and shares are of all requests of a row.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    level = F.lit(len(keys)) - F.bit_count(F.grouping_id())
+    rows = df.rollup(*keys).agg(level.cast("int").alias("level"), F.count("*").alias("requests"), total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens"), total("cache_read_input_tokens").alias("cache_read_tokens"))
+    return rows.withColumn("cache_milli", F.floor(F.col("cache_read_tokens") * 1000 / F.nullif(F.col("input_tokens"), F.lit(0))).cast("bigint"))
+
+
 def score_batch(requests: DataFrame, backend: Callable[[pd.DataFrame], pd.Series], *, columns: tuple[str, ...] = ("request_id",), prompt: tuple[str, ...] = ("stable", "variable")) -> DataFrame:
     """(columns, response): each request's raw answer. ``backend`` gets batches of requests, sorted so that equal prefixes follow each other."""
     rows = requests.select(*columns, *prompt)

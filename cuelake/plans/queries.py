@@ -432,8 +432,15 @@ def survey_notable(t: Tables) -> DataFrame:
     return found.select("cue_id", F.size("blocks").cast("bigint").alias("blocks"), F.size("doubts").cast("bigint").alias("doubts"), F.array_min(F.transform("blocks", lambda b: b.x)).alias("first_x"))
 
 
-@query("select threshold, count(*) as rows, count(*) filter (l_quantity > threshold) as above from lineitem, (select unnest([1.5, 2.0, 10.0, 40.0])::double as threshold) group by 1")
+@query("""select m::double as max_gap, (select count(distinct user_id) from v_positions) as cues, sum(n)::bigint as bands, count(*) filter (n = 1) as single, count(*) filter (n > 4) as capped from
+    (select m, user_id, 1 + count(*) filter (gap > m) as n from (select user_id, pos - lag(pos) over (partition by user_id order by pos) - 1 as gap from v_positions), (select unnest(range(0, 40000, 97)) as m) group by 1, 2) group by 1""")
 def survey_sweep(t: Tables) -> DataFrame:
+    """Four hundred thresholds in one pass."""
+    return survey.survey_sweep(t.positions(), t.spark.range(0, 40_000, 97).withColumnRenamed("id", "max_gap"), by="user_id", position="pos", most_bands=4)
+
+
+@query("select threshold, count(*) as rows, count(*) filter (l_quantity > threshold) as above from lineitem, (select unnest([1.5, 2.0, 10.0, 40.0])::double as threshold) group by 1")
+def threshold_sweep(t: Tables) -> DataFrame:
     return survey.threshold_sweep(t.read("lineitem"), [1.5, 2.0, 10.0, 40.0], F.col("l_quantity"))
 
 
@@ -627,6 +634,14 @@ def usage_by_stage(t: Tables) -> DataFrame:
     return recognition.usage_by_stage(recognition.usage_summary(_usage(t)).withColumnRenamed("event_type", "stage"), ("stage",))
 
 
+@query("""select stage, provider, model, (3 - bit_count(grouping(stage, provider, model)))::int as level, count(*) as requests, coalesce(sum(k) filter (append_seq % 2 = 0), 0)::bigint as input_tokens, coalesce(sum(k) filter (append_seq % 2 = 1), 0)::bigint as output_tokens,
+    coalesce(sum(k) filter (append_seq % 3 = 0), 0)::bigint as cache_read_tokens, (coalesce(sum(k) filter (append_seq % 3 = 0), 0) * 1000 // nullif(coalesce(sum(k) filter (append_seq % 2 = 0), 0), 0))::bigint as cache_milli
+    from (select *, event_type as stage, case when user_id % 5 > 0 then user_id % 3 end as provider, cue_id % 7 as model, cast(json_extract_string(props, '$.k') as bigint) as k from v_log) group by rollup(stage, provider, model)""")
+def usage_rollup(t: Tables) -> DataFrame:
+    rows = recognition.usage_summary(_usage(t)).withColumns({"stage": F.col("event_type"), "provider": F.when(F.col("user_id") % 5 > 0, F.col("user_id") % 3), "model": F.col("cue_id") % 7})
+    return recognition.usage_rollup(rows)
+
+
 @query("select cue_id, case when role = 'system' then 'failed' when cue_index % 2 = 0 then 'succeeded_with_warning' else 'succeeded' end as status, case when role <> 'system' then text end as candidate from v_cues")
 def append_attempts(t: Tables) -> DataFrame:
     results = t.cues().select("cue_id", F.lit("r").alias("run_id"), (F.col("cue_index") % 2 == 0).alias("needs_review"), F.when(F.col("role") == "system", "timeout").alias("error"), F.col("text").alias("document"), "start_ms", "end_ms")

@@ -1,14 +1,12 @@
-"""Structured Streaming over evidence feeds: cues, progress, log tails, effective revisions and stale jobs."""
+"""Structured Streaming over evidence feeds: cues, progress, log tails and effective revisions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuelake.operators.diagnostics import redact_details
 from cuelake.operators.ingest import extract_cues
@@ -34,6 +32,7 @@ def stream_progress(events: DataFrame, *, job: str = "job_id", seq: str = "appen
     """Latest phase and count of each job, in event order; for update or complete mode.
 
     The state has a row a job for ever, as an event may still come: as many rows as there are jobs.
+    ``jobs.stream_job_progress`` counts cues too and can let go of idle jobs.
     """
     last = events.groupBy(job).agg(F.max_by(F.struct("phase", "current"), seq).alias("last"))
     return last.select(job, "last.phase", "last.current")
@@ -52,34 +51,7 @@ def stream_effective(revisions: DataFrame, *, cue: str = "cue_id", seq: str = "a
     """The effective revision of each cue, kept up to date; for update or complete mode.
 
     The state has a row a cue for ever (its newest number and ``columns``), as any cue may be revised
-    again; keep ``columns`` narrow and join documents afterwards.
+    again; keep ``columns`` narrow and join documents afterwards. ``keyed.follow`` keeps whole rows in a
+    table instead, without state.
     """
     return revisions.groupBy(cue).agg(F.max_by(F.struct(seq, *columns), seq).alias("r")).select(cue, "r.*")
-
-
-def stream_stale_jobs(events: DataFrame, timeout_seconds: int, *, job: str = "job_id", at: str = "at", delay: str = "0 seconds") -> DataFrame:
-    """(job_id, status, last_at): a running job without an event for ``timeout_seconds`` of event time is interrupted.
-
-    Events have (job, status, at). State is one row a job: its last time and status; it goes when
-    the job ends or is reported.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last, _ = state.get
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "status": ["interrupted"], "last_at": [pd.Timestamp(last, unit="ms")]})
-            return
-        last, status = state.get if state.exists else (0, "")
-        for b in batches:
-            for when, s in zip(b["at"].astype("datetime64[ms]").astype("int64"), b["status"], strict=True):
-                if when >= last:
-                    last, status = int(when), s
-        if status in ("completed", "failed", "canceled"):
-            state.remove()
-            return
-        state.update((last, status))
-        state.setTimeoutTimestamp(max(last + timeout_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-
-    rows = events.select(F.col(job).cast("string").alias("job_id"), "status", F.col(at).cast("timestamp").alias("at")).withWatermark("at", delay)
-    return rows.groupBy("job_id").applyInPandasWithState(step, "job_id string, status string, last_at timestamp", "last long, status string", "append", GroupStateTimeout.EventTimeTimeout)

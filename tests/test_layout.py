@@ -109,7 +109,7 @@ def test_jobs_over_images(spark):
     masks = L.foreground_masks(images)
     found = {r.cue_id: r for r in L.analyze_layout(masks).collect()}
     assert found["a"].blocks[0].expected_glyphs == [6] and found["a"].error is None and found["b"].error and found["c"].error
-    flags = survey.survey_sweep(masks, [{}, {"maximum_blocks": 1}]).orderBy("candidate").collect()
+    flags = survey.layout_sweep(masks, [{}, {"maximum_blocks": 1}]).orderBy("candidate").collect()
     assert [(r.cues, r.failed) for r in flags] == [(3, 2), (3, 2)]
     crops = L.crop_blocks(images, L.analyze_layout(masks)).collect()
     assert len(crops) == 1 and L.read_png(bytes(crops[0].image)).shape[1] < 400

@@ -39,15 +39,6 @@ def test_log_tail_and_session_files(spark, tmp_path):
     assert [(r.session_id, r.details) for r in batch] == [("abc", '{"password":"[REDACTED]"}')] == [(r.session_id, r.details) for r in live]
 
 
-def test_stale_jobs(spark, tmp_path):
-    (tmp_path / "e").mkdir()
-    rows = [("a", "running", 0), ("b", "running", 0), ("b", "completed", 5), ("c", "running", 900)]
-    (tmp_path / "e/1.json").write_text("\n".join(json.dumps({"job_id": j, "status": s, "at": f"2024-01-01T00:{t // 60:02d}:{t % 60:02d}Z"}) for j, s, t in rows))
-    events = spark.readStream.schema("job_id string, status string, at timestamp").json(str(tmp_path / "e"))
-    found = drain(feeds.stream_stale_jobs(events, 60), "stale", "append").collect()
-    assert [(r.job_id, r.status) for r in found] == [("a", "interrupted")]
-
-
 def test_cues_from_arriving_files(spark, tmp_path):
     from test_ingest import ONE
 
