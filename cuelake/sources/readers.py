@@ -107,14 +107,14 @@ def parse_title_listings(listings: DataFrame, *, file: str = "path", text: str =
 SESSION_FILE = r"^session-(.+)-\d+\.jsonl$"
 
 
-def read_diagnostics(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
-    """Entries of ``session-<id>-NNN.jsonl`` files; blank and broken lines are left out, the session id comes from the file name.
+def read_diagnostics(spark: SparkSession, folder: str, stream: bool = False, *, pattern: str = "session-*.jsonl") -> DataFrame:
+    """Entries of ``session-<id>-NNN.jsonl`` files; blank and broken lines are left out, the session id comes from the file name, of other names from the entry.
 
     As a stream it follows segments that grow: an entry comes once, when its line is whole.
     """
     if stream:
         spark.dataSource.register(GrowingLines)
-        lines = spark.readStream.format("growing_lines").option("pattern", "session-*.jsonl").load(folder)
+        lines = spark.readStream.format("growing_lines").option("pattern", pattern).load(folder)
         options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
         rows = lines.where(F.trim("value") != "").select("file", F.from_json("value", DIAGNOSTICS + ", _corrupt_record string", options).alias("entry")).select("file", "entry.*")
     else:

@@ -42,9 +42,9 @@ def read_progress(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(PROGRESS).json(folder)
 
 
-def stream_log_tail(spark: SparkSession, folder: str, secrets: tuple[str, ...] = ()) -> DataFrame:
+def stream_log_tail(spark: SparkSession, folder: str, secrets: tuple[str, ...] = (), *, pattern: str = "session-*.jsonl") -> DataFrame:
     """Diagnostics entries of a folder of growing segments as they are written, redacted; for append mode."""
-    return redact_details(read_diagnostics(spark, folder, stream=True), secrets=secrets)
+    return redact_details(read_diagnostics(spark, folder, stream=True, pattern=pattern), secrets=secrets)
 
 
 def stream_effective(revisions: DataFrame, *, cue: str = "cue_id", seq: str = "append_seq", columns: tuple[str, ...] = ("author",)) -> DataFrame:

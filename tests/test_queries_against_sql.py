@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from cuelake.plans import files  # noqa: F401
 from cuelake.plans import queries as plans
 
 
