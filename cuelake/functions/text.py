@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,6 +28,11 @@ STYLES = ("bold", "italic", "underline", "strikethrough", "superscript", "subscr
 SECRET_KEYS = ("api_key", "apikey", "authorization", "x_api_key", "access_token", "refresh_token", "password", "cookie", "set_cookie")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -84,16 +84,23 @@ def coalesce_spans(spans: DataFrame, *, line: str | Sequence[str] = "line", orde
     change flag and its running sum.
     """
     keys = [line] if isinstance(line, str) else list(line)
-    rows = _span_rows(spans).withColumns({"styles": X.canonical_styles(F.col("styles")), "color": X.canonical_colour("color")})
+    rows = _span_rows(spans).withColumns({"styles": X.canonical_styles(F.col("styles")), "color": X.canonical_colour("color"), "_part": F.lit(None).cast("int")})
+    return _runs(rows, keys, order)
+
+
+def _runs(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Canonical spans of rows with canonical looks; ruby rows of one ``_part`` are pieces of one span, a null part is a span of its own."""
     rows = rows.where((F.col("type") == "ruby") | (F.length("text") > 0))
     w = Window.partitionBy(*keys).orderBy(order)
     look = F.struct(F.col("type"), F.concat_ws(",", "styles").alias("styles"), F.coalesce("color", F.lit("")).alias("color"))
-    starts = (F.col("type") == "ruby") | ~look.eqNullSafe(F.lag(look).over(w))
+    other = (F.col("type") == "ruby") & ~F.coalesce(F.col("_part") == F.lag("_part").over(w), F.lit(False))
+    starts = other | ((F.col("type") == "text") & ~look.eqNullSafe(F.lag(look).over(w)))
     rows = rows.withColumn("_starts", starts.cast("int")).withColumn("_run", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     first = lambda c: F.min_by(c, order).alias(c)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce("text", F.lit("")).alias("t")))), lambda s: s.t), "")
-    runs = rows.groupBy(*keys, "_run").agg(first("type"), joined.alias("text"), first("base"), first("annotations"), first("styles"), first("color"))
-    return runs.select(*keys, F.col("_run").cast("bigint").alias("ord"), "type", F.when(F.col("type") == "text", F.col("text")).alias("text"), "base", "annotations", "styles", "color")
+    joined = lambda c, to: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(c, F.lit("")).alias("t")))), lambda s: s.t), "").alias(to)
+    runs = rows.groupBy(*keys, "_run").agg(first("type"), joined("text", "text"), joined("base", "base"), first("annotations"), first("styles"), first("color"))
+    ruby = F.col("type") == "ruby"
+    return runs.select(*keys, F.col("_run").cast("bigint").alias("ord"), "type", F.when(~ruby, F.col("text")).alias("text"), F.when(ruby, F.col("base")).alias("base"), "annotations", "styles", "color")
 
 
 def line_texts(spans: DataFrame, *, line: str = "line", order: str = "ord") -> DataFrame:
@@ -127,57 +134,123 @@ def _hits(spans: DataFrame, selections: DataFrame, *, line: str, order: str) ->
     return placed.join(selections, line).where("sel_start < end and sel_end > start")
 
 
-def _pieces(spans: DataFrame, edits: DataFrame, *, line: str, order: str) -> DataFrame:
-    """Spans of all lines, text spans cut at the border of their line's edit; ``inside`` marks what the edit covers."""
-    placed = with_offsets(spans, line=line, order=order).join(edits, line, "left")
-    some = F.col("sel_start").isNotNull() & (F.col("sel_start") < F.col("sel_end")) & (F.col("sel_start") < F.col("end")) & (F.col("sel_end") > F.col("start"))
-    clip = lambda c: F.least(F.greatest(F.col(c), F.col("start")), F.col("end"))
-    cuts = F.when(some & (F.col("type") == "text"), F.array_sort(F.array_distinct(F.array("start", clip("sel_start"), clip("sel_end"), "end")))).otherwise(F.array_distinct(F.array("start", "end")))
-    ranges = F.when(F.size(cuts) > 1, F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda a, i: F.struct(a.alias("from"), F.get(cuts, (i + 1).cast("int")).alias("to")))).otherwise(F.array(F.struct(F.col("start").alias("from"), F.col("end").alias("to"))))
-    rows = placed.withColumns({"some": some, "_piece": F.explode(ranges)})
-    inside = F.col("some") & ((F.col("type") == "ruby") | ((F.col("_piece.from") >= F.col("sel_start")) & (F.col("_piece.to") <= F.col("sel_end"))))
-    part = F.when(F.col("type") == "text", F.substring("text", (F.col("_piece.from") - F.col("start") + 1).cast("int"), (F.col("_piece.to") - F.col("_piece.from")).cast("int"))).otherwise(F.col("text"))
-    return rows.withColumns({"inside": F.coalesce(inside, F.lit(False)), "text": part, "_order": F.struct(F.col(order).alias("a"), F.col("_piece.from").alias("b"))})
+#: Columns of an edit; ``kind`` is style, color, annotate or remove, and says which of the last four count.
+EDIT = {"end_line": None, "sel_start": "bigint", "sel_end": "bigint", "kind": "string", "style": "string", "color_value": "string", "annotation": "string", "position": "string"}
+
+
+def edit_lines(spans: DataFrame, edits: DataFrame, *, line: str = "line", order: str = "ord", nth: str | None = "nth") -> tuple[DataFrame, DataFrame]:
+    """(canonical spans of all lines after the edits, refused edits with a reason); any number of edits a line, in the order of ``nth``.
+
+    Edits don't change what a line says, so offsets hold throughout. Each line's spans are cut once
+    at every border of a span or an edit, and the edits are folded over the pieces:
+
+    * style: taken from the pieces if all that are hit have it, else given to them; superscript and
+      subscript exclude each other
+    * color: ``color_value`` for the pieces, null for none
+    * annotate: one ruby span with the styles that all hit pieces share and their colour if they
+      have one. Refused if it goes over several lines, is empty, names no line, or cuts a ruby span
+    * remove: a ruby span of just that range becomes text
+
+    A ruby span that is hit in part is restyled whole. A range that hits nothing changes nothing;
+    empty text spans go first. Spans and edits of a line meet in one row: a line is one of a subtitle.
+    """
+    place = F.col(nth) if nth else F.lit(1)
+    given = edits.select(line, place.cast("bigint").alias("nth"), F.col("end_line") if "end_line" in edits.columns else F.col(line).alias("end_line"), *[(F.col(c) if c in edits.columns else F.lit(None)).cast(t).alias(c) for c, t in EDIT.items() if t])
+    listed = given.groupBy(line).agg(F.array_sort(F.collect_list(F.struct("nth", "kind", "sel_start", "sel_end", "style", "color_value", "annotation", "position", (F.col("end_line") != F.col(line)).alias("wide")))).alias("edits"))
+    placed = with_offsets(spans, line=line, order=order).where((F.col("type") == "ruby") | (F.length("text") > 0))
+    own = F.struct(F.col(order).alias("o"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), (F.col("type") == "ruby").alias("ruby"), shown().alias("text"), F.col("annotations").cast(ANNOTATIONS).alias("annotations"), X.canonical_styles(F.col("styles")).alias("styles"), X.canonical_colour("color").alias("color"))
+    lines = placed.groupBy(line).agg(F.array_sort(F.collect_list(own)).alias("spans"))
+    folded = F.when(F.col("spans").isNotNull(), _folded(F.col("spans"), F.coalesce("edits", F.array().cast(listed.schema["edits"].dataType))))
+    columns = ["start", "part", "text", "annotations", "styles", "color"]
+    rows = lines.join(listed, line, "left").select(line, folded.alias("folded")).select(line, F.posexplode("folded.pieces").alias(order, "p")).select(line, order, *[F.col(f"p.{c}").alias(c) for c in columns])
+    ruby = F.col("part").isNotNull()
+    rows = rows.select(line, order, F.when(ruby, "ruby").otherwise("text").alias("type"), F.when(~ruby, F.col("text")).alias("text"), F.when(ruby, F.col("text")).alias("base"), F.when(ruby, F.col("annotations")).alias("annotations"), X.canonical_styles(F.col("styles")).alias("styles"), "color", F.col("part").alias("_part"))
+    reason = lambda e: F.when(e.wide, "several lines").when(e.sel_start >= e.sel_end, "empty").otherwise("no such line")
+    unknown = F.transform(F.filter("edits", lambda e: e.kind == "annotate"), lambda e: F.struct(e.nth.alias("nth"), reason(e).alias("reason")))
+    both = listed.join(lines, line, "left").withColumn("folded", folded)
+    refused = both.select(line, F.explode(F.when(F.col("spans").isNull(), unknown).otherwise(F.col("folded.refused"))).alias("r")).select(line, F.col("r.nth").alias("nth"), F.col("r.reason").alias("reason"))
+    return _runs(rows, [line], order), refused
+
+
+def _folded(spans: Column, edits: Column) -> Column:
+    """struct(pieces, refused) of one line: its spans cut at all borders, and the edits carried out on them in order."""
+    borders = F.array_sort(F.array_distinct(F.flatten(F.transform(edits, lambda e: F.array(e.sel_start, e.sel_end)))))
+
+    def cut(s: Column, i: Column) -> Column:
+        points = F.concat(F.array(s.start), F.filter(borders, lambda b: (b > s.start) & (b < s.end)), F.array(s.end))
+        part = F.when(s.ruby, i.cast("bigint"))
+
+        def piece(a: Column, k: Column) -> Column:
+            to = F.get(points, (k + 1).cast("int"))
+            return F.struct(a.alias("start"), to.alias("end"), part.alias("part"), s.start.alias("from"), s.end.alias("to"), F.substring(s.text, (a - s.start + 1).cast("int"), (to - a).cast("int")).alias("text"), s.annotations.alias("annotations"), s.styles.alias("styles"), s.color.alias("color"))
+
+        return F.transform(F.slice(points, F.lit(1), F.size(points) - 1), piece)
+
+    def overlaps(p: Column, e: Column) -> Column:
+        return (e.sel_start < p.end) & (e.sel_end > p.start) & (e.sel_start < e.sel_end)
+
+    def changed(p: Column, **values: Column) -> Column:
+        return F.struct(*[values.get(c, p[c]).alias(c) for c in ("start", "end", "part", "from", "to", "text", "annotations", "styles", "color")])
+
+    def facts(hit: Column, e: Column) -> Column:
+        """What an edit needs to know of the pieces it hits."""
+        colours = F.array_distinct(F.transform(hit, lambda p: F.coalesce(p.color, F.lit(""))))
+        return F.struct(
+            F.array_compact(F.transform(hit, lambda p: p.part)).alias("parts"),
+            F.forall(hit, lambda p: F.array_contains(p.styles, e.style)).alias("everywhere"),
+            F.exists(hit, lambda p: F.coalesce(p.part.isNotNull() & ((p["from"] != e.sel_start) | (p["to"] != e.sel_end)), F.lit(False))).alias("cuts"),
+            F.aggregate(hit, F.get(hit, 0).styles, lambda a, p: F.array_intersect(a, p.styles)).alias("shared"),
+            F.when(F.size(colours) == 1, F.nullif(F.get(colours, 0), F.lit(""))).alias("colour"),
+            F.array_min(F.transform(hit, lambda p: p.start)).alias("begins"),
+            F.array_max(F.transform(hit, lambda p: p.end)).alias("ends"),
+        )
+
+    def carried_out(state: Column, e: Column, f: Column) -> Column:
+        rival = F.when(e.style == "superscript", "subscript").when(e.style == "subscript", "superscript").otherwise("")
+        reason = F.when(e.wide, "several lines").when(e.sel_start >= e.sel_end, "empty").when(f.cuts, "cuts a ruby span")
+        note = F.array(F.struct(e.annotation.alias("text"), e.position.alias("position")))
+
+        def after(p: Column) -> Column:
+            covered = overlaps(p, e) | F.coalesce(F.array_contains(f.parts, p.part), F.lit(False))
+            toggled = F.when(f.everywhere, F.array_remove(p.styles, e.style)).otherwise(F.array_append(F.array_remove(F.array_remove(p.styles, rival), e.style), e.style))
+            just = F.coalesce(p.part.isNotNull() & (p["from"] == e.sel_start) & (p["to"] == e.sel_end), F.lit(False))
+            return (
+                F.when((e.kind == "style") & covered, changed(p, styles=toggled))
+                .when((e.kind == "color") & covered, changed(p, color=X.canonical_colour(e.color_value)))
+                .when((e.kind == "annotate") & reason.isNull() & overlaps(p, e), changed(p, part=-1 - e.nth, **{"from": f.begins, "to": f.ends}, annotations=note, styles=f.shared, color=f.colour))
+                .when((e.kind == "remove") & just, changed(p, part=F.lit(None).cast("bigint"), annotations=F.lit(None).cast(ANNOTATIONS)))
+                .otherwise(p)
+            )
+
+        told = F.when((e.kind == "annotate") & reason.isNotNull(), F.concat(state.refused, F.array(F.struct(e.nth.alias("nth"), reason.alias("reason"))))).otherwise(state.refused)
+        return F.struct(F.transform(state.pieces, after).alias("pieces"), told.alias("refused"))
+
+    def step(state: Column, e: Column) -> Column:
+        hit = F.filter(state.pieces, lambda p: overlaps(p, e))
+        return X.let(hit, lambda h: X.let(facts(h, e), lambda f: carried_out(state, e, f)))
 
+    start = F.struct(F.flatten(F.transform(spans, cut)).alias("pieces"), F.array().cast("array<struct<nth:bigint,reason:string>>").alias("refused"))
+    return F.aggregate(edits, start, step)
 
-def restyle_ranges(spans: DataFrame, edits: DataFrame, *, line: str = "line", order: str = "ord") -> DataFrame:
-    """Lines after style or colour edits (line, sel_start, sel_end, style, set_color, color_value), at most one a line.
 
-    A style that all hit spans have is removed, else added; superscript and subscript exclude each
-    other. With ``set_color`` the colour becomes ``color_value`` (null clears it) and ``style`` is
-    ignored. Ruby spans are restyled whole; an empty range changes nothing; the result is canonical.
+def restyle_ranges(spans: DataFrame, edits: DataFrame, *, line: str = "line", order: str = "ord", nth: str | None = None) -> DataFrame:
+    """Lines after style or colour edits (line, sel_start, sel_end, style, set_color, color_value), one a line or several in the order of ``nth``.
+
+    With ``set_color`` the colour becomes ``color_value`` (null clears it) and ``style`` is
+    ignored; see ``edit_lines``.
     """
-    own = edits.select(line, "sel_start", "sel_end", "style", "set_color", "color_value", F.lit(1).alias("selection"))
-    common = span_overlap(spans, own, line=line, order=order).select(line, F.col("styles").alias("_common"))
-    pieces = _pieces(spans, own.drop("selection"), line=line, order=order).join(common, line, "left")
-    removed = F.array_contains("_common", F.col("style"))
-    other = F.when(F.col("style") == "superscript", "subscript").when(F.col("style") == "subscript", "superscript").otherwise("")
-    toggled = F.when(removed, F.array_remove("styles", F.col("style"))).otherwise(F.array_append(F.array_remove(F.array_remove("styles", other), F.col("style")), F.col("style")))
-    paint = F.coalesce("set_color", F.lit(False))
-    changed = pieces.withColumns({"styles": F.when(F.col("inside") & ~paint & F.col("style").isNotNull(), toggled).otherwise(F.col("styles")), "color": F.when(F.col("inside") & paint, X.canonical_colour("color_value")).otherwise(F.col("color"))})
-    return coalesce_spans(changed.select(line, F.col("_order").alias(order), "type", "text", "base", "annotations", "styles", "color"), line=line, order=order)
-
-
-def annotate_ranges(spans: DataFrame, edits: DataFrame, *, line: str = "line", order: str = "ord") -> tuple[DataFrame, DataFrame]:
+    kind = F.when(F.coalesce("set_color", F.lit(False)), "color").when(F.col("style").isNotNull(), "style")
+    return edit_lines(spans, edits.withColumn("kind", kind), line=line, order=order, nth=nth)[0]
+
+
+def annotate_ranges(spans: DataFrame, edits: DataFrame, *, line: str = "line", order: str = "ord", nth: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(canonical spans after the edits, refused edits with a reason).
 
-    An edit (line, end_line, sel_start, sel_end, annotation, position) makes its range one ruby span
-    with the styles all hit spans share and their colour if they have one. It is refused if it goes
-    over several lines, is empty, names no line, or cuts through a ruby span.
+    An edit (line, end_line, sel_start, sel_end, annotation, position) makes its range one ruby span;
+    see ``edit_lines``. Several edits of a line are told apart by ``nth``.
     """
-    wide = edits.withColumn("selection", F.lit(1))
-    placed = with_offsets(spans, line=line, order=order)
-    known = placed.groupBy(line).agg(F.lit(True).alias("_known"))
-    cut = placed.where("type = 'ruby'").join(wide.select(line, "sel_start", "sel_end"), line).where("sel_start < end and sel_end > start and (sel_start <> start or sel_end <> end)").select(line).distinct().withColumn("_cut", F.lit(True))
-    reason = F.when(F.col(line) != F.col("end_line"), "several lines").when(F.col("sel_start") >= F.col("sel_end"), "empty").when(F.col("_known").isNull(), "no such line").when(F.col("_cut"), "cuts a ruby span")
-    judged = wide.join(known, line, "left").join(cut, line, "left").withColumn("reason", reason).drop("_known", "_cut")
-    good = judged.where("reason is null")
-    common = span_overlap(spans, good, line=line, order=order).select(line, F.col("styles").alias("_styles"), F.col("colour").alias("_colour"))
-    pieces = _pieces(spans, good.select(line, "sel_start", "sel_end", "annotation", F.col("position").alias("_position")), line=line, order=order)
-    outside = pieces.where("not inside").select(line, F.col("_order").alias(order), "type", "text", "base", "annotations", "styles", "color")
-    inner = pieces.where("inside").groupBy(line).agg(F.min("_order").alias(order), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_order", shown().alias("t")))), lambda s: s.t), "").alias("base"), F.first("annotation").alias("annotation"), F.first("_position").alias("position"))
-    ruby = inner.join(common, line).select(line, order, F.lit("ruby").alias("type"), F.lit(None).cast("string").alias("text"), "base", F.array(F.struct(F.col("annotation").alias("text"), F.col("position"))).alias("annotations"), F.col("_styles").alias("styles"), F.col("_colour").alias("color"))
-    return coalesce_spans(outside.unionByName(ruby), line=line, order=order), judged.where("reason is not null").drop("selection")
+    done, refused = edit_lines(spans, edits.withColumn("kind", F.lit("annotate")), line=line, order=order, nth=nth)
+    return done, refused.select(line, *([F.col("nth").alias(nth)] if nth else []), "reason")
 
 
 def remove_annotations(spans: DataFrame, ranges: DataFrame, *, line: str = "line", order: str = "ord") -> DataFrame:

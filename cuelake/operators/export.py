@@ -90,6 +90,37 @@ def canonical_documents(cues: DataFrame, *, track: str = "track_id", columns: tu
     return cues.groupBy(track).agg(listed.alias("cues")).select(track, F.to_json(F.struct(F.lit("subtitle-evidence").alias("format"), F.lit(2).alias("version"), F.col(track), F.col("cues"))).alias("document"))
 
 
+def document_lines(owners: DataFrame, lists: dict[str, DataFrame], *, owner: str, order: dict[str, tuple[str, ...]], head: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
+    """(owner, place, value): the JSON document of each owner in pieces, for documents that are larger than a row should be.
+
+    ``owners`` has a row for each owner, whose columns ``head`` begin the document; ``lists`` has
+    the rows of each array by name and ``order`` their columns, which they are sorted by. A document
+    is its pieces by ``place``, one after the other: what ``to_json`` of it all as one row would
+    give. No array is collected; an owner of any size is spread over tasks.
+    """
+    whole = F.to_json(F.struct(*(head or (owner,))))
+    begun, first = whole.substr(F.lit(1), F.length(whole) - 1), True
+    parts = []
+    for n, (name, rows) in enumerate(lists.items()):
+        opens = F.concat(begun if first else F.lit("]"), F.when(F.lit(not first) | (F.length(begun) > 1), ",").otherwise(""), F.lit(f'"{name}":['))
+        parts.append(owners.select(F.col(owner), F.lit(n).alias("list"), F.lit(0).cast("bigint").alias("nth"), opens.alias("value")))
+        own = rows.join(owners.select(owner), owner, "left_semi").select(owner, *[c for c in order[name] if c != owner])
+        counted = numbered(own, [owner], list(order[name]), "_nth", tasks=tasks)
+        parts.append(counted.select(F.col(owner), F.lit(n).alias("list"), F.col("_nth").cast("bigint").alias("nth"), F.concat(F.when(F.col("_nth") > 1, ",").otherwise(""), F.to_json(F.struct(*order[name]))).alias("value")))
+        first = False
+    parts.append(owners.select(F.col(owner), F.lit(len(lists)).alias("list"), F.lit(0).cast("bigint").alias("nth"), F.lit("]}").alias("value")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(owner, F.struct("list", "nth").alias("place"), "value")
+
+
+def canonical_lines(cues: DataFrame, *, track: str = "track_id", columns: tuple[str, ...] = ("start_ms", "end_ms", "cue_index"), more: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
+    """``canonical_documents`` in pieces: the same bytes for a track of any number of cues."""
+    owners = cues.select(track).distinct().withColumns({"format": F.lit("subtitle-evidence"), "version": F.lit(2)})
+    return document_lines(owners, {"cues": cues}, owner=track, order={"cues": (*columns, *more)}, head=("format", "version", track), tasks=tasks)
+
+
 def export_audit(artifacts: DataFrame, *, project: str = "project_id") -> DataFrame:
     """Audit rows of artifacts that were written."""
     return artifacts.where("written").select(project, F.expr("uuid()").alias("id"), "format", "path", "settings", F.current_timestamp().alias("created_at"))

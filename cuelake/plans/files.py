@@ -119,3 +119,15 @@ def streamed_stale(t: Tables) -> DataFrame:
     events = Streams(t.spark, t.folder).log().select(F.col("user_id").alias("job_id"), F.when(F.col("event_type") == "purchase", "completed").otherwise("running").alias("status"), F.timestamp_millis(F.col("at_ms") + 1_704_067_200_000).alias("at"))
     told = with_rocksdb(t, lambda: streamed(jobs.stream_stale_jobs(events, 86_400), folder))
     return told.select("job_id", "status", (F.unix_millis("last_at") - 1_704_067_200_000).alias("last_ms"))
+
+
+CANONICAL = """select track_id, '{"format":"subtitle-evidence","version":2,"track_id":' || cast(track_id as varchar) || ',"cues":[' || string_agg('{"start_ms":' || cast(start_ms as varchar) || ',"end_ms":' || cast(end_ms as varchar) || ',"cue_index":' || cast(cue_index as varchar) || ',"role":"' || role || '"}', ',' order by start_ms, end_ms, cue_index, role) || ']}' as document from v_cues group by 1"""
+
+
+@query(CANONICAL)
+def canonical_files(t: Tables) -> DataFrame:
+    """Documents put together from pieces, one file a track, read again."""
+    folder = own_folder(t.spark, "documents")
+    sinks.write_documents(export.canonical_lines(t.cues(), more=("role",)), folder)
+    files = t.spark.read.text(folder, wholetext=True)
+    return files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.json$", 1).cast("bigint").alias("track_id"), F.col("value").alias("document"))

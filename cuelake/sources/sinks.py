@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.operators.diagnostics import export_session
+from cuelake.sources.named_texts import write_named
 
 
 def write_srt(entries: DataFrame, path: str, *, track: str = "track_id") -> None:
@@ -19,6 +20,11 @@ def write_canonical_json(documents: DataFrame, path: str, *, track: str = "track
     documents.repartition(track).select(F.col(track), F.col("document").alias("value")).write.partitionBy(track).text(path)
 
 
+def write_documents(lines: DataFrame, path: str, *, owner: str = "track_id", suffix: str = ".json") -> None:
+    """One file for each owner from pieces (owner, place, value), named after it, however many pieces it has."""
+    write_named(lines.withColumn("_file", F.concat(F.col(owner).cast("string"), F.lit(suffix))), path, name="_file")
+
+
 def write_survey(report: DataFrame, path: str) -> None:
     report.write.json(path)
 
