@@ -176,15 +176,15 @@ def _folded(spans: Column, edits: Column) -> Column:
     """struct(pieces, refused) of one line: its spans cut at all borders, and the edits carried out on them in order."""
     borders = F.array_sort(F.array_distinct(F.flatten(F.transform(edits, lambda e: F.array(e.sel_start, e.sel_end)))))
 
-    def cut(s: Column, i: Column) -> Column:
-        points = F.concat(F.array(s.start), F.filter(borders, lambda b: (b > s.start) & (b < s.end)), F.array(s.end))
+    def cut(s: Column, i: Column, inner: Column) -> Column:
         part = F.when(s.ruby, i.cast("bigint"))
 
-        def piece(a: Column, k: Column) -> Column:
+        def piece(points: Column, a: Column, k: Column) -> Column:
             to = F.get(points, (k + 1).cast("int"))
             return F.struct(a.alias("start"), to.alias("end"), part.alias("part"), s.start.alias("from"), s.end.alias("to"), F.substring(s.text, (a - s.start + 1).cast("int"), (to - a).cast("int")).alias("text"), s.annotations.alias("annotations"), s.styles.alias("styles"), s.color.alias("color"))
 
-        return F.transform(F.slice(points, F.lit(1), F.size(points) - 1), piece)
+        points = F.concat(F.array(s.start), F.filter(inner, lambda b: (b > s.start) & (b < s.end)), F.array(s.end))
+        return X.let(points, lambda p: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda a, k: piece(p, a, k)))
 
     def overlaps(p: Column, e: Column) -> Column:
         return (e.sel_start < p.end) & (e.sel_end > p.start) & (e.sel_start < e.sel_end)
@@ -229,7 +229,8 @@ def _folded(spans: Column, edits: Column) -> Column:
         hit = F.filter(state.pieces, lambda p: overlaps(p, e))
         return X.let(hit, lambda h: X.let(facts(h, e), lambda f: carried_out(state, e, f)))
 
-    start = F.struct(F.flatten(F.transform(spans, cut)).alias("pieces"), F.array().cast("array<struct<nth:bigint,reason:string>>").alias("refused"))
+    pieces = X.let(borders, lambda inner: F.flatten(F.transform(spans, lambda s, i: cut(s, i, inner))))
+    start = F.struct(pieces.alias("pieces"), F.array().cast("array<struct<nth:bigint,reason:string>>").alias("refused"))
     return F.aggregate(edits, start, step)
 
 
