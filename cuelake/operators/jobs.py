@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.operators.numbering import numbered
+
 STATUSES = ("queued", "running", "paused", "interrupted", "completed", "failed", "canceled")
 
 
-def list_jobs(jobs: DataFrame, *, seq: str = "append_seq") -> DataFrame:
-    return jobs.orderBy(F.col(seq).desc())
+def list_jobs(jobs: DataFrame, *, seq: str = "append_seq", tasks: int | None = None) -> DataFrame:
+    """Jobs newest first, with their ``place`` from 1; the list is dealt to tasks by ranges."""
+    return numbered(jobs.withColumn("_newest", -F.col(seq)), [], ["_newest"], "place", tasks=tasks).drop("_newest").orderBy("place")
 
 
 def job_progress(events: DataFrame, *, job: str = "job_id", seq: str = "append_seq", phase: str = "phase", current: str = "current", cue: str = "cue_id") -> DataFrame:

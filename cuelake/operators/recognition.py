@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuelake.functions import text as X
+from cuelake.sources.shared import checkpointed
 
 
 def select_cues(cues: DataFrame, wanted: DataFrame | None, overwrite: bool = False, *, cue: str = "cue_id", status: str = "ocr_status") -> tuple[DataFrame, DataFrame | None]:
@@ -228,11 +229,11 @@ def score_batch(requests: DataFrame, backend: Callable[[pd.DataFrame], pd.Series
     return rows.sortWithinPartitions(prompt[0]).mapInPandas(run, schema)
 
 
-def retry_rounds(requests: DataFrame, backend: Callable[[pd.DataFrame], pd.Series], judge: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame, int], DataFrame], *, max_attempts: int = 2, key: str = "request_id") -> DataFrame:
+def retry_rounds(requests: DataFrame, backend: Callable[[pd.DataFrame], pd.Series], judge: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame, int], DataFrame] = lambda answers, attempt: checkpointed(answers), *, max_attempts: int = 2, key: str = "request_id") -> DataFrame:
     """(key, response, error, attempt): rejected answers are asked for again with the last answer and a correction.
 
-    ``judge`` adds ``error`` to (key, response); ``save`` writes a round and reads it back, so that no
-    answer is asked for twice. The driver loop has ``max_attempts`` turns at most; the last failure stands.
+    ``judge`` adds ``error`` to (key, response); ``save`` writes a round and reads it back (unless
+    given into the shared folder), so that no answer is asked for twice. The driver loop has ``max_attempts`` turns at most; the last failure stands.
     """
     out, todo = None, requests
     for attempt in range(1, max_attempts + 1):

@@ -790,9 +790,9 @@ def glossary_hits(t: Tables) -> DataFrame:
 # jobs
 
 
-@query("select append_seq, user_id from v_log")
+@query("select append_seq, user_id, row_number() over (order by append_seq desc) as place from v_log")
 def list_jobs(t: Tables) -> DataFrame:
-    return jobs.list_jobs(t.log()).select("append_seq", "user_id")
+    return jobs.list_jobs(t.log()).select("append_seq", "user_id", long("place"))
 
 
 @query("select user_id as job_id, arg_max(event_type, append_seq) as phase, max(append_seq) as current, count(distinct cue_id) filter (event_type = 'purchase') as completed from v_log group by 1")
@@ -1113,7 +1113,7 @@ def retry_rounds(t: Tables) -> DataFrame:
         return (batch["variable"].str.len() % 3).astype(str) + batch["variable"].str.contains("It was rejected", regex=False).map({True: "|second", False: "|first"})
 
     judge = lambda df: df.withColumn("error", F.when(~F.col("response").startswith("1"), "zero"))
-    return recognition.retry_rounds(requests, backend, judge, lambda df, attempt: df)
+    return recognition.retry_rounds(requests, backend, judge)
 
 
 @query("""select cue_id as request_id, 'combined:' || cue_id as combined, case when cue_id % 5 = 0 then 'failed' end as combined_error, case when cue_id % 5 <> 0 then 'style:' || cue_id end as style,

@@ -146,3 +146,30 @@ def test_one_large_project_on_many_tasks(spark):
         assert len(sizes) >= 30 and max(sizes) < 2 * 1_000_000 / 32
         checks = got.groupBy("project").agg(F.count("*").alias("c"), F.max("n").alias("m"), F.count_distinct("n").alias("d")).collect()
         assert len(checks) == 8 and all(r.c == r.m == r.d for r in checks)
+
+
+def test_jobs_in_order(spark):
+    from cuelake.operators import jobs
+
+    rows = spark.createDataFrame([(i * 7 % 50, f"j{i}") for i in range(50)], "append_seq long, job_id string")
+    assert [(r.place, r.append_seq) for r in jobs.list_jobs(rows, tasks=3).collect()] == [(i + 1, 49 - i) for i in range(50)]
+
+
+def test_no_answer_is_asked_for_twice(spark, tmp_path):
+    """Each request reaches the backend once a round, however often the rounds are read."""
+    import uuid
+
+    from cuelake.operators import recognition
+
+    calls = str(tmp_path)
+
+    def backend(batch):
+        for v in batch["variable"]:
+            with open(f"{calls}/{uuid.uuid4().hex}", "w") as f:
+                f.write(v)
+        return batch["variable"].str.contains("rejected").map({True: "ok", False: "no"})
+
+    requests = spark.createDataFrame([(i, "s", f"v{i}") for i in range(20)], "request_id long, stable string, variable string")
+    out = recognition.retry_rounds(requests, backend, lambda df: df.withColumn("error", F.when((F.col("response") == "no") & (F.col("request_id") % 2 == 0), "bad")))
+    assert out.count() == 20 and {r.attempt for r in out.collect()} == {1, 2}
+    assert len(list(tmp_path.iterdir())) == 30
