@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from cuelake.operators import export
 from cuelake.plans.adapters import Tables
-from cuelake.plans.queries import query
-from cuelake.sources import readers, sinks
+from cuelake.plans.queries import SQL, query, said_segments, stream_files
+from cuelake.sources import named_texts, readers, segments, sinks
 from cuelake.sources.shared import own_folder
 from cuelake.streaming import feeds, jobs, keyed
 
@@ -131,3 +131,26 @@ def canonical_files(t: Tables) -> DataFrame:
     sinks.write_documents(export.canonical_lines(t.cues(), more=("role",)), folder)
     files = t.spark.read.text(folder, wholetext=True)
     return files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.json$", 1).cast("bigint").alias("track_id"), F.col("value").alias("document"))
+
+
+def segment_files(t: Tables) -> DataFrame:
+    """The streams of ``sup_segments`` as files, read in ranges of 97 bytes."""
+    folder = own_folder(t.spark, "streams")
+    files = stream_files(t).select(F.concat("path", F.lit(".sup")).alias("name"), F.lit(0).alias("place"), F.col("content").alias("value"))
+    named_texts.write_named(files, folder)
+    found = segments.read_sup_segments(t.spark, f"{folder}/*.sup", 97)
+    return said_segments(found.withColumn("path", F.regexp_extract("path", r"(\d+)\.sup$", 1)))
+
+
+query()(segment_files)
+SQL["segment_files"] = SQL["sup_segments"]
+
+
+@query("""select cue_id, case when cue_index = 1 then 'image not found' when cue_index = 2 then 'image path leaves the project' end as error, case when cue_index not in (1, 2) then sha256(coalesce(text, '')) end as digest from v_cues""")
+def cue_images(t: Tables) -> DataFrame:
+    """Texts stand for images; of each track one file is missing and one path leads outside."""
+    folder = own_folder(t.spark, "images")
+    named_texts.write_named(t.cues().where("cue_index <> 1").select(F.concat(F.col("cue_id").cast("string"), F.lit(".png")).alias("name"), F.lit(0).alias("place"), "text"), f"{folder}/assets/cues/x", value="text")
+    path = F.concat(F.when(F.col("cue_index") == 2, "assets/cues/../").otherwise("assets/cues/x/"), F.col("cue_id").cast("string"), F.lit(".png"))
+    found = readers.read_cue_images(t.spark, folder, t.cues().select("cue_id", path.alias("image_path")))
+    return found.select("cue_id", "error", F.sha2("image", 256).alias("digest"))

@@ -1198,11 +1198,20 @@ def reassembled_objects(t: Tables) -> DataFrame:
     union all select user_id, count(*) + 1, 0, -1, '', 'truncated segment header' from v_log where user_id % 5 = 0 group by 1""")
 def sup_segments(t: Tables) -> DataFrame:
     """Streams put together from events, every fifth broken off, and split again."""
+    return said_segments(readers.segments_of(stream_files(t)))
+
+
+def said_segments(segments: DataFrame) -> DataFrame:
+    return segments.select(F.col("path").cast("bigint").alias("path"), "seg_no", "pts", "kind", F.lower(F.hex("payload")).alias("payload"), "error")
+
+
+def stream_files(t: Tables) -> DataFrame:
+    """(path, content) of a stream a user."""
     pts = F.lpad(F.hex(F.col("at_ms") % 1000000), 8, "0")
     one = F.concat(F.lit("5047"), pts, F.lit("00000000"), F.lpad(F.hex("kind"), 2, "0"), F.lpad(F.hex((F.length("hex") / 2).cast("bigint")), 4, "0"), F.col("hex"))
     files = _segments(t).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", one.alias("h")))), lambda x: x.h), "").alias("all"))
     content = F.unhex(F.concat("all", F.when(F.col("path") % 5 == 0, "504700").otherwise("")))
-    return readers.segments_of(files.select(F.col("path").cast("string").alias("path"), content.alias("content"))).select(F.col("path").cast("bigint").alias("path"), "seg_no", "pts", "kind", F.lower(F.hex("payload")).alias("payload"), "error")
+    return files.select(F.col("path").cast("string").alias("path"), content.alias("content"))
 
 
 @query("select append_seq, user_id from v_log where kind = 'attempt' and status in ('interrupted', 'failed')")

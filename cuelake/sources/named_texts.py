@@ -46,7 +46,7 @@ class TextWriter(DataSourceArrowWriter):
                         now = name
                         files.append((name, f"{waiting}/{len(files)}"))
                         out = system.open_output_stream(files[-1][1])
-                    out.write((value or "").encode())
+                    out.write(value.encode() if isinstance(value, str) else value or b"")
         finally:
             if out is not None:
                 out.close()
@@ -70,7 +70,7 @@ class TextWriter(DataSourceArrowWriter):
 
 
 class NamedTexts(DataSource):
-    """Format ``named_texts``: writes rows of (name, value) as files in the folder ``path``; files of these names are replaced, others stay."""
+    """Format ``named_texts``: writes rows of (name, value), text in UTF-8 or binary, as files in the folder ``path``; files of these names are replaced, others stay."""
 
     @classmethod
     def name(cls) -> str:
