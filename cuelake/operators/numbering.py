@@ -23,14 +23,15 @@ MOST_RUNS = 200_000
 
 
 def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str], name: str, *, tasks: int | None = None) -> DataFrame:
-    """``rows`` with the column ``name``: 1, 2, ... within each group by ``order``, nulls first; a null group is one too.
+    """``rows`` with the column ``name``, which is replaced if it is there: 1, 2, ... within each group by ``order``, nulls first; a null group is one too.
 
     Rows equal in ``order`` are told apart by a hash of all their columns, so that they too are
     spread. The frame is computed once, into the shared folder; ``tasks`` is the session's number
     of shuffle partitions unless given.
     """
     tasks = tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.select(F.struct("*").alias("row"), *[F.col(c).alias(f"g{i}") for i, c in enumerate(group)], *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != name]
+    packed = rows.select(F.struct(*kept).alias("row"), *[F.col(c).alias(f"g{i}") for i, c in enumerate(group)], *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     keys: list[Column] = [F.col(f"g{i}") for i in range(len(group))]
     by = [*keys, *[F.col(f"o{i}") for i in range(len(order))], F.col("tie")]
     dealt = packed.withColumn("tie", F.xxhash64("row")).repartitionByRange(tasks, *by).sortWithinPartitions(*by)

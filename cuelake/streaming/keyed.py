@@ -93,12 +93,12 @@ class KeyedTable:
         done = self.batches()
         live = {(v, b) for batch in done[-self.kept :] for b, v in self.versions(batch).items()}
         for name in self._names("data"):
-            version = int(name[2:])
-            own = [n for n in self._names(f"data/{name}") if n.startswith("bucket=")]
-            gone = [n for n in own if (version, int(n[7:])) not in live]
-            for n in gone if len(gone) < len(own) else [""]:
-                if version <= done[-1] and (n or not any(v == version for v, _ in live)):
-                    self._files.delete(self._path(f"data/{name}/{n}" if n else f"data/{name}"), True)
+            version, own = int(name[2:]), [n for n in self._names(f"data/{name}") if n.startswith("bucket=")]
+            dead = [n for n in own if (version, int(n[7:])) not in live]
+            if version > done[-1]:  # of a batch under way, or one that broke off
+                continue
+            for path in [f"data/{name}"] if len(dead) == len(own) else [f"data/{name}/{n}" for n in dead]:
+                self._files.delete(self._path(path), True)
         for batch in done[: -self.kept]:
             self._files.delete(self._path(f"manifest/{batch}.json"), False)
 

@@ -126,6 +126,8 @@ def test_numbers_are_those_of_a_window(spark, tasks):
         want[i] = count[g]
     assert {r["at"]: r.n for r in got} == want and got[0].__fields__ == ["g", "o", "at", "n"]
     assert numbered(df.limit(0), ["g"], ["o"], "n").count() == 0
+    again = numbered(df.withColumn("n", F.lit("old")), ["g"], ["o", "at"], "n", tasks=tasks)
+    assert {r["at"]: r.n for r in again.collect()} == want
 
 
 def test_many_groups_are_joined_by_shuffle(spark, monkeypatch):
