@@ -214,3 +214,19 @@ def test_glossary_of_any_size(spark, monkeypatch):
         assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
     own = translation.glossary_hits(texts, glossary, keys=("k",), translation="said", mapped="mapped", project="project")
     assert sorted((r.k, r.term, r.translated) for r in own.collect()) == [w for w in want if w[0] < 3]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_dealt_by_number_of_rows(spark, small, monkeypatch):
+    """However large the table, a task gets so many rows; and all that goes by line follows that one exchange."""
+    from cuelake.plans import adapters
+
+    monkeypatch.setattr(adapters, "ROWS_A_TASK", 500)
+    spans = adapters.Tables(spark, small).spans()
+    rows = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert spans.rdd.getNumPartitions() == -(-rows // 500) > 4
+    plan = editing.with_offsets(spans)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
