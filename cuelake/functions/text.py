@@ -105,7 +105,7 @@ def colour_code(name: str | Column) -> Column:
 
 
 def canonical_styles(styles: Column) -> Column:
-    return F.filter(F.array(*[F.lit(s) for s in STYLES]), lambda s: F.array_contains(styles, s))
+    return F.array_intersect(F.array(*[F.lit(s) for s in STYLES]), F.coalesce(styles, F.array(F.lit(""))))
 
 
 def canonical_colour(c: str | Column) -> Column:

@@ -97,7 +97,7 @@ def _runs(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     starts = other | ((F.col("type") == "text") & ~look.eqNullSafe(F.lag(look).over(w)))
     rows = rows.withColumn("_starts", starts.cast("int")).withColumn("_run", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     first = lambda c: F.min_by(c, order).alias(c)
-    joined = lambda c, to: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(c, F.lit("")).alias("t")))), lambda s: s.t), "").alias(to)
+    joined = lambda c, to: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(c, F.lit("")).alias("t")))), lambda s: s.t), "").alias(to)
     runs = rows.groupBy(*keys, "_run").agg(first("type"), joined("text", "text"), joined("base", "base"), first("annotations"), first("styles"), first("color"))
     ruby = F.col("type") == "ruby"
     return runs.select(*keys, F.col("_run").cast("bigint").alias("ord"), "type", F.when(~ruby, F.col("text")).alias("text"), F.when(ruby, F.col("base")).alias("base"), "annotations", "styles", "color")
@@ -105,7 +105,7 @@ def _runs(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def line_texts(spans: DataFrame, *, line: str = "line", order: str = "ord") -> DataFrame:
     """(line, text): what the spans of each line compose."""
-    return spans.groupBy(line).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), shown().alias("t")))), lambda s: s.t), "").alias("text"))
+    return spans.groupBy(line).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), shown().alias("t")))), lambda s: s.t), "").alias("text"))
 
 
 def with_offsets(spans: DataFrame, *, line: str = "line", order: str = "ord") -> DataFrame:
@@ -156,13 +156,14 @@ def edit_lines(spans: DataFrame, edits: DataFrame, *, line: str = "line", order:
     """
     place = F.col(nth) if nth else F.lit(1)
     given = edits.select(line, place.cast("bigint").alias("nth"), F.col("end_line") if "end_line" in edits.columns else F.col(line).alias("end_line"), *[(F.col(c) if c in edits.columns else F.lit(None)).cast(t).alias(c) for c, t in EDIT.items() if t])
-    listed = given.groupBy(line).agg(F.array_sort(F.collect_list(F.struct("nth", "kind", "sel_start", "sel_end", "style", "color_value", "annotation", "position", (F.col("end_line") != F.col(line)).alias("wide")))).alias("edits"))
+    listed = given.groupBy(line).agg(F.sort_array(F.collect_list(F.struct("nth", "kind", "sel_start", "sel_end", "style", "color_value", "annotation", "position", (F.col("end_line") != F.col(line)).alias("wide")))).alias("edits"))
     placed = with_offsets(spans, line=line, order=order).where((F.col("type") == "ruby") | (F.length("text") > 0))
     own = F.struct(F.col(order).alias("o"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), (F.col("type") == "ruby").alias("ruby"), shown().alias("text"), F.col("annotations").cast(ANNOTATIONS).alias("annotations"), X.canonical_styles(F.col("styles")).alias("styles"), X.canonical_colour("color").alias("color"))
-    lines = placed.groupBy(line).agg(F.array_sort(F.collect_list(own)).alias("spans"))
+    lines = placed.groupBy(line).agg(F.sort_array(F.collect_list(own)).alias("spans"))
     folded = F.when(F.col("spans").isNotNull(), _folded(F.col("spans"), F.coalesce("edits", F.array().cast(listed.schema["edits"].dataType))))
     columns = ["start", "part", "text", "annotations", "styles", "color"]
-    rows = lines.join(listed, line, "left").select(line, folded.alias("folded")).select(line, F.posexplode("folded.pieces").alias(order, "p")).select(line, order, *[F.col(f"p.{c}").alias(c) for c in columns])
+    # outer: else Spark filters by the size of what is to be exploded, and folds each line again for it
+    rows = lines.join(listed, line, "left").select(line, folded.alias("folded")).select(line, F.posexplode_outer("folded.pieces").alias(order, "p")).where("p is not null").select(line, order, *[F.col(f"p.{c}").alias(c) for c in columns])
     ruby = F.col("part").isNotNull()
     rows = rows.select(line, order, F.when(ruby, "ruby").otherwise("text").alias("type"), F.when(~ruby, F.col("text")).alias("text"), F.when(ruby, F.col("text")).alias("base"), F.when(ruby, F.col("annotations")).alias("annotations"), X.canonical_styles(F.col("styles")).alias("styles"), "color", F.col("part").alias("_part"))
     reason = lambda e: F.when(e.wide, "several lines").when(e.sel_start >= e.sel_end, "empty").otherwise("no such line")
@@ -174,7 +175,7 @@ def edit_lines(spans: DataFrame, edits: DataFrame, *, line: str = "line", order:
 
 def _folded(spans: Column, edits: Column) -> Column:
     """struct(pieces, refused) of one line: its spans cut at all borders, and the edits carried out on them in order."""
-    borders = F.array_sort(F.array_distinct(F.flatten(F.transform(edits, lambda e: F.array(e.sel_start, e.sel_end)))))
+    borders = F.sort_array(F.array_distinct(F.flatten(F.transform(edits, lambda e: F.array(e.sel_start, e.sel_end)))))
 
     def cut(s: Column, i: Column, inner: Column) -> Column:
         part = F.when(s.ruby, i.cast("bigint"))
@@ -195,14 +196,15 @@ def _folded(spans: Column, edits: Column) -> Column:
     def facts(hit: Column, e: Column) -> Column:
         """What an edit needs to know of the pieces it hits."""
         colours = F.array_distinct(F.transform(hit, lambda p: F.coalesce(p.color, F.lit(""))))
+        restyles, notes = e.kind.isin("style", "color"), e.kind == "annotate"
         return F.struct(
-            F.array_compact(F.transform(hit, lambda p: p.part)).alias("parts"),
-            F.forall(hit, lambda p: F.array_contains(p.styles, e.style)).alias("everywhere"),
-            F.exists(hit, lambda p: F.coalesce(p.part.isNotNull() & ((p["from"] != e.sel_start) | (p["to"] != e.sel_end)), F.lit(False))).alias("cuts"),
-            F.aggregate(hit, F.get(hit, 0).styles, lambda a, p: F.array_intersect(a, p.styles)).alias("shared"),
-            F.when(F.size(colours) == 1, F.nullif(F.get(colours, 0), F.lit(""))).alias("colour"),
-            F.array_min(F.transform(hit, lambda p: p.start)).alias("begins"),
-            F.array_max(F.transform(hit, lambda p: p.end)).alias("ends"),
+            F.when(restyles, F.array_compact(F.transform(hit, lambda p: p.part))).alias("parts"),
+            F.when(e.kind == "style", F.forall(hit, lambda p: F.array_contains(p.styles, e.style))).alias("everywhere"),
+            F.when(notes, F.exists(hit, lambda p: F.coalesce(p.part.isNotNull() & ((p["from"] != e.sel_start) | (p["to"] != e.sel_end)), F.lit(False)))).alias("cuts"),
+            F.when(notes, F.aggregate(hit, F.get(hit, 0).styles, lambda a, p: F.array_intersect(a, p.styles))).alias("shared"),
+            F.when(notes, X.let(colours, lambda c: F.when(F.size(c) == 1, F.nullif(F.get(c, 0), F.lit(""))))).alias("colour"),
+            F.when(notes, F.array_min(F.transform(hit, lambda p: p.start))).alias("begins"),
+            F.when(notes, F.array_max(F.transform(hit, lambda p: p.end))).alias("ends"),
         )
 
     def carried_out(state: Column, e: Column, f: Column) -> Column:

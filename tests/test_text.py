@@ -230,3 +230,9 @@ def test_lines_are_dealt_by_number_of_rows(spark, small, monkeypatch):
     assert spans.rdd.getNumPartitions() == -(-rows // 500) > 4
     plan = editing.with_offsets(spans)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_lines_are_folded_once(spark, small):
+    from cuelake.plans import queries
+
+    assert plan_of(queries.QUERIES["restyle_ranges"](spark, small)).count("aggregate(coalesce(edits") == 1
