@@ -13,6 +13,7 @@ from cuelake.functions.text import SECRET_KEYS
 
 #: Levels of details that are kept, and numbers of a list that is not yet binary data.
 DEPTH, NUMBERS = 12, 256
+PLAIN = {int, float, bool, type(None)}
 
 
 def _walk(value, key: str | None, secrets: tuple[str, ...], depth: int):
@@ -23,8 +24,11 @@ def _walk(value, key: str | None, secrets: tuple[str, ...], depth: int):
     if isinstance(value, dict):
         return {k: _walk(v, k, secrets, depth + 1) for k, v in value.items()}
     if isinstance(value, list):
-        if len(value) > NUMBERS and all(isinstance(v, int | float) and not isinstance(v, bool) for v in value):
+        kinds = set(map(type, value))
+        if len(value) > NUMBERS and kinds <= {int, float}:
             return {"redacted": "binary_data", "byte_length": len(value)}
+        if depth < DEPTH and kinds <= PLAIN:  # nothing in it can change
+            return value
         return [_walk(v, key, secrets, depth + 1) for v in value]
     if isinstance(value, str):
         if value.startswith("data:") and ";base64," in value:
@@ -40,6 +44,7 @@ def redact_details(df: DataFrame, *, details: str = "details", secrets: tuple[st
     A key is inherited through arrays. Text that isn't JSON becomes a marker, as nothing is known of it.
     """
     known = tuple(s for s in secrets if s)
+    written = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"))
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
@@ -47,7 +52,7 @@ def redact_details(df: DataFrame, *, details: str = "details", secrets: tuple[st
             if t is None:
                 return None
             try:
-                return json.dumps(_walk(json.loads(t), None, known, 0), ensure_ascii=False, separators=(",", ":"))
+                return written.encode(_walk(json.loads(t), None, known, 0))
             except ValueError:
                 return '"[NOT JSON]"'
 

@@ -88,3 +88,18 @@ def test_schema_gate_and_settings(spark):
 def test_empty_log(spark):
     empty = spark.createDataFrame([], LOG)
     assert evidence.cue_state(empty).count() == 0 and evidence.undo_target(empty).count() == 0
+
+
+def test_lists_of_numbers_are_not_walked(spark, monkeypatch):
+    import json
+
+    from cuelake.operators import diagnostics
+
+    calls, walk = [], diagnostics._walk
+    monkeypatch.setattr(diagnostics, "_walk", lambda *a: calls.append(1) or walk(*a))
+    value = {"list": list(range(256)), "mixed": [1, None, True, "token"], "api_key": [1, 2], "long": [0.5] * 257, "flags": [True] * 257}
+    out = diagnostics._walk(value, None, (), 0)
+    assert out == {"list": list(range(256)), "mixed": [1, None, True, "token"], "api_key": "[REDACTED]", "long": {"redacted": "binary_data", "byte_length": 257}, "flags": [True] * 257}
+    assert len(calls) < 20
+    deep = lambda n: json.loads("[" * n + "1" + "]" * n)
+    assert walk(deep(12), None, (), 0) == deep(12) and walk(deep(13), None, (), 0) == json.loads("[" * 13 + '"[TOO DEEP]"' + "]" * 13)
