@@ -102,3 +102,13 @@ def test_image_paths(spark, tmp_path):
     rows = spark.createDataFrame([(1, "assets/cues/t/000001.png"), (2, "/etc/x.png"), (3, "assets/cues/../x.png"), (4, "assets/cues/t/000002.png")], "cue_id long, image_path string")
     found = {r.cue_id: r.error for r in readers.read_cue_images(spark, str(tmp_path), rows).collect()}
     assert found == {1: None, 2: "image path leaves the project", 3: "image path leaves the project", 4: "image not found"}
+
+
+def test_good_tracks_need_no_list_of_tracks(spark):
+    """Tracks without a cue fail, but have no cue that could be taken out."""
+    tracks = spark.createDataFrame([(p,) for p in ("a", "b", "c", None)], "path string")
+    cues = spark.createDataFrame([("a", None), ("a", None), ("b", "x"), ("b", None), (None, None)], "path string, error string")
+    good, failed = ingest.quarantine_failed_tracks(tracks, cues)
+    assert sorted(str(r.path) for r in good.collect()) == ["None", "a", "a"]
+    assert sorted((str(r.path), r.error) for r in failed.collect()) == [("None", "no cue in the stream"), ("b", "x"), ("c", "no cue in the stream")]
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
