@@ -23,6 +23,8 @@ from cuelake.sources.files import read_range
 HEADER, LONGEST = 13, 13 + 0xFFFF
 SEGMENT = "path string, seg_no long, pts long, kind int, payload binary, error string"
 BATCH_BYTES = 8 << 20
+#: So many notes of ranges go in a batch, and those of one range more.
+MOST_NOTES = 10_000
 
 
 def split_segments(data: bytes, at: int = 0, stop: int | None = None) -> Iterator[tuple[int, int, bytes]]:
@@ -102,10 +104,16 @@ def segments_in_files(files: DataFrame, range_bytes: int = 32 << 20) -> DataFram
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, held = [], 0
             for r in batch.to_pylist():
                 found = chains(read_range(r["path"], r["start"], min(r["stop"] + HEADER, r["length"])), r["start"], r["stop"], r["length"])
-                found = [dict(zip(("at", "leaves", "segments"), f, strict=True)) for f in found]
-                yield pa.RecordBatch.from_pylist([r | {"found": found}], schema)
+                rows.append(r | {"found": [dict(zip(("at", "leaves", "segments"), f, strict=True)) for f in found]})
+                held += len(found)
+                if held > MOST_NOTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("found", pa.list_(pa.struct([("at", pa.int64()), ("leaves", pa.int64()), ("segments", pa.int64())])))])
     noted = ranges.repartition(tasks).mapInArrow(note, "path string, length long, start long, stop long, found array<struct<at:long,leaves:long,segments:long>>")
@@ -120,30 +128,36 @@ def segments_in_files(files: DataFrame, range_bytes: int = 32 << 20) -> DataFram
     entered = noted.groupBy("path").applyInArrow(enter, plan).select("path", "length", "stop", "entry", "first")
     whole = listed.where(F.col("length") <= range_bytes).select("path", "length", F.col("length").alias("stop"), F.lit(0).cast("long").alias("entry"), F.lit(1).cast("long").alias("first"))
 
+    def parts(rows: list[dict]) -> Iterator[tuple[str, int, Iterator[tuple[int, int, bytes]]]]:
+        for r in rows:
+            data = read_range(r["path"], r["entry"], min(r["stop"] + LONGEST, r["length"]))
+            yield r["path"], r["first"], split_segments(data, 0, r["stop"] - r["entry"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                data = read_range(r["path"], r["entry"], min(r["stop"] + LONGEST, r["length"]))
-                yield from as_batches(r["path"], r["first"], split_segments(data, 0, r["stop"] - r["entry"]))
+            yield from as_batches(parts(batch.to_pylist()))
 
     return whole.unionByName(entered).repartition(tasks).mapInArrow(read, SEGMENT)
 
 
-def as_batches(path: str, number: int, segments: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """Rows of segments numbered from ``number`` on, a few megabytes a batch."""
+def as_batches(parts: Iterator[tuple[str, int, Iterator[tuple[int, int, bytes]]]]) -> Iterator[pa.RecordBatch]:
+    """Rows of the segments of (path, number of the first, segments), a few megabytes a batch, however short the parts are."""
     schema = pa.schema([("path", pa.string()), ("seg_no", pa.int64()), ("pts", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary()), ("error", pa.string())])
     rows, held = [], 0
-    try:
-        for pts, kind, payload in segments:
-            rows.append((path, number, pts, kind, payload, None))
-            number, held = number + 1, held + len(payload) + 64
-            if held > BATCH_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                rows, held = [], 0
-    except ValueError as e:
-        rows.append((path, number, 0, -1, b"", str(e)))
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    for path, number, segments in parts:
+        try:
+            for pts, kind, payload in segments:
+                rows.append((path, number, pts, kind, payload, None))
+                number, held = number + 1, held + len(payload) + 64
+                if held > BATCH_BYTES:
+                    yield batch()
+                    rows, held = [], 0
+        except ValueError as e:
+            rows.append((path, number, 0, -1, b"", str(e)))
+            held += 64
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        yield batch()
 
 
 def read_sup_segments(spark: SparkSession, glob: str, range_bytes: int = 32 << 20) -> DataFrame:
@@ -156,7 +170,7 @@ def segments_of(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                yield from as_batches(path, 1, split_segments(content.as_py() or b""))
+            streams = zip(batch.column("path").to_pylist(), batch.column("content"), strict=True)
+            yield from as_batches((path, 1, split_segments(content.as_py() or b"")) for path, content in streams)
 
     return files.select("path", "content").mapInArrow(run, SEGMENT)

@@ -191,3 +191,12 @@ def test_paths_of_stores():
         system, inner = open_path(path)
         assert isinstance(system, fs.LocalFileSystem) and inner == "/a/b c"
     assert readers.SESSION_FILE
+
+
+def test_short_ranges_share_a_batch():
+    from cuelake.sources import segments
+
+    sound = lambda n: iter([(n, 22, b"x"), (n + 1, 22, b"y")])
+    rows = [b.to_pylist() for b in segments.as_batches([("a", 1, sound(1)), ("b", 1, segments.split_segments(b"PG", 0)), ("c", 5, sound(7))])]
+    assert len(rows) == 1
+    assert [(r["path"], r["seg_no"], r["pts"], r["error"]) for r in rows[0]] == [("a", 1, 1, None), ("a", 2, 2, None), ("b", 1, 0, "truncated segment header"), ("c", 5, 7, None), ("c", 6, 8, None)]
