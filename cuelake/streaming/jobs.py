@@ -30,15 +30,24 @@ class _Progress(StatefulProcessor):
         self.done = handle.getMapState("done", "cue_id string", "seen boolean", self.idle_ms)
         self.last = handle.getValueState("last", "seq long, phase string, current int, completed long", self.idle_ms)
 
+    def new(self, done: set[str], completed: int) -> list[str]:
+        """Cues that the state does not have yet; each question to it is a call to another process, so a state no larger than the set is read at once."""
+        if completed == 0 or not done:
+            return list(done)
+        if completed <= len(done):
+            return list(done - {k[0] for k in self.done.keys()})
+        return [c for c in done if not self.done.containsKey((c,))]
+
     def fold(self, frames: Iterator[pd.DataFrame]) -> tuple:
         seq, phase, current, completed = self.last.get() if self.last.exists() else (None, None, None, 0)
         for frame in frames:
-            for r in frame.itertuples():
-                if r.phase == self.done_phase and r.cue_id is not None and not self.done.containsKey((r.cue_id,)):
-                    self.done.updateValue((r.cue_id,), (True,))
-                    completed += 1
-                if seq is None or r.append_seq > seq:
-                    seq, phase, current = int(r.append_seq), r.phase, None if pd.isna(r.current) else int(r.current)
+            done = {c for p, c in zip(frame["phase"], frame["cue_id"], strict=True) if p == self.done_phase and c is not None}
+            for cue in self.new(done, completed):
+                self.done.updateValue((cue,), (True,))
+                completed += 1
+            for s, p, c in zip(frame["append_seq"], frame["phase"], frame["current"], strict=True):
+                if seq is None or s > seq:
+                    seq, phase, current = int(s), p, None if pd.isna(c) else int(c)
         self.last.update((seq, phase, current, completed))
         return phase, current, completed
 

@@ -128,3 +128,35 @@ def test_stale_jobs_from_a_snapshot(spark, tmp_path, rocks):
     short = run(spark, build(log), then, schema, tmp_path / "short", "append")
     told = lambda out: sorted((r.job_id, r.status, r.last_at.minute * 60 + r.last_at.second) for r in out)
     assert told(long) == told(short) == [("a", "interrupted", 0), ("d", "interrupted", 90)]
+
+
+def test_progress_asks_its_state_once_a_frame():
+    import pandas as pd
+
+    class Last:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Done(dict):
+        calls = 0
+
+        def containsKey(self, key):
+            self.calls += 1
+            return key in self
+
+        def keys(self):
+            self.calls += 1
+            return list(super().keys())
+
+        updateValue = dict.__setitem__
+
+    p = jobs._Progress("completed", None)
+    p.last, p.done = Last(), Done()
+    frame = lambda rows: pd.DataFrame(rows, columns=["append_seq", "phase", "current", "cue_id"])
+    assert p.fold(iter([frame([(n, "completed", n, f"c{n % 10}") for n in range(40)] + [(40, "completed", None, None)])])) == ("completed", None, 10) and p.done.calls == 0
+    assert p.fold(iter([frame([(n, "completed", 1, f"c{n % 20}") for n in range(41, 81)])])) == ("completed", 1, 20) and p.done.calls == 1
+    assert p.fold(iter([frame([(81, "completed", 2, "c3"), (82, "view", 3, "c99"), (5, "failed", 4, "d")])])) == ("view", 3, 20) and p.done.calls == 2
