@@ -163,18 +163,47 @@ def edit_lines(spans: DataFrame, edits: DataFrame, *, line: str = "line", order:
     folded = F.when(F.col("spans").isNotNull(), _folded(F.col("spans"), F.coalesce("edits", F.array().cast(listed.schema["edits"].dataType))))
     columns = ["start", "part", "text", "annotations", "styles", "color"]
     # outer: else Spark filters by the size of what is to be exploded, and folds each line again for it
-    rows = lines.join(listed, line, "left").select(line, folded.alias("folded")).select(line, F.posexplode_outer("folded.pieces").alias(order, "p")).where("p is not null").select(line, order, *[F.col(f"p.{c}").alias(c) for c in columns])
+    rows = lines.join(listed, line, "left").select(line, folded.alias("folded")).select(line, F.posexplode_outer("folded").alias(order, "p")).where("p is not null").select(line, order, *[F.col(f"p.{c}").alias(c) for c in columns])
     ruby = F.col("part").isNotNull()
     rows = rows.select(line, order, F.when(ruby, "ruby").otherwise("text").alias("type"), F.when(~ruby, F.col("text")).alias("text"), F.when(ruby, F.col("text")).alias("base"), F.when(ruby, F.col("annotations")).alias("annotations"), X.canonical_styles(F.col("styles")).alias("styles"), "color", F.col("part").alias("_part"))
-    reason = lambda e: F.when(e.wide, "several lines").when(e.sel_start >= e.sel_end, "empty").otherwise("no such line")
-    unknown = F.transform(F.filter("edits", lambda e: e.kind == "annotate"), lambda e: F.struct(e.nth.alias("nth"), reason(e).alias("reason")))
-    both = listed.join(lines, line, "left").withColumn("folded", folded)
-    refused = both.select(line, F.explode(F.when(F.col("spans").isNull(), unknown).otherwise(F.col("folded.refused"))).alias("r")).select(line, F.col("r.nth").alias("nth"), F.col("r.reason").alias("reason"))
-    return _runs(rows, [line], order), refused
+    return _runs(rows, [line], order), _refused(placed, given, line)
+
+
+def _refused(placed: DataFrame, given: DataFrame, line: str) -> DataFrame:
+    """(line, nth, reason) of the annotate edits that can't be carried out.
+
+    Beside the edit itself, a refusal depends on where ruby spans are alone. So their places are all that is folded:
+    an annotation that is carried out makes its range one, and a removal takes away the one of just that range.
+    """
+    place = F.struct(F.col("start").cast("bigint").alias("from"), F.col("end").cast("bigint").alias("to"))
+    lines = placed.groupBy(line).agg(F.collect_list(F.when(F.col("type") == "ruby", place)).alias("rubies"), F.max("end").cast("bigint").alias("length"))
+    edit = F.struct("nth", "kind", "sel_start", "sel_end", (F.col("end_line") != F.col(line)).alias("wide"))
+    listed = given.where(F.col("kind").isin("annotate", "remove")).groupBy(line).agg(F.sort_array(F.collect_list(edit)).alias("edits"))
+    itself = lambda e: F.when(e.wide, "several lines").when(e.sel_start >= e.sel_end, "empty")
+
+    def step(state: Column, e: Column) -> Column:
+        hits = lambda r: F.coalesce((e.sel_start < r.to) & (e.sel_end > r["from"]) & (e.sel_start < e.sel_end), F.lit(False))
+        just = lambda r: F.coalesce((r["from"] == e.sel_start) & (r.to == e.sel_end), F.lit(False))
+        cuts = F.exists(state.rubies, lambda r: hits(r) & ~just(r))
+        begins, ends = F.greatest(e.sel_start, F.lit(0)), F.least(e.sel_end, F.col("length"))
+        own = F.filter(F.array(F.struct(begins.alias("from"), ends.alias("to"))), lambda r: e.nth.isNotNull() & (e.sel_start < e.sel_end) & (r["from"] < r.to))
+        told = F.when(e.kind == "annotate", itself(e).when(cuts, "cuts a ruby span"))
+
+        def after(reason: Column) -> Column:
+            rubies = F.when(e.kind == "remove", F.filter(state.rubies, lambda r: ~just(r))).when(reason.isNull(), F.concat(F.filter(state.rubies, lambda r: ~hits(r)), own)).otherwise(state.rubies)
+            return F.struct(rubies.alias("rubies"), F.when(reason.isNull(), state.refused).otherwise(F.array_append(state.refused, F.struct(e.nth.alias("nth"), reason.alias("reason")))).alias("refused"))
+
+        return X.let(told, after)
+
+    start = F.struct(F.col("rubies"), F.array().cast("array<struct<nth:bigint,reason:string>>").alias("refused"))
+    unknown = F.transform(F.filter("edits", lambda e: e.kind == "annotate"), lambda e: F.struct(e.nth.alias("nth"), itself(e).otherwise("no such line").alias("reason")))
+    rows = listed.join(lines, line, "left").select(line, F.when(F.col("rubies").isNull(), unknown).otherwise(F.aggregate("edits", start, step).refused).alias("refused"))
+    # outer: else Spark filters by the size of what is to be exploded, and folds each line again for it
+    return rows.select(line, F.explode_outer("refused").alias("r")).where("r is not null").select(line, F.col("r.nth").alias("nth"), F.col("r.reason").alias("reason"))
 
 
 def _folded(spans: Column, edits: Column) -> Column:
-    """struct(pieces, refused) of one line: its spans cut at all borders, and the edits carried out on them in order."""
+    """The pieces of one line: its spans cut at all borders, and the edits carried out on them in order."""
     borders = F.sort_array(F.array_distinct(F.flatten(F.transform(edits, lambda e: F.array(e.sel_start, e.sel_end)))))
 
     def cut(s: Column, i: Column, inner: Column) -> Column:
@@ -207,7 +236,7 @@ def _folded(spans: Column, edits: Column) -> Column:
             F.when(notes, F.array_max(F.transform(hit, lambda p: p.end))).alias("ends"),
         )
 
-    def carried_out(state: Column, e: Column, f: Column) -> Column:
+    def carried_out(pieces: Column, e: Column, f: Column) -> Column:
         rival = F.when(e.style == "superscript", "subscript").when(e.style == "subscript", "superscript").otherwise("")
         reason = F.when(e.wide, "several lines").when(e.sel_start >= e.sel_end, "empty").when(f.cuts, "cuts a ruby span")
         note = F.array(F.struct(e.annotation.alias("text"), e.position.alias("position")))
@@ -224,16 +253,14 @@ def _folded(spans: Column, edits: Column) -> Column:
                 .otherwise(p)
             )
 
-        told = F.when((e.kind == "annotate") & reason.isNotNull(), F.concat(state.refused, F.array(F.struct(e.nth.alias("nth"), reason.alias("reason"))))).otherwise(state.refused)
-        return F.struct(F.transform(state.pieces, after).alias("pieces"), told.alias("refused"))
+        return F.transform(pieces, after)
 
-    def step(state: Column, e: Column) -> Column:
-        hit = F.filter(state.pieces, lambda p: overlaps(p, e))
-        return X.let(hit, lambda h: X.let(facts(h, e), lambda f: carried_out(state, e, f)))
+    def step(pieces: Column, e: Column) -> Column:
+        hit = F.filter(pieces, lambda p: overlaps(p, e))
+        return X.let(hit, lambda h: X.let(facts(h, e), lambda f: carried_out(pieces, e, f)))
 
     pieces = X.let(borders, lambda inner: F.flatten(F.transform(spans, lambda s, i: cut(s, i, inner))))
-    start = F.struct(pieces.alias("pieces"), F.array().cast("array<struct<nth:bigint,reason:string>>").alias("refused"))
-    return F.aggregate(edits, start, step)
+    return F.aggregate(edits, pieces, step)
 
 
 def restyle_ranges(spans: DataFrame, edits: DataFrame, *, line: str = "line", order: str = "ord", nth: str | None = None) -> DataFrame:

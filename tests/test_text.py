@@ -236,3 +236,19 @@ def test_lines_are_folded_once(spark, small):
     from cuelake.plans import queries
 
     assert plan_of(queries.QUERIES["restyle_ranges"](spark, small)).count("aggregate(coalesce(edits") == 1
+
+
+def test_refusals_are_folded_once_from_places(spark, small):
+    from cuelake.plans import queries
+
+    plan = plan_of(queries.QUERIES["annotate_refused"](spark, small))
+    assert plan.count("aggregate(edits") == 1 and not any(unneeded in plan for unneeded in ("substring(", "styles", "annotation#"))
+
+
+def test_refusals_follow_earlier_edits(spark):
+    """An annotation past the end of a line ends there, so the same range again cuts it; a removed one cuts nothing; an empty ruby span is cut from both sides only."""
+    spans = spark.createDataFrame([(1, 1, "text", "abcd", None), (2, 1, "ruby", None, ""), (2, 2, "text", "ab", None), (3, 1, "text", "", None)], "line long, ord int, type string, text string, base string")
+    told = [(1, 0, 2, 9, "annotate"), (1, 1, 2, 9, "annotate"), (1, 2, 2, 4, "annotate"), (1, 3, 1, 3, "annotate"), (1, 4, 2, 4, "remove"), (1, 5, 1, 3, "annotate"), (2, 0, 0, 1, "annotate"), (2, 1, -1, 1, "annotate"), (3, 0, 0, 1, "annotate"), (3, 1, 0, 1, "style")]
+    edits = spark.createDataFrame(told, "line long, nth long, sel_start long, sel_end long, kind string").withColumns({"style": F.lit("bold"), "annotation": F.lit("n"), "position": F.lit("over")})
+    refused = editing.edit_lines(spans, edits)[1]
+    assert sorted(tuple(r) for r in refused.collect()) == [(1, 1, "cuts a ruby span"), (1, 3, "cuts a ruby span"), (2, 1, "cuts a ruby span"), (3, 0, "no such line")]
