@@ -175,3 +175,9 @@ def test_no_answer_is_asked_for_twice(spark, tmp_path):
     out = recognition.retry_rounds(requests, backend, lambda df: df.withColumn("error", F.when((F.col("response") == "no") & (F.col("request_id") % 2 == 0), "bad")))
     assert out.count() == 20 and {r.attempt for r in out.collect()} == {1, 2}
     assert len(list(tmp_path.iterdir())) == 30
+
+
+def test_appended_rows_are_numbered_once(spark, small):
+    """The log after deletions is the table and what was appended; nothing of it is numbered again by those who read it."""
+    reads = lambda name: plans.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+    assert [reads(name) for name in ("live_effective", "live_state", "live_approvals")] == [1, 1, 2]
